@@ -1,3 +1,10 @@
 """Time-coded transcript analytics on Spark: DataFrame operators over many jobs at once."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to Python workers travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
