@@ -119,11 +119,9 @@ class CharModel:
             hit, value = self._find(self.probs[n], h)
             todo = open_[:, first - 1 :]
             out[:, first - 1 :] += np.where(todo & hit, value, 0.0)
-            if n > 1 or True:
-                ctx = _hash_rows(codes, n - 1)[:, first - (n - 1) : -1] if n > 1 else np.full(h.shape, 0, np.uint64)
-                _, weight = self._find(self.backs[n], ctx)
-                if n > 1:
-                    out[:, first - 1 :] += np.where(todo & ~hit, weight, 0.0)
+            if n > 1:
+                _, weight = self._find(self.backs[n], _hash_rows(codes, n - 1)[:, first - (n - 1) : -1])
+                out[:, first - 1 :] += np.where(todo & ~hit, weight, 0.0)
             open_[:, first - 1 :] &= ~hit
         out += np.where(open_, self.base, 0.0)
         return np.where(codes[:, 1:] > 0, out, 0.0).sum(axis=1)

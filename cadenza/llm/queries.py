@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza.common import table
-from cadenza.llm import turns
+from cadenza.llm import language, turns
 from cadenza.llm.sql import SQL  # noqa: F401
 
 
@@ -19,4 +20,23 @@ def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.turn_texts(table(spark, sf_dir, "segments"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_turns": p4_turns}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of wrongly labelled transcripts (segment_id -1), and segments in another language."""
+    models = language.fit(spark, sf_dir)
+    main, counts = language.transcript_languages(table(spark, sf_dir, "segments"), models)
+    wrong = language.wrong_labels(table(spark, sf_dir, "transcripts"), main)
+    other = language.mixed_segments(counts, main, models.names)
+    return wrong.select("job_id", F.lit(-1).cast("bigint").alias("segment_id"), F.col("main").alias("language")).unionByName(other.select("job_id", "segment_id", "language"))
+
+
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every transcript, and of every segment in another language than its transcript."""
+    models = language.fit(spark, sf_dir)
+    main, counts = language.transcript_languages(table(spark, sf_dir, "segments"), models)
+    labels = table(spark, sf_dir, "transcripts").select("job_id").distinct()
+    whole = labels.join(main, "job_id", "left").select("job_id", F.lit(-1).cast("bigint").alias("segment_id"), F.col("main").alias("language"), F.round("confidence", 4).alias("confidence"))
+    other = language.mixed_segments(counts, main, models.names)
+    return whole.unionByName(other.select("job_id", "segment_id", "language", F.round("confidence", 4).alias("confidence")))
+
+
+QUERIES = {"p4_found": p4_found, "p4_turns": p4_turns, "p6_found": p6_found, "p6_languages": p6_languages}
