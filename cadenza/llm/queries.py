@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.common import table
-from cadenza.llm import language, turns
+from cadenza.llm import language, mojibake, turns
 from cadenza.llm.sql import SQL  # noqa: F401
 
 
@@ -39,4 +39,14 @@ def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.unionByName(other.select("job_id", "segment_id", "language", F.round("confidence", 4).alias("confidence")))
 
 
-QUERIES = {"p4_found": p4_found, "p4_turns": p4_turns, "p6_found": p6_found, "p6_languages": p6_languages}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with text that was decoded with the wrong encoding."""
+    return mojibake.find(table(spark, sf_dir, "documents"))[0]
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged documents with their text restored."""
+    return mojibake.restore(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_turns, p6_found, p6_languages, p9_found, p9_restored)}
