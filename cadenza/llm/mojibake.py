@@ -53,6 +53,10 @@ def _table(codec: str) -> dict[str, int]:
     return out
 
 
+#: A character beyond ASCII that is no letter between letters.
+_INSIDE = re.compile(r"[^\W\d_][^\x00-\x7f\w’‘·\xad][^\W\d_]|[^\W\d_][¹²³¼½¾ªº][^\W\d_]")
+
+
 class Channel:
     """Candidate decodings of tokens under a character transition model."""
 
@@ -91,6 +95,8 @@ class Channel:
 
         def run(m: re.Match) -> str:
             s = m.group()
+            if m.end() == len(token) and table.get(s[-1], 0) in (0xC2, 0xC3) and not token[m.start() - 1 : m.start()].isupper():
+                s += "\xa0" if "\xa0" in table else ""  # the second byte, a no-break space, became a space
             parts = s.split(LOST)
             return LOST.join(bytes(table[c] for c in p).decode("utf-8") for p in parts)
 
@@ -145,7 +151,7 @@ class Channel:
                 if beyond <= table.keys():
                     c = "".join(table.get(x, x) for x in token)
                     if c != token and c not in out:
-                        gain = self.gain(token, c)
+                        gain = self.gain(token, c) + (STRUCTURE if _INSIDE.search(token) else 0.0)
                         if gain > 1.0:
                             out[c] = ("single", gain)
         if LOST in token:
