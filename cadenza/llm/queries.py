@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.common import table
-from cadenza.llm import language, mojibake, turns
+from cadenza.llm import language, leakage, mojibake, turns
 from cadenza.llm.sql import SQL  # noqa: F401
 
 
@@ -49,4 +49,16 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_turns, p6_found, p6_languages, p9_found, p9_restored)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least 13 consecutive words of a test item."""
+    leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.where(F.col("run") >= leakage.LEAST).select("doc_id", "item_id").distinct()
+
+
+def p7_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment score and longest exact run of every document and item with a rare seed in common."""
+    leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.select("doc_id", "item_id", F.round("score", 4).alias("score"), F.col("run").cast("bigint").alias("run"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_turns, p6_found, p6_languages, p7_found, p7_alignments, p9_found, p9_restored)}
