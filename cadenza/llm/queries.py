@@ -6,10 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.common import table
-from cadenza.llm import language, leakage, mojibake, turns
+from cadenza.llm import language, leakage, mojibake, packing, pairs, splitting, turns
 from cadenza.llm.sql import SQL  # noqa: F401
 
 
+def p2_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every editorial block (or part of a block over the capacity) of each job, and its fill."""
+    sizes = table(spark, sf_dir, "editorial_blocks").select("job_id", "block_index", "block_id", "planner_id", F.length("text").alias("chars")).dropDuplicates(["block_id"])
+    rows = sizes.join(table(spark, sf_dir, "planners").select("planner_id", "max_chars"), "planner_id")
+    out = packing.pack(rows, group="job_id", item="block_index", size="chars", capacity="max_chars")
+    return out.withColumn("fill", F.round("fill", 6))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective responses with their kind of defect."""
+    models = language.fit(spark, sf_dir)
+    return pairs.defects(table(spark, sf_dir, "editorial_requests"), table(spark, sf_dir, "editorial_responses"), models)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last segment of every speaker turn."""
     return turns.turn_bounds(table(spark, sf_dir, "segments")).select("job_id", "first_segment_id", "last_segment_id")
@@ -61,4 +75,17 @@ def p7_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", F.round("score", 4).alias("score"), F.col("run").cast("bigint").alias("run"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_turns, p6_found, p6_languages, p7_found, p7_alignments, p9_found, p9_restored)}
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every editorial block within its planner's limit."""
+    return splitting.pieces(table(spark, sf_dir, "editorial_blocks"), splitting.limits_of(table(spark, sf_dir, "planners")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that had to be split."""
+    return p5_pieces(spark, sf_dir).where(F.col("pieces") > 1).select("block_id").distinct()
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_containers, p3_found, p4_found, p4_turns, p5_found, p5_pieces, p6_found, p6_languages, p7_found, p7_alignments, p9_found, p9_restored)
+}
