@@ -79,8 +79,7 @@ def missing_tail(request: list[str], answer: list[str]) -> float:
     n = len(request)
     if not n or not answer:
         return 1.0 if n else 0.0
-    last = request[-3:]
-    if any(answer[i : i + len(last)] == last for i in range(max(0, len(answer) - 12), len(answer))):
+    if answer[-3:] == request[-3:] and len(answer) >= 0.9 * n:
         return 0.0
     number: dict[str, int] = {}
     r = np.array([number.setdefault(w, len(number)) for w in request])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.common import table
-from cadenza.llm import language, leakage, mojibake, packing, pairs, splitting, turns
+from cadenza.llm import language, leakage, mixing, mojibake, packing, pairs, splitting, turns
 from cadenza.llm.sql import SQL  # noqa: F401
 
 
@@ -53,6 +53,17 @@ def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.unionByName(other.select("job_id", "segment_id", "language", F.round("confidence", 4).alias("confidence")))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of every mix with their copies."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token shares that every mix reaches."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with text that was decoded with the wrong encoding."""
     return mojibake.find(table(spark, sf_dir, "documents"))[0]
@@ -87,5 +98,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_containers, p3_found, p4_found, p4_turns, p5_found, p5_pieces, p6_found, p6_languages, p7_found, p7_alignments, p9_found, p9_restored)
+    for f in (p2_containers, p3_found, p4_found, p4_turns, p5_found, p5_pieces, p6_found, p6_languages, p7_found, p7_alignments, p8_mix, p8_shares, p9_found, p9_restored)
 }
