@@ -57,6 +57,10 @@ def fold(c: Column) -> Column:
 
 def without_times(text: Column) -> Column:
     """Text without timestamps, note marks and known sound annotations, outer white space cut."""
+    return F.when(text.rlike(r"[\[({<♪*]|\d:\d\d|[^\x20-\x{2019}]"), _unmarked(text)).otherwise(F.trim(text))
+
+
+def _unmarked(text: Column) -> Column:
     t = F.regexp_replace(text, TIMES, " ")
     t = F.regexp_replace(t, MARKS, " ")
     # Sounds in plain brackets; accents and case are ignored by listing the words folded.
@@ -91,14 +95,9 @@ def without_hesitations(speech: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[\s,.;…–-]+(?=\p{L})", ""))
 
 
-def has_words(text: Column) -> Column:
-    """Whether a letter or digit is left."""
-    return F.coalesce(text.rlike(r"[\p{L}\p{N}]"), F.lit(False))
-
-
 def only_hesitation(speech: Column) -> Column:
     """Whether nothing but hesitation sounds and marks is left (or nothing at all)."""
-    return ~F.coalesce(F.regexp_replace(speech, rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{_HESITATION})(?![\p{{L}}\p{{N}}])", " ").rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    return speech.rlike(rf"(?iu)^[^\p{{L}}\p{{N}}]*+(?:(?:{_HESITATION})(?![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}]*+)*+$")
 
 
 def label_key(label: Column) -> Column:

@@ -34,7 +34,7 @@ def spoken(segments: DataFrame, *, keep_text: bool = False) -> DataFrame:
         lambda t: speech.let(
             speech.speech_of(t),
             lambda said: F.when(
-                speech.has_words(t) & ~speech.only_hesitation(said),
+                ~speech.only_hesitation(said),
                 F.struct(
                     F.coalesce(speech.label_key(F.col("speaker")), speech.label_key(speech.label_of(t))).alias("key"),
                     *([speech.without_hesitations(said).alias("said")] if keep_text else []),
