@@ -44,3 +44,14 @@ def millis(seconds: Column) -> Column:
 def once(df: DataFrame, *keys: str) -> DataFrame:
     """Drop re-delivered rows, which repeat every column but the delivery time."""
     return df.dropDuplicates(list(keys))
+
+
+def bounded_sample(df: DataFrame, key: str, size: int) -> DataFrame:
+    """About ``size`` rows, and never more than twice as many, drawn evenly by a hash of ``key``.
+
+    The share is set by a count, so that no task sends more than its part to the driver.
+    """
+    total = df.count()
+    if total <= size:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(size / total * (1 << 30))).limit(2 * size)
