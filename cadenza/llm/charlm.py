@@ -140,7 +140,7 @@ class LanguageModels:
         if not words:
             return np.zeros((0, len(self.names)))
         codes = encode(words)
-        used = int((codes > 0).sum(axis=1).max())
+        used = max(ORDER + 1, int((codes > 0).sum(axis=1).max()))
         return np.stack([self.models[n].score(codes[:, :used]) for n in self.names], axis=1)
 
     def rejected(self, words: list[str], scores: np.ndarray) -> np.ndarray:
@@ -165,8 +165,8 @@ def train(samples: Iterable[tuple[str, list[str]]], *, rounds: int = 2, keep: fl
             if k % 10 != 9 or len(data) < 50:
                 counts.setdefault(lang, Counter()).update(words)
         fit = LanguageModels({lang: CharModel(c) for lang, c in counts.items() if sum(c.values()) >= 20}, 99.0)
-        if not fit.names:
-            return fit
+        if not fit.names:  # too little text: one model of all there is
+            return LanguageModels({lang: CharModel(c) for lang, c in counts.items()}, 99.0)
         vocabulary = sorted(set().union(*(w for _, w in data)))
         row = {w: i for i, w in enumerate(vocabulary)}
         table = fit.scores(vocabulary)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.common import cut, table
+from cadenza.common import bounded_sample, cut, table
 from cadenza.llm import charlm, speech
 
 #: Most labelled texts that the models are fitted on; they are drawn by a hash of their id.
@@ -20,6 +20,8 @@ SAMPLE = 1500
 SWITCH, CAP = 5.0, 4.0
 #: Least words in another language for a segment to be listed.
 LEAST_WORDS = 4
+#: Stands for any language where no labelled text is at hand; nothing is ever in another one then.
+NO_LANGUAGE = "und"
 #: Distinct words whose scores a worker keeps.
 KEPT = 300_000
 
@@ -50,18 +52,18 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
 def fit(spark: SparkSession, sf_dir: str, *, sample: int = SAMPLE) -> charlm.LanguageModels:
-    """Models fitted on the labelled evaluation items and at most ``sample`` labelled documents.
+    """Models fitted on the labelled evaluation items and about ``sample`` labelled documents.
 
-    The sample size is the bound of what reaches the driver; everything else the models are used for
+    Twice the sample size is the bound of what reaches the driver; everything else the models are used for
     covers all rows.
     """
     items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), "text", "lang").limit(sample)
     docs = (
         table(spark, sf_dir, "documents").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select(F.col("doc_id").alias("id"), "text", "lang").orderBy(F.xxhash64("doc_id")).limit(sample)
+        .select(F.col("doc_id").alias("id"), "text", "lang")
     )
-    rows = items.unionAll(docs).select(normal_code(F.col("lang")).alias("code"), "text").where("code IS NOT NULL AND text IS NOT NULL").collect()
-    return charlm.train([(r["code"], _WORD.findall(r["text"].lower())) for r in sorted(rows)])
+    rows = items.unionAll(bounded_sample(docs, "id", sample)).select(normal_code(F.col("lang")).alias("code"), "text").where("code IS NOT NULL AND text IS NOT NULL").collect()
+    return charlm.train([(r["code"], _WORD.findall(r["text"].lower())) for r in sorted(rows)] or [(NO_LANGUAGE, ["-"] * 20)])
 
 
 class WordScores:
@@ -141,9 +143,13 @@ def count_words(df: DataFrame, text: Column, keys: list[str], models: charlm.Lan
     return df.select(*keys, words_of(text).alias("words")).mapInArrow(run, schema)
 
 
+def _greatest(columns: list[Column]) -> Column:
+    return F.greatest(*columns) if len(columns) > 1 else columns[0]
+
+
 def _top(names: list[str], prefix: str = "n") -> Column:
     """Struct (words, margin, language) of the language with most words; ties go to the clearer one, then by name."""
-    return F.greatest(*[F.struct(F.col(f"{prefix}_{n}").alias("words"), F.col(f"m_{n}").alias("margin"), F.lit(n).alias("language")) for n in names])
+    return _greatest([F.struct(F.col(f"{prefix}_{n}").alias("words"), F.col(f"m_{n}").alias("margin"), F.lit(n).alias("language")) for n in names])
 
 
 def segment_languages(segments: DataFrame, models: charlm.LanguageModels) -> DataFrame:
@@ -162,6 +168,9 @@ def transcript_languages(segments: DataFrame, models: charlm.LanguageModels) ->
     counts = cut(segment_languages(segments, models))
     names = models.names
     total = counts.groupBy("job_id").agg(*[F.sum(f"{p}_{n}").alias(f"{p}_{n}") for n in names for p in ("n", "m")])
+    known = [n for n in names if n != NO_LANGUAGE]
+    if not known:
+        return total.select("job_id", F.lit(None).cast("string").alias("main"), F.lit(0).cast("bigint").alias("words"), F.lit(0.0).alias("confidence")).limit(0), counts
     best = total.select("job_id", _top(names).alias("best"), sum(F.col(f"n_{n}") for n in names).alias("all_words")).where(F.col("best.words") > 0)
     sure = 1.0 / (1.0 + F.exp(-F.col("best.margin") / F.col("best.words")))
     main = best.select("job_id", F.col("best.language").alias("main"), F.col("best.words").alias("words"), (sure * F.col("best.words") / F.col("all_words")).alias("confidence"))
@@ -174,7 +183,7 @@ def mixed_segments(counts: DataFrame, main: DataFrame, names: list[str], *, leas
     Of several other languages the one with most words is named.
     """
     maybe = counts.where(sum((F.col(f"n_{n}") >= least).cast("int") for n in names) >= 1)
-    other = F.greatest(*[F.when(F.col("main") != n, F.struct(F.col(f"n_{n}").alias("words"), F.col(f"m_{n}").alias("margin"), F.lit(n).alias("language"))) for n in names])
+    other = _greatest([F.when(F.col("main") != n, F.struct(F.col(f"n_{n}").alias("words"), F.col(f"m_{n}").alias("margin"), F.lit(n).alias("language"))) for n in names])
     rows = maybe.join(main.select("job_id", "main"), "job_id").select("job_id", "segment_id", other.alias("x")).select("job_id", "segment_id", "x.*")
     sure = 1.0 / (1.0 + F.exp(-F.col("margin") / F.col("words")))
     return rows.where(F.col("words") >= least).select("job_id", "segment_id", "language", "words", sure.alias("confidence"))

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.common import cut
+from cadenza.common import bounded_sample, cut
 
 #: Folder of the public tokenizers' vocabulary files, and the file taken from it.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
-#: Most labelled rows that the classifier is fitted on, its hashed features, and the least posterior that counts as membership.
+#: Labelled rows (twice as many at most) that the classifier is fitted on, its hashed features, and the least posterior that counts as membership.
 SAMPLE, FEATURES, SURE = 4_000, 2_048, 0.5
 #: Passes of the projected gradient, and the relative residual at which it stops.
 PASSES, CLOSE = 12, 1e-6
@@ -98,7 +98,7 @@ def measured(documents: DataFrame, *, folder: str = TOKENIZERS, name: str = VOCA
     """
     spark = documents.sparkSession
     rows = documents.where(F.col("text").isNotNull()).select("doc_id", domain(F.col("source")).alias("domain"), "text", "file_format", "lang")
-    drawn = rows.where("domain IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(sample).collect()
+    drawn = bounded_sample(rows.where("domain IS NOT NULL"), "doc_id", sample).collect()
     names, weights = fit_classifier([(r["text"], r["file_format"], r["lang"], r["domain"]) for r in drawn])
     shared = spark.sparkContext.broadcast((vocabulary(folder, name), weights))
 

@@ -153,8 +153,12 @@ def plain_words(text: Column) -> Column:
 
 def shingles(words: Column, n: int) -> Column:
     """Distinct sequences of ``n`` words (all of them as one if there are fewer)."""
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(many)).otherwise(F.array(F.array_join(words, " ")))
+
+    def of(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.concat_ws(" ", *[F.element_at(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, F.array_distinct(many)).otherwise(F.array(F.array_join(w, " ")))
+
+    return speech.let(words, of)
 
 
 def near_classes(texts: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
@@ -190,7 +194,7 @@ def refusals(unrelated: DataFrame, requests: DataFrame) -> DataFrame:
     """
     spark = unrelated.sparkSession
     rows = cut(unrelated.withColumn("w", plain_words(F.col("answer"))).select("response_id", "request_id", shingles(F.col("w"), 3).alias("threes"), F.array_join(F.slice("w", 1, OPENING), " ").alias("opening")))
-    seen = requests.select(F.explode(shingles(plain_words(F.col("text")), 3)).alias("s")).distinct()
+    seen = requests.select(F.explode(shingles(plain_words(F.col("text")), 3)).alias("s")).join(rows.select(F.explode("threes").alias("s")).distinct(), "s", "left_semi").distinct()
     openings = rows.groupBy("opening").agg(F.min("response_id").alias("id"), F.approx_count_distinct("request_id").alias("prompts"))
     parts = openings.select("id", "opening", "prompts", F.split("opening", " ").alias("w"))
     classes = near_classes(parts.select("id", shingles(F.col("w"), SHINGLE).alias("shingles")))

@@ -25,7 +25,7 @@ def spoken(segments: DataFrame, *, keep_text: bool = False) -> DataFrame:
     """Segments with speech and a start: job_id, b, s, chunk_index, seg_index, segment_id, key[, said].
 
     Left out: NULL or non-finite start, and texts of nothing but timestamps, sound annotations,
-    hesitations and a label (NULL and blank texts too). ``key`` is the label of the column or else
+    hesitations and a label (NULL and blank texts too), and segments of no job. ``key`` is the label of the column or else
     of the text, NULL if there is neither. NULL chunk or segment numbers sort first.
     """
     bare = speech.without_times(F.col("text"))
@@ -44,7 +44,7 @@ def spoken(segments: DataFrame, *, keep_text: bool = False) -> DataFrame:
     )
     at = F.col("start_sec")
     return (
-        segments.where(at.isNotNull() & ~F.isnan(at) & (F.abs(at) < 9e12) & F.col("text").isNotNull())
+        segments.where(F.col("job_id").isNotNull() & at.isNotNull() & ~F.isnan(at) & (F.abs(at) < 9e12) & F.col("text").isNotNull())
         .select("job_id", F.round(at * 1000).cast("bigint").alias("s"), "chunk_index", "seg_index", "segment_id", body.alias("x"))
         .where(F.col("x").isNotNull())
         .select("job_id", F.floor(F.col("s") / BUCKET_MS).alias("b"), "s", "chunk_index", "seg_index", "segment_id", "x.*")
