@@ -55,9 +55,14 @@ def fold(c: Column) -> Column:
     return F.translate(F.lower(c), _FROM, _TO)
 
 
+def marked(text: Column) -> Column:
+    """Whether a text may hold anything but speech: brackets, colons, stars, notes, a dash at the start, odd characters."""
+    return text.rlike(r"[\[({<>*:\x00-\x1F\x7F-\xA0\x{2000}-\x{2012}\x{201A}-\x{2025}\x{2027}-\x{10FFFF}]|^\s*[-–—]|^ | $|  ")
+
+
 def without_times(text: Column) -> Column:
     """Text without timestamps, note marks and known sound annotations, outer white space cut."""
-    return F.when(text.rlike(r"[\[({<♪*]|\d:\d\d|[^\x20-\x{2019}]"), _unmarked(text)).otherwise(F.trim(text))
+    return F.when(marked(text), _unmarked(text)).otherwise(F.trim(text))
 
 
 def _unmarked(text: Column) -> Column:

@@ -28,20 +28,16 @@ def spoken(segments: DataFrame, *, keep_text: bool = False) -> DataFrame:
     hesitations and a label (NULL and blank texts too), and segments of no job. ``key`` is the label of the column or else
     of the text, NULL if there is neither. NULL chunk or segment numbers sort first.
     """
-    bare = speech.without_times(F.col("text"))
-    body = speech.let(
-        bare,
-        lambda t: speech.let(
-            speech.speech_of(t),
-            lambda said: F.when(
-                ~speech.only_hesitation(said),
-                F.struct(
-                    F.coalesce(speech.label_key(F.col("speaker")), speech.label_key(speech.label_of(t))).alias("key"),
-                    *([speech.without_hesitations(said).alias("said")] if keep_text else []),
-                ),
-            ),
-        ),
-    )
+    def parts(key: Column, said: Column) -> Column:
+        return F.struct(key.alias("key"), *([speech.without_hesitations(said).alias("said")] if keep_text else []))
+
+    def taken_apart(bare: Column) -> Column:
+        both = F.coalesce(speech.label_key(F.col("speaker")), speech.label_key(speech.label_of(bare)))
+        return speech.let(speech.speech_of(bare), lambda said: F.when(~speech.only_hesitation(said), parts(both, said)))
+
+    text = F.col("text")
+    plain = F.when(~speech.only_hesitation(text), parts(speech.label_key(F.col("speaker")), text))
+    body = F.when(speech.marked(text), speech.let(speech.without_times(text), taken_apart)).otherwise(plain)
     at = F.col("start_sec")
     return (
         segments.where(F.col("job_id").isNotNull() & at.isNotNull() & ~F.isnan(at) & (F.abs(at) < 9e12) & F.col("text").isNotNull())
