@@ -113,7 +113,7 @@ class CharModel:
         rows, width = codes.shape
         out = np.zeros((rows, width - 1))
         open_ = np.ones((rows, width - 1), bool)  # position k scores character k + 1
-        for n in range(ORDER, 0, -1):
+        for n in range(min(ORDER, width), 0, -1):
             first = max(n - 1, 1)
             h = _hash_rows(codes, n)[:, first - (n - 1) :]
             hit, value = self._find(self.probs[n], h)

@@ -48,6 +48,8 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+(?:['’]\p{L}+)*"), 0)
 
 
+#: Hesitation sounds that are words in none of the languages.
+_SOUND = re.compile(r"h+u+m+|h+m+|m{2,}|u+h+m*|h+ã+|a+h+n+|é{2,}|e{2,}h+m*|e+h+m+|e+u+h+|h+e+u+|ä+h+m*|ö+h+m*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -88,7 +90,7 @@ class WordScores:
         new = [w for w in dict.fromkeys(words) if w not in self.row]
         if new:
             score = self.models.scores(new)
-            out = self.models.rejected(new, score)
+            out = self.models.rejected(new, score) | np.array([bool(_SOUND.fullmatch(w)) for w in new], bool)
             rel = np.maximum(score - score.max(axis=1, keepdims=True), -self.cap)
             rel[out] = 0.0
             for w in new:
@@ -154,9 +156,9 @@ def _top(names: list[str], prefix: str = "n") -> Column:
 
 def segment_languages(segments: DataFrame, models: charlm.LanguageModels) -> DataFrame:
     """Word counts by language of each segment's speech: job_id, segment_id, n_xx, m_xx. Re-delivered rows count once."""
-    speech_ = speech.let(speech.without_times(F.col("text")), lambda t: speech.without_hesitations(speech.speech_of(t)))
+    said = F.when(speech.marked(F.col("text")), speech.let(speech.without_times(F.col("text")), speech.speech_of)).otherwise(F.col("text"))
     rows = segments.select("job_id", "segment_id", "text")
-    return count_words(rows, speech_, ["job_id", "segment_id"], models).dropDuplicates(["segment_id"])
+    return count_words(rows, said, ["job_id", "segment_id"], models).dropDuplicates(["segment_id"])
 
 
 def transcript_languages(segments: DataFrame, models: charlm.LanguageModels) -> tuple[DataFrame, DataFrame]:

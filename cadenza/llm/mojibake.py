@@ -30,6 +30,8 @@ LEAST_DOCS = 3
 STRUCTURE = 4.0
 #: How many times as frequent as its single-byte decoding a damaged form may be (a copied text can be in many documents).
 MOST_AS_IS = 10
+#: Most that one token weighs among the transitions.
+HEAVIEST = 50
 #: Most character pairs of the transition model, far above what alphabets of a few scripts have.
 MOST_PAIRS = 400_000
 
@@ -183,7 +185,7 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
     corpus (in ``LEAST_DOCS`` documents); a token with a replacement character is always damaged, and
     the most frequent word that fits its wildcards is preferred to the letters of the Viterbi path.
     Transitions are counted over distinct tokens that are not structured like a multi-byte encoding,
-    so that neither damaged texts nor many copies of one look sound.
+    each weighing at most ``HEAVIEST``, so that neither damaged texts nor many copies of one look sound.
     """
     counts = cut(tokens.groupBy("token").agg(F.count("*").alias("n")))
     spark = tokens.sparkSession
@@ -192,11 +194,12 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
         c: Counter = Counter()
         channel = Channel({})
         for pdf in batches:
-            for t in pdf["token"]:
+            for t, n in zip(pdf["token"], pdf["n"]):
                 if LOST in t or channel.structured(t):
                     continue
                 s = " " + t + " "
-                c.update(s[i : i + 2] for i in range(len(s) - 1))
+                for i in range(len(s) - 1):
+                    c[s[i : i + 2]] += min(n, HEAVIEST)
         yield pd.DataFrame({"pair": list(c), "n": list(c.values())})
 
     model = counts.mapInPandas(pairs, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(MOST_PAIRS).collect()
