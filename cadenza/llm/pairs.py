@@ -170,7 +170,7 @@ def near_classes(texts: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     rows = texts.withColumn("sig", F.transform(F.sequence(F.lit(0), F.lit(ROWS * BANDS - 1)), lambda k: F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, k)))))
     bands = rows.select("id", "shingles", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)))).alias("band", "h"))
     one, other = bands.alias("a"), bands.alias("b")
-    both = one.join(other, (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")))
+    both = one.join(other.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")))
     shared = F.size(F.array_intersect("a.shingles", "b.shingles"))
     links = cut(
         both.where(shared >= similar * (F.size("a.shingles") + F.size("b.shingles") - shared)).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
