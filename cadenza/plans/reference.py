@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from cadenza.common import millis, once, table
 from cadenza.functions import folds, languages
+from cadenza.functions import sources as S
 from cadenza.functions import text as T
 from cadenza.operators import assembly, captions, chunks, intervals, paragraphs, render, search, sequence
 from cadenza.plans import views
 from cadenza.plans.views import BLOCKS_SQL, JOBS_SQL, SPEECH_SQL
-from cadenza.sources import subtitles
+from cadenza.sources import media, store, subtitles
 from cadenza.streaming import progress
 
 ORDER = ["s", "chunk_index", "seg_index", "segment_id"]
@@ -505,3 +506,59 @@ def stm01_event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events of each kind in each hour, as the stream form counts them."""
     out = progress.counted(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
     return out.select("event_type", F.unix_micros("window_start").alias("window_us"), "n")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT job_id, chunk_index FROM chunks), r AS (SELECT DISTINCT job_id, chunk_index, 1 AS done FROM segments WHERE trim(coalesce(text, '')) <> ''),
+j AS (SELECT job_id, list_sort(list(chunk_index) FILTER (done = 1)) AS y, list_sort(list(chunk_index) FILTER (done IS NULL)) AS n FROM c LEFT JOIN r USING (job_id, chunk_index) GROUP BY job_id)
+SELECT job_id, coalesce(array_to_string(y, ','), '') AS completed, coalesce(array_to_string(n, ','), '') AS pending FROM j
+""")
+def set04_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of each job with and without a result that says something."""
+    said = table(spark, d, "segments").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    out = store.reconcile(table(spark, d, "chunks"), said)
+    return out.select("job_id", F.array_join("completed", ",").alias("completed"), F.array_join("pending", ",").alias("pending"))
+
+
+@query(f"WITH {SPEECH_SQL} SELECT segment_id, job_id, chunk_index, seg_index, s, e, speaker, text FROM speech")
+def snk12_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Segments written as JSON objects and read again."""
+    rows = views.speech(spark, d).drop("h")
+    return store.from_json_rows(store.to_json_rows(rows, "segment_id"), rows.schema)[0]
+
+
+@query(f"""
+WITH {SPEECH_SQL}, {CHUNK_SQL}, x AS (SELECT job_id, chunk_index, seg_index, segment_id, s - chunk_s AS a, e - chunk_s AS z, chunk_e - chunk_s AS n, speaker, text FROM speech JOIN c USING (job_id, chunk_index)),
+m AS (SELECT *, greatest(0, max(a) OVER (PARTITION BY job_id, chunk_index ORDER BY seg_index, segment_id ROWS UNBOUNDED PRECEDING)) AS start_ms FROM x)
+SELECT segment_id, start_ms, greatest(start_ms, least(z, n)) AS end_ms, speaker, text FROM m
+""")
+def src17_model_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of structured model responses, one response a chunk, with starts that never go back."""
+    rows = _chunked(spark, d)
+    part = F.struct("seg_index", "segment_id", ((F.col("s") - F.col("chunk_s")) / 1000.0).alias("start"), ((F.col("e") - F.col("chunk_s")) / 1000.0).alias("end"), "speaker", "text")
+    one = rows.groupBy("job_id", "chunk_index", "chunk_s", "chunk_e").agg(F.sort_array(F.collect_list(part)).alias("x"))
+    sent = one.select(F.struct("job_id", "chunk_index").alias("k"), ((F.col("chunk_e") - F.col("chunk_s")) / 1000.0).alias("duration"), F.to_json(F.struct(F.col("x").alias("segments"))).alias("json"), F.transform("x", lambda y: y["segment_id"]).alias("ids"))
+    got = media.responses(sent, key="k", json="json", duration="duration").join(sent.select("k", "ids"), "k")
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    return got.select(F.get("ids", F.col("seg_index")).alias("segment_id"), ms("start").alias("start_ms"), ms("end").alias("end_ms"), "speaker", "text")
+
+
+@query("""
+SELECT DISTINCT media_id, 'https://u@files.example:8080/' || media_id || '/' || source_name || '?k=1#x' AS source, source_name AS name,
+ 'https://files.example:8080/' || media_id || '/' || source_name AS label, regexp_full_match(media_id, '[A-Za-z0-9][A-Za-z0-9._-]{0,127}') AS safe FROM jobs
+""")
+def fn16_source_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Display name and credential-free label of every source's address."""
+    rows = table(spark, d, "jobs").select("media_id", F.concat(F.lit("https://u@files.example:8080/"), "media_id", F.lit("/"), "source_name", F.lit("?k=1#x")).alias("source")).distinct()
+    return rows.select("media_id", "source", S.display_name(F.col("source")).alias("name"), S.safe_label(F.col("source")).alias("label"), S.safe_id(F.col("media_id")).alias("safe"))
+
+
+@query("""
+SELECT response_id, coalesce(input_tokens, 0) AS input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens FROM (SELECT DISTINCT response_id, input_tokens, output_tokens FROM editorial_responses)
+WHERE input_tokens IS NULL OR input_tokens >= 0
+""")
+def fn10_usage_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts read back from usage records under alternative names."""
+    t = table(spark, d, "editorial_responses").where("input_tokens IS NULL OR input_tokens >= 0").select("response_id", F.to_json(F.struct(F.col("input_tokens").alias("prompt_tokens"), F.col("output_tokens").alias("outputTokens"))).alias("u")).distinct()
+    i, o = S.count_of(F.col("u"), "$.input_tokens", "$.prompt_tokens"), S.count_of(F.col("u"), "$.output_tokens", "$.outputTokens")
+    return t.select("response_id", F.coalesce(i, F.lit(0)).alias("input_tokens"), o.alias("output_tokens"), (i + o).alias("total_tokens"))
