@@ -1,3 +1,8 @@
 """SQL for the queries that SQL can express over whole tables."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": """
+SELECT DISTINCT block_id FROM editorial_blocks JOIN planners USING (planner_id)
+WHERE length(trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12))) > floor(target_duration * chars_per_sec)
+""",
+}
