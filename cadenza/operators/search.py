@@ -51,3 +51,16 @@ def sections(documents: DataFrame, *, key: str, markdown: str) -> DataFrame:
     parts = F.split(F.concat(F.lit("\n"), F.regexp_replace(F.col(markdown), "\r\n?", "\n")), r"\n(?=## )")
     rows = documents.select(key, F.posexplode(parts).alias("position", "raw")).where(F.col("raw").startswith("## "))
     return rows.select(key, "position", F.trim(F.substring(F.element_at(F.split("raw", "\n"), 1), 4, 10_000_000)).alias("title"), T.strip(F.col("raw")).alias("body"))
+
+
+def markdown_blocks(documents: DataFrame, *, key: str, markdown: str) -> DataFrame:
+    """key, position, block, heading, warning, note, link of each block between blank lines.
+
+    Call-outs lose their mark and quote signs; ``link`` is the first link's target or an empty text.
+    """
+    rows = documents.select(key, F.posexplode(F.split(F.regexp_replace(F.col(markdown), "\r\n?", "\n"), r"\n\s*\n")).alias("position", "raw"))
+    raw = T.strip(F.col("raw"))
+    warning, note = raw.rlike(r"^>\s*\[!WARNING\]"), raw.rlike(r"^>\s*\[!NOTE\]")
+    bare = F.regexp_replace(F.regexp_replace(raw, r"(?i)^>\s*\[!(?:WARNING|NOTE)\]\s*", ""), r"(?m)^>\s?", "")
+    out = rows.where(raw != "").select(key, "position", F.when(warning | note, bare).otherwise(raw).alias("block"), warning.alias("warning"), note.alias("note"))
+    return out.withColumn("heading", F.col("block").rlike(r"^#{1,6}\s")).withColumn("link", F.regexp_extract("block", r"\[[^\]]+\]\(([^)]+)\)", 1))

@@ -154,6 +154,38 @@ def win05_context(spark: SparkSession, d: str) -> DataFrame:
     return sequence.with_previous(rows, ["job_id"], "b", ["block_index", "block_id"], F.right("text", F.lit(800)), name="context").select("block_id", "context")
 
 
+@query(f"""
+WITH {BLOCKS_SQL} SELECT block_id, nullif(right(coalesce(string_agg(text, ' ' ORDER BY block_index, block_id) OVER (PARTITION BY job_id ORDER BY block_index, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 3000), '') AS context FROM blocks
+""")
+def jn12_prefix_context(spark: SparkSession, d: str) -> DataFrame:
+    """The last 3 000 characters of all blocks before each block."""
+    rows = views.blocks(spark, d).withColumn("b", F.floor(F.col("block_index") / 32))
+    return sequence.text_before(rows, ["job_id"], "b", ["block_index", "block_id"], "text", most=3_000).select("block_id", "context")
+
+
+@query("""
+WITH q AS (SELECT DISTINCT request_id, block_id, sent_at FROM editorial_requests)
+SELECT request_id, row_number() OVER (PARTITION BY block_id ORDER BY sent_at, request_id) AS number, 'editorial:' || block_id || ':' || row_number() OVER (PARTITION BY block_id ORDER BY sent_at, request_id) AS attempt FROM q
+""")
+def win01_attempt_number(spark: SparkSession, d: str) -> DataFrame:
+    """Number and identity of each request among those of its block."""
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "editorial_requests").select("request_id", "block_id", "sent_at").distinct()
+    n = F.row_number().over(Window.partitionBy("block_id").orderBy("sent_at", "request_id")).cast("bigint")
+    return rows.select("request_id", n.alias("number"), F.concat(F.lit("editorial:"), F.col("block_id"), F.lit(":"), n.cast("string")).alias("attempt"))
+
+
+@query("""
+WITH b AS (SELECT doc_id, unnest(x) AS raw, generate_subscripts(x, 1) - 1 AS position FROM (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS x FROM documents WHERE file_format = 'md'))
+SELECT doc_id, CAST(position AS INT) AS position, length(trim(raw, ' ' || chr(10))) AS chars, regexp_matches(trim(raw, ' ' || chr(10)), '^#{1,6}\s') AS heading FROM b WHERE trim(raw, ' ' || chr(10)) <> ''
+""")
+def fn22_markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of every Markdown document and whether they are headings."""
+    docs = table(spark, d, "documents").where(F.col("file_format") == "md").select("doc_id", "text")
+    return search.markdown_blocks(docs, key="doc_id", markdown="text").select("doc_id", "position", F.length("block").cast("bigint").alias("chars"), "heading")
+
+
 # Joins and completeness ----------------------------------------------------------------------
 
 

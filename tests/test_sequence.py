@@ -21,3 +21,12 @@ def test_against_one_pass(spark):
             n += 1
             assert got[(k, p)] == (n, before, top)
             before, top = v, v if top is None else max(top, v)
+
+
+def test_text_before(spark):
+    rows = [("k", i, i // 3, None if i == 4 else "t%02d" % i) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, i int, b int, t string")
+    got = {r["i"]: r["context"] for r in sequence.text_before(df, ["k"], "b", ["i"], "t", most=11).collect()}
+    for i in range(30):
+        want = " ".join(t for _, j, _, t in rows if j < i and t)[-11:]
+        assert got[i] == (want or None)

@@ -207,3 +207,9 @@ def test_latest_batch_and_stream(spark, tmp_path):
     stream = progress.latest_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", ["n"], ["n", "v"])
     progress.upsert(stream, lambda batch, _: seen.update({r["k"]: r["v"] for r in batch.collect()}), str(tmp_path / "cp")).awaitTermination()
     assert seen == {"a": "z", "b": "y"}
+
+
+def test_markdown_blocks(spark):
+    df = spark.createDataFrame([("d", "# T\n\n> [!WARNING] cuidado\n> com [a](http://b)\n\n \n\ntexto"), ("e", None)], "k string, m string")
+    got = [(r["block"], r["heading"], r["warning"], r["note"], r["link"]) for r in search.markdown_blocks(df, key="k", markdown="m").orderBy("position").collect()]
+    assert got == [("# T", True, False, False, ""), ("cuidado\ncom [a](http://b)", False, True, False, "http://b"), ("texto", False, False, False, "")]
