@@ -176,7 +176,7 @@ def win01_attempt_number(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("request_id", n.alias("number"), F.concat(F.lit("editorial:"), F.col("block_id"), F.lit(":"), n.cast("string")).alias("attempt"))
 
 
-@query("""
+@query(r"""
 WITH b AS (SELECT doc_id, unnest(x) AS raw, generate_subscripts(x, 1) - 1 AS position FROM (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS x FROM documents WHERE file_format = 'md'))
 SELECT doc_id, CAST(position AS INT) AS position, length(trim(raw, ' ' || chr(10))) AS chars, regexp_matches(trim(raw, ' ' || chr(10)), '^#{1,6}\s') AS heading FROM b WHERE trim(raw, ' ' || chr(10)) <> ''
 """)
