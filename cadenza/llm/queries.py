@@ -40,7 +40,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     main, counts = language.transcript_languages(table(spark, sf_dir, "segments"), models)
     wrong = language.wrong_labels(table(spark, sf_dir, "transcripts"), main)
     other = language.mixed_segments(counts, main, models.names)
-    return wrong.select("job_id", F.lit(-1).cast("bigint").alias("segment_id"), F.col("main").alias("language")).unionByName(other.select("job_id", "segment_id", "language"))
+    return wrong.select("job_id", F.lit(-1).cast("bigint").alias("segment_id"), F.col("main").alias("language")).unionByName(other.select("job_id", "segment_id", "language")).distinct()
 
 
 def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
