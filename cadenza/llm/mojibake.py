@@ -41,6 +41,8 @@ MIXED_UP = [
     ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1250", "cp1252"), ("cp1251", "cp1252"),
     ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"),
 ]
+#: What a letter may turn out to be besides a letter, inside or at the end of a word.
+PUNCTUATION = "…“”‘’—–"
 LOST = "�"
 
 
@@ -152,7 +154,7 @@ class Channel:
             for table in self.swap.values():
                 if beyond <= table.keys():
                     c = "".join(table.get(x, x) for x in token)
-                    if c != token and c not in out:
+                    if c != token and c not in out and not any(x.isalpha() and not (y.isalpha() or y in PUNCTUATION and len(c) > 1) for x, y in zip(token, c) if x != y):
                         gain = self.gain(token, c) + (STRUCTURE if _INSIDE.search(token) else 0.0)
                         if gain > 1.0:
                             out[c] = ("single", gain)
