@@ -71,6 +71,8 @@ def fractional(configs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
 
 def fill(sizes: list[int], capacity: int) -> list[int]:
     """Container number of each item; every size is at most ``capacity``. Sizes below 1 count as they are."""
+    if sum(sizes) <= capacity:  # one configuration holds everything
+        return [0] * len(sizes)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     large = [i for i in order if sizes[i] > capacity * LARGE]
     small = [i for i in order if sizes[i] <= capacity * LARGE]
@@ -163,6 +165,8 @@ def pack(items: DataFrame, *, group: str, item: str, size: str, capacity: str, u
     dealt = (
         rows.join(plan, ["g", "cap"])
         .withColumn("u", F.col("first") + F.pmod(F.xxhash64("i", "n"), F.col("units")).cast("int"))
+        # A fixed number of partitions: by bytes the units are small, by work they are not.
+        .repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "cap", "u", "all_units")
         .groupBy("g", "cap", "u", "all_units").agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("x"))
     )
 
