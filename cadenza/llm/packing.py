@@ -171,20 +171,20 @@ def pack(items: DataFrame, *, group: str, item: str, size: str, capacity: str, u
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["g", "i", "part", "parts", "start_char", "chars", "capacity", "container", "container_chars", "fill"]
         for pdf in batches:
+            done: list[tuple] = []
             for g, cap, u, all_units, x in zip(pdf["g"], pdf["cap"], pdf["u"], pdf["all_units"], pdf["x"]):
-                out, sizes = [], []
+                rows_, sizes = [], []
                 for e in x:
                     parts = cut(int(e["n"]), cap)
                     for k, (a, n) in enumerate(parts):
-                        out.append((g, e["i"], k, len(parts), a, n, cap))
+                        rows_.append((g, e["i"], k, len(parts), a, n, cap))
                         sizes.append(n)
                 where = fill(sizes, int(cap))
                 load = np.bincount(where, weights=sizes)
-                yield pd.DataFrame(
-                    [(*row, c * int(all_units) + int(u), int(load[c]), load[c] / cap) for row, c in zip(out, where)],
-                    columns=["g", "i", "part", "parts", "start_char", "chars", "capacity", "container", "container_chars", "fill"],
-                )
+                done += [(*row, c * int(all_units) + int(u), int(load[c]), load[c] / cap) for row, c in zip(rows_, where)]
+            yield pd.DataFrame(done, columns=names)
 
     kinds = dict(rows.dtypes)
     schema = f"g {kinds['g']}, i {kinds['i']}, part int, parts int, start_char int, chars int, capacity int, container bigint, container_chars int, fill double"
