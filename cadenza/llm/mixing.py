@@ -1,10 +1,11 @@
 """Documents of several sources mixed to target shares of tokens.
 
-A classifier fitted on a bounded sample of labelled rows gives the documents without a source a soft
-membership; those with one belong to it. Document rates are fitted by distributed projected-gradient
-least squares, so that the expected tokens of each domain meet its target: every pass sums rates
-times memberships times tokens over all documents, and only those sums, a few numbers a mix and
-domain, come to the driver. Whole copies are then dealt out by error diffusion within hashed buckets.
+A classifier fitted on a bounded sample of labelled rows gives the documents without a source a
+posterior over the domains; the likeliest one can draw on them if it falls short. Document rates are
+fitted by distributed projected-gradient least squares, so that the expected tokens of each domain
+meet its target: every pass sums rates times tokens over all documents, and only those sums, a few
+numbers a mix and domain, come to the driver. Whole copies are then dealt out by error diffusion
+within hashed buckets.
 """
 
 from __future__ import annotations
@@ -136,35 +137,30 @@ def effective_targets(weights: np.ndarray, budget: float, most: np.ndarray) -> n
     return target
 
 
+def joined(names: list[str]) -> Column:
+    """The likeliest domain of a document without a source; NULL if its posterior is below ``SURE``."""
+    most = F.array_max("p")
+    return F.when(most >= SURE, F.element_at(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.array_position("p", most).cast("int")))
+
+
 class Mix:
-    """One mix: caps of its domains and the steps of its gradient so far."""
+    """One mix: caps of its domains, which of them fall short of their targets, and the steps of its gradient so far."""
 
-    def __init__(self, mix_id: int, caps: np.ndarray) -> None:
-        self.mix_id, self.caps = mix_id, caps
+    def __init__(self, mix_id: int, caps: np.ndarray, short: np.ndarray) -> None:
+        self.mix_id, self.caps, self.short = mix_id, caps, short
         self.steps: list[np.ndarray] = []
-        self.short = np.zeros(len(caps), bool)
-
-    def rates(self, member: np.ndarray, soft: np.ndarray) -> np.ndarray:
-        """Rates of documents with these memberships after all steps, each projected on [0, cap]."""
-        use = np.where(soft[:, None], np.where((member >= SURE) & self.short[None, :], member, 0.0), member)
-        cap = use @ self.caps if len(use) else np.zeros(0)
-        cap = np.where(soft, np.floor(np.where(use > 0, self.caps[None, :], np.inf).min(axis=1, initial=np.inf)), cap)
-        cap = np.where(np.isfinite(cap), cap, 0.0)
-        r = np.zeros(len(member))
-        for s in self.steps:
-            r = np.clip(r + use @ s, 0.0, cap)
-        return r
 
+    def free(self, k: np.ndarray, soft: np.ndarray) -> np.ndarray:
+        """Whether the rates of documents of the domains ``k`` are fitted: in a short domain those of the documents without a source, else those of its own."""
+        return self.short[k] == soft
 
-def _members(domains: list[str | None], p: list, at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    soft = np.array([d is None for d in domains], bool)
-    member = np.zeros((len(domains), len(at)))
-    for i, d in enumerate(domains):
-        if d is not None:
-            member[i, at[d]] = 1.0
-        elif p[i] is not None and len(p[i]):
-            member[i, : len(p[i])] = p[i]
-    return member, soft
+    def rates(self, k: np.ndarray, soft: np.ndarray) -> np.ndarray:
+        """Rates after all steps, each projected on [0, cap]; a short domain takes all it has of its own."""
+        free, cap = self.free(k, soft), self.caps[k]
+        r = np.where(self.short[k] & ~soft, cap, 0.0)
+        for s in self.steps:
+            r = np.where(free, np.clip(r + s[k], 0.0, cap), r)
+        return r
 
 
 def fit_rates(docs: DataFrame, names: list[str], mixes: list[Mix], targets: list[np.ndarray]) -> None:
@@ -175,14 +171,15 @@ def fit_rates(docs: DataFrame, names: list[str], mixes: list[Mix], targets: list
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(mixes), 2, len(at)))
             for batch in batches:
-                member, soft = _members(batch.column("domain").to_pylist(), batch.column("p").to_pylist(), at)
+                k = np.array([at[d] for d in batch.column("domain").to_pylist()], int)
+                soft = batch.column("soft").to_numpy(zero_copy_only=False).astype(bool)
                 t = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
-                for k, m in enumerate(mixes):
-                    total[k, 0] += (t * m.rates(member, soft)) @ member
-                    total[k, 1] += t @ member
+                for i, m in enumerate(mixes):
+                    total[i, 0] += np.bincount(k, t * m.rates(k, soft), len(at))
+                    total[i, 1] += np.bincount(k, t * m.free(k, soft), len(at))
             yield pa.RecordBatch.from_pydict({"k": np.arange(total.size), "v": total.ravel()})
 
-        got = docs.select("domain", "p", "n_tokens").mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        got = docs.select("domain", "soft", "n_tokens").mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
         out = np.zeros(len(mixes) * 2 * len(at))
         for r in got:
             out[r["k"]] = r["v"]
@@ -203,14 +200,17 @@ def mix(documents: DataFrame, targets: DataFrame, *, folder: str = TOKENIZERS, n
     """mix_id, doc_id, source, n_tokens, copies of every document that a mix takes, ``copies`` times each.
 
     Shares are relative weights. A mix's size is ``budget_ratio`` of the tokens of all documents with
-    a source. A target without documents, or with too few for its cap, gives what it can, and the
-    rest goes to the others by their weights; documents without a source join a domain that falls
-    short if their posterior for it is at least ``SURE`` (``source`` then names that domain). No document
-    is taken more than ``max_repeats`` times. Targets with NULL or non-positive shares or caps count
+    a source. A domain whose own documents are too few for its cap takes all of them and as much as it
+    still needs of the documents without a source that are likeliest its own, with a posterior of at
+    least ``SURE`` (``source`` then names that domain, where all their tokens count). A target without
+    documents, or with too few even so, gives what it can, and the rest goes to the others by their
+    weights, who may then fall short themselves. No document is taken more than ``max_repeats`` times. Targets with NULL or non-positive shares or caps count
     as absent. With no documents or no targets the result is empty.
     """
     names, docs = measured(documents, folder=folder, name=name)
-    supply = {r["domain"]: (r["tokens"], r["n"]) for r in docs.where("domain IS NOT NULL").groupBy("domain").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()}
+    docs = docs.select("doc_id", "n_tokens", F.col("domain").isNull().alias("soft"), F.coalesce("domain", joined(names)).alias("domain")).where("domain IS NOT NULL")
+    held = {(r["domain"], r["soft"]): (r["tokens"], r["n"]) for r in docs.groupBy("domain", "soft").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()}
+    supply = {n: x for (n, soft), x in held.items() if not soft}
     # Domains of the classifier come first, in its order; then those that its sample missed.
     names = names + sorted(set(supply) - set(names))
     rows = targets.select("mix_id", domain(F.col("source")).alias("source"), "target_share", "max_repeats", "budget_ratio").where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").orderBy("mix_id", "source").collect()
@@ -224,38 +224,34 @@ def mix(documents: DataFrame, targets: DataFrame, *, folder: str = TOKENIZERS, n
                 k = names.index(r["source"])
                 weight[k] += r["target_share"]
                 caps[k] = max(caps[k], r["max_repeats"])
-        have = np.array([supply.get(n, (0, 0))[0] for n in names], float)
-        m = Mix(mix_id, caps)
+        have, spare = (np.array([held.get((n, soft), (0, 0))[0] for n in names], float) for soft in (False, True))
         budget = max((r["budget_ratio"] or 0.0) for r in own) * total
-        target = effective_targets(weight, budget, have * caps)
-        plain = budget * weight / weight.sum() if weight.sum() else weight
-        m.short = (plain > have * caps) & (caps > 0)
-        mixes.append(m)
-        wanted.append(np.where(m.short, np.maximum(target, np.minimum(plain, target * 1.5)), target))
+        target = effective_targets(weight, budget, (have + spare) * caps)
+        mixes.append(Mix(mix_id, caps, target > have * caps))
+        wanted.append(target)
     if mixes and total:
         fit_rates(docs, names, mixes, wanted)
     at = {n: k for k, n in enumerate(names)}
-    sizes = {n: -(-c // BUCKET) for n, (_, c) in supply.items()}
-    buckets = F.create_map(*[F.lit(x) for n, c in sizes.items() for x in (n, int(c))]) if sizes else F.create_map(F.lit(""), F.lit(1))
+    buckets = F.create_map(*[F.lit(x) for (n, soft), (_, c) in held.items() for x in (f"{soft} {n}", -(-c // BUCKET))]) if held else F.create_map(F.lit(""), F.lit(1))
     dealt = (
-        docs.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.coalesce(F.element_at(buckets, F.coalesce("domain", F.lit(""))), F.lit(max([1, *sizes.values()])))))
-        .groupBy("domain", "u").agg(F.sort_array(F.collect_list(F.struct(F.col("n_tokens").alias("t"), "doc_id", "p")), asc=False).alias("x"))
+        docs.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.element_at(buckets, F.concat(F.when(F.col("soft"), "True ").otherwise("False "), "domain"))))
+        .groupBy("domain", "soft", "u").agg(F.sort_array(F.collect_list(F.struct(F.col("n_tokens").alias("t"), "doc_id")), asc=False).alias("x"))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for d, x in zip(pdf["domain"], pdf["x"]):
-                member, soft = _members([d] * len(x), [e["p"] for e in x], at)
+            for d, soft, x in zip(pdf["domain"], pdf["soft"], pdf["x"]):
                 out = []
                 for m in mixes:
                     due = done = 0.0
-                    for e, r, row in zip(x, m.rates(member, soft), member):
+                    r = float(m.rates(np.array([at[d]]), np.array([soft], bool))[0])
+                    for e in x if r else []:
                         t, copies = e["t"], int(r + 1e-9)
                         due, done = due + r * t, done + copies * t
                         if r - copies > 1e-9 and done + t / 2 <= due:
                             copies, done = copies + 1, done + t
                         if copies:
-                            out.append((m.mix_id, e["doc_id"], d or names[int(np.where(m.short, row, 0).argmax())], t, copies))
+                            out.append((m.mix_id, e["doc_id"], d, t, copies))
                 yield pd.DataFrame(out, columns=["mix_id", "doc_id", "source", "n_tokens", "copies"])
 
     kind = dict(documents.dtypes)["doc_id"]

@@ -32,3 +32,27 @@ def test_shares_and_caps(spark):
     assert one.copies.max() <= 3 and two[two.source == "rare"].copies.tolist() == [2]
     report = mixing.shares(mixing.mix(df, targets), targets).toPandas()
     assert len(report) == 6 and report[report.source == "ghost"].tokens.tolist() == [0]
+
+
+def test_documents_without_source_serve_a_short_domain(spark):
+    words = {"a": "gato rio mapa", "b": "carro motor roda", "c": "festa canto dança"}
+    docs = [(i, words["a"], "pt", "a", "txt") for i in range(20)] + [(100 + i, words["b"], "pt", "b", "md") for i in range(400)] + [(600 + i, words["c"], "pt", "c", "csv") for i in range(60)]
+    docs += [(1_000 + i, words["a"], "pt", None, "txt") for i in range(200)] + [(2_000 + i, words["c"], "pt", None, "csv") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, file_format string")
+    # Mix 1: the documents without a source give all that is missing. Mix 2: they don't, and the rest goes to b. Mix 3: c is short only by what a can't give.
+    wanted = [(1, "a", 1.0, 1, 0.5), (1, "b", 1.0, 1, 0.5), (2, "a", 9.0, 1, 0.8), (2, "b", 1.0, 2, 0.8), (3, "a", 8.0, 1, 0.6), (3, "c", 2.0, 1, 0.6)]
+    targets = spark.createDataFrame(wanted, "mix_id int, source string, target_share double, max_repeats int, budget_ratio double")
+    mixed = mixing.mix(df, targets).toPandas()
+    mixed["tokens"] = mixed.n_tokens * mixed.copies
+    _, measured = mixing.measured(df)
+    n = {r["domain"]: r["s"] for r in measured.groupBy("domain").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "s").collect()}
+    a, c = n["a"] // 20, n["c"] // 60
+    base = n["a"] + n["b"] + n["c"]
+    got = mixed.groupby(["mix_id", "source"]).tokens.sum()
+    for k, ratio in (1, 0.5), (2, 0.8), (3, 0.6):
+        assert abs(got[k].sum() - min(ratio * base, 220 * a + 100 * c if k == 3 else np.inf)) <= 2 * max(a, c)
+    assert abs(got[1]["a"] - 0.25 * base) <= a and abs(got[2]["a"] - min(0.72 * base, 220 * a)) <= a
+    assert abs(got[3]["c"] - min(0.6 * base - min(0.48 * base, 220 * a), 100 * c)) <= c and got[3]["c"] > n["c"]
+    # A short domain's own documents are all taken, to their cap, before those without a source.
+    assert set(mixed[(mixed.mix_id == 1) & (mixed.source == "a")].doc_id) > set(range(20))
+    assert mixed[mixed.mix_id != 2].copies.max() == 1
