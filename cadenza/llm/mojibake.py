@@ -28,7 +28,7 @@ THRESHOLD = 3.0
 LEAST_DOCS = 3
 #: Evidence of a token whose characters have the structure of a multi-byte encoding, which sound text has by chance only.
 STRUCTURE = 4.0
-#: How many times as frequent as its single-byte decoding a damaged form may be (a copied text can be in many documents).
+#: In how many times as many distinct texts as its single-byte decoding a damaged form may stand before its transitions must outweigh the odds.
 MOST_AS_IS = 10
 #: Most that one token weighs among the transitions.
 HEAVIEST = 50
@@ -64,9 +64,10 @@ _INSIDE = re.compile(r"[^\W\d_][^\x00-\x7f\w’‘·\xad][^\W\d_]|[^\W\d_][¹²
 class Channel:
     """Candidate decodings of tokens under a character transition model."""
 
-    def __init__(self, pairs: dict[str, int]) -> None:
+    def __init__(self, pairs: dict[str, int], seen: dict[str, int] | None = None) -> None:
         self.pairs = pairs
         self.total: Counter = Counter()
+        self.seen = seen or self.total  # by documents, copies and all
         for p, n in pairs.items():
             self.total[p[0]] += n
         self.kinds = max(2, len({p[1] for p in pairs}))
@@ -146,7 +147,7 @@ class Channel:
                             c = self._multibyte(t, codec)
                             if c and c != t and c not in out and any(ord(x) > 127 for x in c):
                                 found.append(c)
-                                if all(self.total.get(x, 0) >= LEAST_DOCS for x in c if ord(x) > 127):
+                                if all(self.seen.get(x, 0) >= LEAST_DOCS for x in c if ord(x) > 127):
                                     out[c] = ("utf8", STRUCTURE + self.gain(token, c))
                 frontier = found
                 if not found:
@@ -175,9 +176,9 @@ def pattern(word: Column) -> Column:
 
 
 def tokens_of(documents: DataFrame) -> DataFrame:
-    """doc_id, token: the distinct tokens with characters beyond ASCII of each document."""
+    """doc_id, copy (the same for equal texts), token: the distinct tokens with characters beyond ASCII of each document."""
     found = F.regexp_extract_all("text", F.lit(TOKEN), 0)
-    return documents.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, EDGES, "")))).alias("token"))
+    return documents.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("copy"), F.explode(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, EDGES, "")))).alias("token"))
 
 
 def damaged_tokens(tokens: DataFrame) -> DataFrame:
@@ -187,40 +188,49 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
     corpus (in ``LEAST_DOCS`` documents); a token with a replacement character is always damaged, and
     the most frequent word that fits its wildcards is preferred to the letters of the Viterbi path.
     Transitions are counted over distinct tokens that are not structured like a multi-byte encoding,
-    each weighing at most ``HEAVIEST``, so that neither damaged texts nor many copies of one look sound.
+    each weighing as much as distinct texts have it, at most ``HEAVIEST``, so that neither damaged
+    texts nor many copies of one look sound. A single-byte decoding that only copies of fewer distinct
+    texts hold needs a gain of ``THRESHOLD``, and one in far fewer distinct texts than the token
+    (``MOST_AS_IS``) a gain beyond that by the logarithm of the ratio.
     """
-    counts = cut(tokens.groupBy("token").agg(F.count("*").alias("n")))
+    counts = cut(tokens.groupBy("token", "copy").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("texts")))
     spark = tokens.sparkSession
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+        c, seen = Counter(), Counter()
         channel = Channel({})
         for pdf in batches:
-            for t, n in zip(pdf["token"], pdf["n"]):
+            for t, n, texts in zip(pdf["token"], pdf["n"], pdf["texts"]):
                 if LOST in t or channel.structured(t):
                     continue
                 s = " " + t + " "
                 for i in range(len(s) - 1):
-                    c[s[i : i + 2]] += min(n, HEAVIEST)
-        yield pd.DataFrame({"pair": list(c), "n": list(c.values())})
+                    c[s[i : i + 2]] += min(texts, HEAVIEST)
+                    seen[s[i : i + 2]] += min(n, HEAVIEST)
+        yield pd.DataFrame({"pair": list(c), "n": list(c.values()), "seen": list(seen.values())})
 
-    model = counts.mapInPandas(pairs, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(MOST_PAIRS).collect()
-    shared = spark.sparkContext.broadcast({r["pair"]: r["n"] for r in model})
+    model = counts.mapInPandas(pairs, "pair string, n bigint, seen bigint").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")).orderBy(F.desc("n"), "pair").limit(MOST_PAIRS).collect()
+    seen: Counter = Counter()
+    for r in model:
+        seen[r["pair"][0]] += r["seen"]
+    shared = spark.sparkContext.broadcast(({r["pair"]: r["n"] for r in model}, dict(seen)))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        channel = Channel(shared.value)
+        channel = Channel(*shared.value)
         for pdf in batches:
             rows = [(t, c, kind, gain) for t in pdf["token"] for c, kind, gain in channel.candidates(t)]
             yield pd.DataFrame(rows, columns=["token", "candidate", "kind", "gain"])
 
     found = counts.select("token").mapInPandas(decode, "token string, candidate string, kind string, gain double")
-    words = counts.groupBy(core(F.col("token")).alias("word")).agg(F.sum("n").alias("known"))
+    words = counts.groupBy(core(F.col("token")).alias("word")).agg(F.sum("n").alias("docs"), F.sum("texts").alias("known"))
     best = F.struct(F.col("score"), F.col("known"), F.col("candidate"))
+    odds = F.log(F.col("as_is")) - F.log(MOST_AS_IS * F.greatest("known", F.lit(1)))
+    needed = F.greatest(F.when(F.col("known") < LEAST_DOCS, THRESHOLD).otherwise(0.0), F.when(odds > 0.0, odds + THRESHOLD).otherwise(0.0))
     decoded = cut(
         found.withColumn("word", core(F.col("candidate"))).join(words, "word", "left")
         .withColumn("plain", core(F.col("token"))).join(words.select(F.col("word").alias("plain"), F.col("known").alias("as_is")), "plain", "left")
         .withColumn("known", F.coalesce("known", F.lit(0)))
-        .where((F.col("kind") != "single") | (F.col("known") >= F.greatest(F.lit(LEAST_DOCS), F.col("as_is") / MOST_AS_IS)))
+        .where((F.col("kind") != "single") | (F.col("docs") >= LEAST_DOCS) & (F.col("gain") >= needed))
         .withColumn("score", F.col("gain") + F.log1p(F.col("known").cast("double")))
         .groupBy("token").agg(F.max(best).alias("x")).where(F.col("x.score") >= THRESHOLD)
         .select("token", F.col("x.candidate").alias("restored"))
@@ -242,7 +252,7 @@ def find(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     Documents with NULL or plain ASCII text are never damaged.
     """
     tokens = cut(tokens_of(documents))
-    hits = tokens.join(damaged_tokens(tokens), "token")
+    hits = tokens.drop("copy").join(damaged_tokens(tokens), "token")
     return hits.select("doc_id").distinct(), hits
 
 

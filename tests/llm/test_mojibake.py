@@ -46,3 +46,14 @@ def test_lost_bytes_and_double_damage(spark):
     assert {r["doc_id"] for r in mojibake.find(df)[0].collect()} == {900, 901}
     restored = {r["doc_id"]: r["restored"] for r in mojibake.restore(df).collect()}
     assert restored == {900: "a gravação da música", 901: "a gravação do rio"}
+
+
+def test_damaged_text_in_a_third_of_all_documents(spark):
+    rng = random.Random(11)
+    rare = "ação razão coração irmão avô maçã lição países"
+    bad = rare.encode("cp1252").decode("mac_roman")
+    texts = corpus(rng, 200)
+    texts = [t + " " + rare if i < 4 else t for i, t in enumerate(texts)]
+    df = spark.createDataFrame(list(enumerate(texts + [bad] * 100)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in mojibake.find(df)[0].collect()} == set(range(200, 300))
+    assert {tuple(r["restored"].split()[:-1]) for r in mojibake.restore(df).collect()} == {tuple(rare.split()[:-1])}
