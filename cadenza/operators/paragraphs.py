@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import folds
+from cadenza.functions import text as T
 from cadenza.operators import sequence
 
 #: Pause that ends a paragraph (ms); soft and hard length; a tail under ``SHORT`` goes back if the whole stays within ``HARD + SHORT``.
@@ -90,3 +91,30 @@ def blocks(text: Column, limit: int = 12_000) -> Column:
 def block_id(index: Column, text: Column, contract: str = CONTRACT) -> Column:
     """First 20 hex digits of the SHA-256 of contract, index and text, NUL between them."""
     return F.substring(F.sha2(F.concat(F.lit(contract), F.lit("\0"), index.cast("string"), F.lit("\0"), text), 256), 1, 20)
+
+
+def assemble_results(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """job_id, n_blocks, missing, unknown, state, text of every job with blocks or accepted answers.
+
+    ``blocks`` has job_id, block_index and block_id, ``answers`` job_id, block_id, text, received_at
+    and response_id. The first answer to a block that isn't blank is accepted. ``state`` is 'order' if
+    a job's indices aren't 0, 1, ... without gaps or repeats, else 'incomplete' if an id stands twice,
+    a block has no accepted answer (``missing``) or an accepted answer no block (``unknown``), else
+    'assembled'; only then is ``text`` not NULL: the answers in block order, a blank line between
+    them. Only such jobs' texts are gathered, each into its one result row.
+    """
+    clean = T.strip(F.regexp_replace("text", r"\r\n?", "\n"))
+    first = F.struct(F.col("received_at").isNull(), "received_at", "response_id", clean.alias("text"))
+    accepted = answers.where("job_id IS NOT NULL").where(clean != "").groupBy("job_id", "block_id").agg(F.min(first).alias("x")).select("job_id", "block_id", F.col("x.text").alias("text"))
+    plan = blocks.where("job_id IS NOT NULL").select("job_id", "block_index", "block_id", F.lit(1).alias("planned")).distinct()
+    both = plan.join(accepted, ["job_id", "block_id"], "full")
+    n = F.count("planned")
+    ordered = F.coalesce((F.min("block_index") == 0) & (F.max("block_index") == n - 1) & (F.countDistinct("block_index") == n), n == 0)
+    sums = both.groupBy("job_id").agg(
+        n.alias("n_blocks"), F.count(F.when(F.col("text").isNull(), 1)).alias("missing"), F.count(F.when(F.col("planned").isNull(), 1)).alias("unknown"),
+        ordered.alias("ordered"), (F.countDistinct("block_id", "planned") == n).alias("once"),
+    )
+    state = F.when(~F.col("ordered"), "order").when(~F.col("once") | (F.col("missing") > 0) | (F.col("unknown") > 0), "incomplete").otherwise("assembled")
+    sums = sums.select("job_id", "n_blocks", "missing", "unknown", state.alias("state"))
+    whole = both.join(sums.where("state = 'assembled'").select("job_id"), "job_id", "left_semi").groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("block_index", "text"))).alias("x"))
+    return sums.join(whole.select("job_id", F.array_join("x.text", "\n\n").alias("text")), "job_id", "left")

@@ -336,6 +336,26 @@ def pck04_reassemble(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count("*").alias("n_blocks"), (F.count("*") - F.count("done")).alias("missing"), (F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("chars"))
 
 
+@query(r"""
+WITH b AS (SELECT DISTINCT job_id, block_index, block_id FROM editorial_blocks WHERE job_id IS NOT NULL),
+t AS (SELECT q.job_id, q.block_id, a.received_at, a.response_id, regexp_replace(regexp_replace(a.text, '\r\n?', chr(10), 'g'), '^[\s\x0b\x1c-\x1f\x{85}\x{a0}]+|[\s\x0b\x1c-\x1f\x{85}\x{a0}]+$', '', 'g') AS text
+  FROM editorial_requests q JOIN editorial_responses a USING (request_id) WHERE q.job_id IS NOT NULL),
+k AS (SELECT job_id, block_id, text FROM (SELECT *, row_number() OVER (PARTITION BY job_id, block_id ORDER BY received_at NULLS LAST, response_id, text) AS n FROM t WHERE text <> '') WHERE n = 1),
+j AS (SELECT job_id, count(*) AS n_blocks, count(k.text IS NULL OR NULL) AS missing, coalesce(min(block_index) = 0 AND max(block_index) = count(*) - 1 AND count(DISTINCT block_index) = count(*), FALSE) AS ordered,
+  count(DISTINCT block_id) = count(*) AS once, string_agg(k.text, chr(10) || chr(10) ORDER BY block_index) AS text FROM b LEFT JOIN k USING (job_id, block_id) GROUP BY job_id),
+u AS (SELECT job_id, count(*) AS unknown FROM k ANTI JOIN b USING (job_id, block_id) GROUP BY job_id),
+s AS (SELECT job_id, coalesce(n_blocks, 0) AS n_blocks, coalesce(missing, 0) AS missing, coalesce(unknown, 0) AS unknown, text,
+  CASE WHEN NOT ordered THEN 'order' WHEN NOT once OR missing > 0 OR unknown > 0 THEN 'incomplete' ELSE 'assembled' END AS state FROM j FULL JOIN u USING (job_id))
+SELECT job_id, n_blocks, missing, unknown, state, CASE WHEN state = 'assembled' THEN text END AS text, CASE WHEN state = 'assembled' THEN length(text) END AS chars FROM s
+""")
+def pck04_assembled(spark: SparkSession, d: str) -> DataFrame:
+    """Each job's accepted answers joined in block order, or why they can't be."""
+    asked = table(spark, d, "editorial_requests").select("request_id", "job_id", "block_id").distinct()
+    answers = table(spark, d, "editorial_responses").select("request_id", "response_id", "text", "received_at").join(asked, "request_id")
+    out = paragraphs.assemble_results(table(spark, d, "editorial_blocks"), answers)
+    return out.select("job_id", "n_blocks", "missing", "unknown", "state", "text", F.length("text").cast("bigint").alias("chars"))
+
+
 TOKENS_SQL = "regexp_extract_all(" + FOLD_SQL + ", '[\\p{{L}}\\p{{N}}_]+(?:[’''\\-][\\p{{L}}\\p{{N}}_]+)*')"
 
 

@@ -213,3 +213,14 @@ def test_markdown_blocks(spark):
     df = spark.createDataFrame([("d", "# T\n\n> [!WARNING] cuidado\n> com [a](http://b)\n\n \n\ntexto"), ("e", None)], "k string, m string")
     got = [(r["block"], r["heading"], r["warning"], r["note"], r["link"]) for r in search.markdown_blocks(df, key="k", markdown="m").orderBy("position").collect()]
     assert got == [("# T", True, False, False, ""), ("cuidado\ncom [a](http://b)", False, True, False, "http://b"), ("texto", False, False, False, "")]
+
+
+def test_results_of_blocks_are_joined_in_order(spark):
+    blocks = [("a", i, f"a{i}") for i in (1, 0, 2, 1)] + [("gap", 0, "g0"), ("gap", 2, "g2"), ("twice", 0, "t"), ("twice", 1, "t"), ("open", 0, "o0"), ("open", 1, "o1"), ("stray", 0, "s0"), ("same", 0, "x"), ("same", 0, "y")]
+    answers = [("a", "a0", " eins\r\nzwei \n", 5, 1), ("a", "a0", "later", 6, 2), ("a", "a1", "\t\n", 1, 3), ("a", "a1", "drei", 2, 4), ("a", "a2", "undated", None, 5), ("a", "a2", "vier", 9, 6)]
+    answers += [("gap", "g0", "x", 1, 7), ("gap", "g2", "x", 1, 8), ("twice", "t", "x", 1, 9), ("open", "o0", "x", 1, 10), ("open", "o1", None, 1, 11), ("stray", "s0", "x", 1, 12), ("stray", "s9", "x", 1, 13), ("same", "x", "x", 1, 14), ("same", "y", "x", 1, 15), ("none", "n0", "x", 1, 16)]
+    got = paragraphs.assemble_results(spark.createDataFrame(blocks, "job_id string, block_index int, block_id string"), spark.createDataFrame(answers, "job_id string, block_id string, text string, received_at int, response_id bigint"))
+    assert {r["job_id"]: tuple(r)[1:] for r in got.collect()} == {
+        "a": (3, 0, 0, "assembled", "eins\nzwei\n\ndrei\n\nvier"), "gap": (2, 0, 0, "order", None), "twice": (2, 0, 0, "incomplete", None), "open": (2, 1, 0, "incomplete", None),
+        "stray": (1, 0, 1, "incomplete", None), "same": (2, 0, 0, "order", None), "none": (0, 0, 1, "incomplete", None),
+    }
