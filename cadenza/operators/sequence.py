@@ -48,12 +48,11 @@ def islands(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str
     return running_max(df.withColumn("_fresh", fresh), keys, bucket, order, F.when(F.col("_fresh"), F.struct(*order)), name=name).drop("_fresh")
 
 
-def text_before(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], text: str, *, most: int, reach: int = 16, name: str = "context") -> DataFrame:
+def text_before(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], text: str, *, most: int, name: str = "context") -> DataFrame:
     """``df`` with the last ``most`` characters of all ``text`` before each row, joined by spaces; NULL if there is none.
 
-    A bucket must be small (some dozens of rows). Beyond its own bucket a row sees the ends of the
-    ``reach`` buckets before it; what is further back matters only if all of those together have
-    fewer than ``most`` characters.
+    A bucket must be small (some dozens of rows). Beyond its own bucket a row sees the ends of as many
+    buckets before it as ``most`` characters take, found by running sums of their lengths.
     """
     spread = [*keys, bucket]
     w = Window.partitionBy(*spread).orderBy(*order)
@@ -62,7 +61,11 @@ def text_before(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence
     rows = df.withColumn("_inside", F.right(inside, F.lit(most)))
     whole = df.groupBy(*spread).agg(F.sort_array(F.collect_list(F.struct(*order, said.alias("_t")))).alias("_x"))
     ends = whole.select(*spread, F.right(F.array_join(F.transform("_x", lambda x: x["_t"]), " "), F.lit(most)).alias("_end"))
-    back = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(-reach, -1)
-    carry = ends.select(*spread, F.array_join(F.filter(F.collect_list("_end").over(back), lambda x: x != ""), " ").alias("_carry"))
+    by_bucket = Window.partitionBy(*keys).orderBy(bucket)
+    size = F.when(F.col("_end") != "", F.length("_end") + 1).otherwise(0).cast("bigint")
+    sums = ends.withColumn("_upto", F.sum(size).over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)))
+    back = Window.partitionBy(*keys).orderBy("_upto").rangeBetween(-most, 0)
+    tails = sums.withColumn("_tail", F.right(F.array_join(F.collect_list(F.nullif("_end", F.lit(""))).over(back), " "), F.lit(most)))
+    carry = tails.select(*spread, F.lag("_tail").over(by_bucket).alias("_carry"))
     both = F.concat_ws(" ", F.nullif(F.col("_carry"), F.lit("")), F.nullif(F.col("_inside"), F.lit("")))
     return rows.join(carry, spread).withColumn(name, F.nullif(F.right(both, F.lit(most)), F.lit(""))).drop("_inside", "_carry")

@@ -30,3 +30,12 @@ def test_text_before(spark):
     for i in range(30):
         want = " ".join(t for _, j, _, t in rows if j < i and t)[-11:]
         assert got[i] == (want or None)
+
+
+def test_text_before_looks_back_over_any_number_of_buckets(spark):
+    rows = [("k", i, i // 3, "first%02d" % i if i < 3 else "x" if i % 60 == 0 else "  ") for i in range(180)]
+    df = spark.createDataFrame(rows, "k string, i int, b int, t string")
+    got = {r["i"]: r["context"] for r in sequence.text_before(df, ["k"], "b", ["i"], "t", most=18).collect()}
+    for i in range(180):
+        want = " ".join(t for _, j, _, t in rows if j < i and t.strip())[-18:]
+        assert got[i] == (want or None)
