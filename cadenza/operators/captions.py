@@ -56,3 +56,12 @@ def merged(cues: DataFrame, keys: list[str], bucket: str, order: list[str]) -> D
 
     folded = F.aggregate("x", F.array().cast(out), lambda acc, c: F.when(F.size(acc) == 0, F.array(F.struct(c["a"].alias("a"), c["z"].alias("z"), c["t"].alias("t"), F.lit(1).alias("n"))).cast(out)).otherwise(add(acc, c)))
     return groups.select(*keys, "speaker", F.inline(folded)).select(*keys, F.col("a").alias("start_ms"), F.col("z").alias("end_ms"), "speaker", F.col("t").alias("text"), F.col("n").alias("cues"))
+
+
+def normalized(cues: DataFrame, keys: list[str], bucket: str, order: list[str]) -> DataFrame:
+    """keys, start_ms, end_ms, speaker, text, cues: cues without repeated words, merged only in files (``keys``) where some cue repeats the one before."""
+    rows = without_rolling(cues, keys, bucket, order)
+    rolling = rows.where("repeated > 0").select(*keys).distinct()
+    fresh = rows.where("fresh_text IS NOT NULL").drop("text").withColumnRenamed("fresh_text", "text")
+    alone = fresh.join(rolling, keys, "left_anti").select(*keys, "start_ms", "end_ms", "speaker", "text", F.lit(1).alias("cues"))
+    return merged(fresh.join(rolling, keys, "left_semi"), keys, bucket, order).unionByName(alone)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.common import millis
+
 #: Time bucket of range joins in milliseconds.
 BUCKET_MS = 60_000
 TOLERANCE = 1e-6
@@ -85,6 +87,16 @@ def plans(media: DataFrame) -> DataFrame:
     return media.where("duration > 0").mapInPandas(run, "media_id string, chunk_index int, start_sec double, end_sec double, overlap_before double, boundary string")
 
 
+def clipped_words(words: Column, chunk_s: Column, clip_s: Column, clip_e: Column) -> Column:
+    """Words (start_sec, end_sec of the source) of a clipped segment with clip_s and clip_e (ms within the chunk); those that do not last are dropped."""
+    def clip(w: Column) -> Column:
+        start = F.least(F.greatest(millis(w["start_sec"]) - chunk_s, clip_s), clip_e)
+        return w.withField("clip_s", start).withField("clip_e", F.least(F.greatest(millis(w["end_sec"]) - chunk_s, start), clip_e))
+
+    timed = F.filter(words, lambda w: w["start_sec"].isNotNull() & w["end_sec"].isNotNull())
+    return F.filter(F.transform(timed, clip), lambda w: w["clip_e"] > w["clip_s"])
+
+
 def clipped(segments: DataFrame) -> DataFrame:
     """Segments within their chunk, on the chunk's own time line and back on the source's.
 

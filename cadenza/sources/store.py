@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -40,3 +40,18 @@ def reconcile(chunks: DataFrame, results: DataFrame, *, key: str = "job_id", ind
     out = both.agg(F.array_sort(F.collect_set(F.when(F.col("done") == 1, F.col(index)))).alias("completed"), F.array_sort(F.collect_set(F.when(F.col("done").isNull(), F.col(index)))).alias("pending"))
     n = F.size("completed") + F.size("pending")
     return out.withColumn("progress", F.when(n == 0, F.lit(1.0)).otherwise(F.size("completed") / n))
+
+
+def with_result(completed: Column, errors: Column, index: Column) -> tuple[Column, Column]:
+    """(completed, errors) once chunk ``index`` has its result: among the completed, in order, and without an error."""
+    return F.array_sort(F.array_union(completed, F.array(index))), F.map_filter(errors, lambda k, _: k != index)
+
+
+def consistent(chunks: Column, completed: Column, errors: Column) -> Column:
+    """Whether the completed chunks and those with errors (a map by index) are all among a job's chunks."""
+    return (F.size(F.array_except(completed, chunks)) == 0) & (F.size(F.array_except(F.map_keys(errors), chunks)) == 0)
+
+
+def outputs(groups: Column) -> Column:
+    """All paths of a map of output groups: original, captions, improved, each in its own order."""
+    return F.flatten(F.array(*[F.coalesce(F.try_element_at(groups, F.lit(k)), F.array().cast("array<string>")) for k in ("original", "captions", "improved")]))

@@ -63,3 +63,9 @@ def test_clip_and_words(spark):
     words = spark.createDataFrame([("j", 0, 100, 200), ("j", 0, 3_600, 4_000), ("j", 1, 100, 200)], "job_id string, chunk_index int, ws bigint, we bigint")
     got = {r[0]: r[1] for r in chunks.contained_words(seg.select("job_id", "chunk_index", "segment_id", F.greatest("s", F.lit(0)).alias("s"), "e"), words, keys=["job_id", "chunk_index"]).collect()}
     assert got == {1: 2, 2: 1}
+
+
+def test_clipped_words(spark):
+    words = "array(named_struct('text', 'a', 'start_sec', 9.0D, 'end_sec', 10.5D), named_struct('text', 'b', 'start_sec', 10.5D, 'end_sec', 13.0D), named_struct('text', 'c', 'start_sec', 12.5D, 'end_sec', 14.0D), named_struct('text', 'd', 'start_sec', CAST(NULL AS DOUBLE), 'end_sec', 11.0D))"
+    got = spark.range(1).select(chunks.clipped_words(F.expr(words), F.lit(10_000), F.lit(0), F.lit(2_000)).alias("w")).first()["w"]
+    assert [(w["text"], w["clip_s"], w["clip_e"]) for w in got] == [("a", 0, 500), ("b", 500, 2_000)]

@@ -58,3 +58,13 @@ def test_store(spark, tmp_path):
     done = spark.createDataFrame([("j", 0), ("j", 7)], "job_id string, chunk_index int")
     got = {r["job_id"]: (r["completed"], r["pending"], r["progress"]) for r in store.reconcile(chunks, done).collect()}
     assert got == {"j": ([0], [1], 0.5), "k": ([], [0], 0.0)}
+
+
+def test_set_updates_and_outputs(spark):
+    df = spark.range(1).select(F.expr("array(3, 1)").alias("done"), F.expr("map(2, 'late', 4, 'lost')").alias("errors"), F.expr("array(0, 1, 2, 3)").alias("chunks"))
+    done, errors = store.with_result(F.col("done"), F.col("errors"), F.lit(2))
+    assert tuple(df.select(done, errors).first()) == ([1, 2, 3], {4: "lost"})
+    c, d, e = F.col("chunks"), F.col("done"), F.col("errors")
+    assert tuple(df.select(store.consistent(c, d, e), store.consistent(c, d, F.map_filter(e, lambda k, _: k < 4)), store.consistent(F.array(F.lit(1)), d, F.map_filter(e, lambda k, _: k < 0))).first()) == (False, True, False)
+    groups = spark.range(1).select(F.expr("map('improved', array('i'), 'other', array('x'), 'original', array('b', 'a'))").alias("g"))
+    assert groups.select(store.outputs(F.col("g"))).first()[0] == ["b", "a", "i"]

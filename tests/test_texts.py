@@ -224,3 +224,16 @@ def test_results_of_blocks_are_joined_in_order(spark):
         "a": (3, 0, 0, "assembled", "eins\nzwei\n\ndrei\n\nvier"), "gap": (2, 0, 0, "order", None), "twice": (2, 0, 0, "incomplete", None), "open": (2, 1, 0, "incomplete", None),
         "stray": (1, 0, 1, "incomplete", None), "same": (2, 0, 0, "order", None), "none": (0, 0, 1, "incomplete", None),
     }
+
+
+def test_cues_are_merged_only_in_rolling_files(spark):
+    texts = {"r": ["hoje vamos", "vamos falar", "de rios"], "p": ["um", "dois"]}
+    rows = [(f, i, 0, i * 1000, i * 1000 + 1000, None, t) for f, x in texts.items() for i, t in enumerate(x)]
+    df = spark.createDataFrame(rows, "job_id string, i int, h int, start_ms bigint, end_ms bigint, speaker string, text string")
+    got = sorted((r["job_id"], r["start_ms"], r["end_ms"], r["text"], r["cues"]) for r in captions.normalized(df, ["job_id"], "h", ["i"]).collect())
+    assert got == [("p", 0, 1000, "um", 1), ("p", 1000, 2000, "dois", 1), ("r", 0, 3000, "hoje vamos falar de rios", 3)]
+
+
+def test_first_language(spark):
+    df = spark.createDataFrame([("a", 2, "en"), ("a", 0, None), ("a", 1, ""), ("a", 3, "pt"), ("b", 0, None)], "job_id string, chunk_index int, language string")
+    assert {r["job_id"]: r["language"] for r in assembly.first_language(df).collect()} == {"a": "en", "b": None}
