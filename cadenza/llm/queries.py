@@ -13,11 +13,17 @@ from cadenza.llm.sql import SQL  # noqa: F401
 def p2_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container of every editorial block (or part of a block over the capacity) of each job, and its fill."""
     sizes = table(spark, sf_dir, "editorial_blocks").select("job_id", "block_index", "block_id", "planner_id", F.length("text").alias("chars")).dropDuplicates(["block_id"])
-    rows = sizes.join(table(spark, sf_dir, "planners").select("planner_id", "max_chars"), "planner_id")
+    rows = sizes.join(table(spark, sf_dir, "planners").select("planner_id", "max_chars"), "planner_id", "left")
     out = packing.pack(rows, group="job_id", item="block_index", size="chars", capacity="max_chars")
     return out.withColumn("fill", F.round("fill", 6))
 
 
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block's characters over its containers, its parts, and whether any of these containers is over its capacity."""
+    g = p2_containers(spark, sf_dir).where("chars IS NOT NULL").groupBy("job_id", "block_index", "capacity")
+    return g.agg(F.sum("chars").alias("chars"), F.count("*").alias("parts"), F.max(F.col("container_chars") > F.col("capacity")).alias("over"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective responses with their kind of defect."""
     models = language.fit(spark, sf_dir)
@@ -98,5 +104,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_containers, p3_found, p4_found, p4_turns, p5_found, p5_pieces, p6_found, p6_languages, p7_found, p7_alignments, p8_mix, p8_shares, p9_found, p9_restored)
+    for f in (p2_containers, p2_coverage, p3_found, p4_found, p4_turns, p5_found, p5_pieces, p6_found, p6_languages, p7_found, p7_alignments, p8_mix, p8_shares, p9_found, p9_restored)
 }

@@ -1,6 +1,11 @@
 """SQL for the queries that SQL can express over whole tables."""
 
 SQL: dict[str, str] = {
+    "p2_coverage": """
+WITH b AS (SELECT DISTINCT block_id, job_id, block_index, planner_id, length(text) AS n FROM editorial_blocks WHERE text IS NOT NULL)
+SELECT job_id, block_index, max_chars AS capacity, CAST(sum(n) AS BIGINT) AS chars, CAST(sum(greatest(1, ceil(n / max_chars))) AS BIGINT) AS parts, false AS over
+FROM b JOIN planners USING (planner_id) GROUP BY job_id, block_index, max_chars
+""",
     "p5_found": """
 SELECT DISTINCT block_id FROM editorial_blocks JOIN planners USING (planner_id)
 WHERE length(trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12))) > floor(target_duration * chars_per_sec)
