@@ -2,13 +2,16 @@
 
 Answers that have nothing in common with their request are compared with each other: their openings
 are clustered by MinHash, similar pairs verified, and what recurs across unrelated requests without
-being speech is a refusal template. The other kinds are found pair by pair.
+being speech is a refusal template. An answer that is far shorter than its request and no speech
+either is none of its renderings and declines too, so that a template need not recur in small tables.
+The other kinds are found pair by pair.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,12 @@ from cadenza.llm import charlm, language, leakage, speech
 
 #: Share of an answer's three-word sequences that its request must hold for the two to be related.
 RELATED = 0.3
-#: Requests across which an opening must recur to be a template, and share of an answer that templates must explain.
-LEAST_PROMPTS, EXPLAINED = 3, 0.4
+#: Requests across which an opening must recur to be a template, at least and as a share of all with unrelated answers, and share of an answer that templates must explain.
+LEAST_PROMPTS, PROMPT_SHARE, EXPLAINED = 3, 0.001, 0.4
+#: Words of an answer as a part of its request's below which it is no rendering of all of it.
+WHOLE = 0.7
+#: Most words of a placeholder for no content.
+PLACEHOLDER = 2
 #: Share of an opening's sequences that may occur in requests; speech in another language has more.
 SPOKEN = 0.55
 #: Words of an opening, words of a shingle, similarity of one template's openings, hash functions a band, bands.
@@ -29,30 +36,24 @@ OPENING, SHINGLE, SIMILAR, ROWS, BANDS = 16, 5, 0.8, 4, 24
 #: Part of the request's words at its end that must be missing for an answer to be truncated.
 TAIL = 0.1
 
-# Common ways to decline, so that templates are known where too few answers are at hand.
-DECLINED = [
-    "Desculpe, mas não posso ajudar com isso.", "Sinto muito, não consigo atender a esse pedido.", "Lamento, mas não posso revisar este texto.", "Infelizmente não tenho como ajudar com esse conteúdo.", "Como assistente, não posso processar este bloco de acordo com as minhas diretrizes.",
-    "I'm sorry, but I can't help with that request.", "Unfortunately I am unable to revise this content.", "As an assistant, I won't be able to process this text.", "I cannot assist with this because of my guidelines.",
-    "Lo siento, pero no puedo ayudar con este texto.", "Disculpa, no me es posible revisar este contenido.", "Lamentablemente no puedo procesar esta solicitud según mis normas.", "Como asistente, no puedo atender esta petición.",
-    "Désolé, je ne peux pas vous aider avec ce texte.", "Malheureusement je ne suis pas en mesure de répondre à cette demande.", "Je regrette, mais je ne peux pas traiter ce passage selon mes consignes.", "En tant qu'assistant, je ne peux pas réviser ce contenu.",
-    "Es tut mir leid, aber ich kann dabei nicht helfen.", "Leider kann ich diese Anfrage nicht erfüllen.", "Entschuldigung, aber ich kann diesen Text nicht bearbeiten.", "Als Assistent darf ich diesen Inhalt nach meinen Richtlinien nicht überarbeiten.",
-]
-# Placeholders for no content, folded.
-PLACEHOLDERS = [
-    "", "vazio", "vacio", "empty", "leer", "vide", "null", "none", "nil", "nan", "na", "n a", "nenhum", "nada", "sem conteudo", "sem texto", "sem resposta",
-    "no content", "no text", "no response", "no answer", "sin contenido", "sin texto", "sans contenu", "kein inhalt", "undefined", "blank", "todo", "tbd", "placeholder",
-]
-
 _TAGS = re.compile(r"</?[A-Za-z_][^<>]*>|```\w*|\*\*|__")
 _ENDS = re.compile(r"[.?!…](?=[\s\"”’»)\]]|$)")
 _REMARK = re.compile(r"\[[^\]]*\]|\([^()]*\)")
 _HESITATION = re.compile(r"(?:h+u*m+|u+h+m*|h+a+n*|a+h+n*|e{2,}|e+h+m*|m{2,}|e+u+h+|h+e+u+|o+h+m*|a+h+m*)")
 
 
-def _is_empty(text: str | None) -> bool:
-    if text is None:
+def _is_empty(text: str | None, request: str | None = None) -> bool:
+    """Whether an answer holds no content: nothing but marks, tags and remarks, or a word or two that stand for nothing.
+
+    What the request says too is content, and so is any answer to a request that is about as short.
+    """
+    said = leakage.words(_TAGS.sub(" ", text.replace("\u200b", ""))) if text else []
+    if not said:
         return True
-    return " ".join(leakage.words(_TAGS.sub(" ", text.replace("​", "")))) in PLACEHOLDERS
+    asked = leakage.words(_TAGS.sub(" ", request)) if request else []
+    if 2 * sum(w in asked for w in said) > len(said) or len(said) >= WHOLE * len(asked):
+        return False
+    return len(said) <= PLACEHOLDER or not leakage.words(_REMARK.sub(" ", _TAGS.sub(" ", text)))
 
 
 def _content(text: str) -> list[str]:
@@ -94,13 +95,16 @@ def missing_tail(request: list[str], answer: list[str]) -> float:
 
 
 def is_copy(request: str, answer: str) -> bool:
-    """Whether an unpunctuated request came back unrevised but for case, white space, a lead-in or markup."""
+    """Whether an unpunctuated request came back unrevised but for case, white space, a lead-in or markup.
+
+    What surrounds it is short if it has at most 15 words, or fewer than the request itself.
+    """
     if _ENDS.search(request):
         return False
     r = leakage.words(request)
     body = _TAGS.sub(" ", answer)
     a = leakage.words(body)
-    if not r or len(a) < len(r) or len(a) - len(r) > 15:
+    if not r or len(a) < len(r) or len(a) - len(r) > max(15, len(r) - 1):
         return False
     for k in range(len(a) - len(r) + 1):
         if a[k : k + len(r)] == r:
@@ -120,7 +124,7 @@ def is_copy(request: str, answer: str) -> bool:
 
 
 def examine(pairs: DataFrame, models: charlm.LanguageModels) -> DataFrame:
-    """response_id, request_id, related, empty, foreign (share of the answer's words in another language), tail, copied."""
+    """response_id, request_id, related, ratio (of words), empty, foreign (share of the answer's words in another language), tail, copied."""
     names = models.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +132,14 @@ def examine(pairs: DataFrame, models: charlm.LanguageModels) -> DataFrame:
         for batch in batches:
             label_r, _, emit_r, at_r = language.label_words(batch.column("request_words"), scores, language.SWITCH)
             label_a, _, _, at_a = language.label_words(batch.column("answer_words"), scores, language.SWITCH)
-            out: dict[str, list] = {k: [] for k in ("related", "empty", "foreign", "tail", "copied")}
+            out: dict[str, list] = {k: [] for k in ("related", "ratio", "empty", "foreign", "tail", "copied")}
             for i, (q, a) in enumerate(zip(batch.column("request").to_pylist(), batch.column("answer").to_pylist())):
-                empty = _is_empty(a)
+                empty = _is_empty(a, q)
                 request, answer = (_content(q), _content(_REMARK.sub(" ", a))) if not empty else ([], [])
                 own = np.bincount(label_r[at_r[i] : at_r[i + 1]], minlength=len(names))
                 theirs = np.bincount(label_a[at_a[i] : at_a[i + 1]], minlength=len(names))
                 out["related"].append(_related(answer, request))
+                out["ratio"].append(len(answer) / max(1, len(request)))
                 out["empty"].append(empty)
                 out["foreign"].append(float(1 - theirs[own.argmax()] / theirs.sum()) if own.sum() and theirs.sum() else 0.0)
                 out["tail"].append(missing_tail(request, answer) if not empty else 1.0)
@@ -143,7 +148,7 @@ def examine(pairs: DataFrame, models: charlm.LanguageModels) -> DataFrame:
 
     spoken = lambda c: language.words_of(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?m)^[^:\n]{1,30}:(?=\s)|<[^>]*>", " "))
     rows = pairs.select("response_id", "request_id", "request", "answer", spoken(F.col("request")).alias("request_words"), spoken(F.col("answer")).alias("answer_words"))
-    return rows.mapInArrow(run, "response_id bigint, request_id bigint, related double, empty boolean, foreign double, tail double, copied boolean")
+    return rows.mapInArrow(run, "response_id bigint, request_id bigint, related double, ratio double, empty boolean, foreign double, tail double, copied boolean")
 
 
 def plain_words(text: Column) -> Column:
@@ -161,54 +166,74 @@ def shingles(words: Column, n: int) -> Column:
     return speech.let(words, of)
 
 
+def _linked(rows: DataFrame, similar: float) -> DataFrame:
+    """x, y: links of rows to representatives that share a MinHash band with them and are ``similar``.
+
+    Of each band's bucket one row, drawn by a hash that differs from band to band, represents the
+    others, so that a bucket of n rows gives n pairs. Rows that are not similar to it get another
+    representative in the next round, until none is left.
+    """
+    sig = F.transform(F.sequence(F.lit(0), F.lit(ROWS * BANDS - 1)), lambda k: F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, k))))
+    bands = rows.withColumn("sig", sig).select("id", "shingles", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)))).alias("band", "h"))
+    left, links = cut(bands), []
+    while True:
+        first = left.groupBy("band", "h").agg(F.min_by(F.struct("id", "shingles"), F.struct(F.xxhash64("id", "band"), "id")).alias("r"), F.count("*").alias("n")).where("n > 1")
+        shared = F.size(F.array_intersect("shingles", "r.shingles"))
+        both = left.join(first.hint("merge"), ["band", "h"]).where(F.col("id") != F.col("r.id"))
+        tried = cut(both.select("band", "h", "id", "shingles", F.col("r.id").alias("y"), (shared >= similar * (F.size("shingles") + F.size("r.shingles") - shared)).alias("same")))
+        links.append(tried.where("same").select(F.col("id").alias("x"), "y").distinct())
+        left = tried.where("NOT same").drop("y", "same")
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, links).distinct()
+
+
 def near_classes(texts: DataFrame, *, similar: float = SIMILAR) -> DataFrame:
     """id, class: classes of distinct texts whose shingle sets are ``similar``; input id, shingles.
 
-    Pairs come from shared MinHash bands and are verified by their exact similarity; classes are the
-    connected components, found by spreading the least id along the links until nothing changes.
+    Classes are the connected components of the links to representatives (:func:`_linked`): each row
+    takes the least class among its neighbours, then the class of that class, until nothing changes.
     """
-    rows = texts.withColumn("sig", F.transform(F.sequence(F.lit(0), F.lit(ROWS * BANDS - 1)), lambda k: F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, k)))))
-    bands = rows.select("id", "shingles", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)))).alias("band", "h"))
-    one, other = bands.alias("a"), bands.alias("b")
-    both = one.join(other.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")))
-    shared = F.size(F.array_intersect("a.shingles", "b.shingles"))
-    links = cut(
-        both.where(shared >= similar * (F.size("a.shingles") + F.size("b.shingles") - shared)).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    )
+    links = cut(_linked(texts, similar))
     edges = links.unionAll(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    now = cut(rows.select("id", F.col("id").alias("class")))
+    alone = texts.select("id").join(edges.select(F.col("x").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("class"))
+    now = cut(edges.select(F.col("x").alias("id")).distinct().select("id", F.col("id").alias("class")))
     while True:
         least = edges.join(now.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("class").alias("near"))
-        then = cut(now.join(least, "id", "left").select("id", F.least("class", F.coalesce("near", "class")).alias("class"), (F.coalesce("near", "class") < F.col("class")).alias("moved")))
+        hop = cut(now.join(least, "id").select("id", F.col("class").alias("old"), F.least("class", "near").alias("class")))
+        far = hop.select(F.col("id").alias("class"), F.col("class").alias("next"))
+        then = cut(hop.join(far, "class").select("id", F.col("next").alias("class"), (F.col("next") < F.col("old")).alias("moved")))
         now = then.select("id", "class")
         if then.where("moved").isEmpty():
-            return now
+            return now.unionAll(alone)
 
 
 def refusals(unrelated: DataFrame, requests: DataFrame) -> DataFrame:
-    """response_id of answers that decline; ``unrelated``: response_id, request_id, answer with nothing of its request.
+    """response_id of answers that decline; ``unrelated``: response_id, prompt, ratio, answer with nothing of its request.
 
-    An answer declines if templates explain ``EXPLAINED`` of its three-word sequences. Templates are
-    the openings that recur across ``LEAST_PROMPTS`` different requests and of which at most
-    ``SPOKEN`` occurs in requests, and a few fixed sentences.
+    An answer declines if templates explain ``EXPLAINED`` of its three-word sequences, or if it is
+    shorter than ``WHOLE`` of its request and at most ``SPOKEN`` of it occurs in any request.
+    Templates are the classes of openings that recur across ``LEAST_PROMPTS`` different requests and
+    ``PROMPT_SHARE`` of all in question, and of which at most ``SPOKEN`` occurs in requests.
     """
-    spark = unrelated.sparkSession
-    rows = cut(unrelated.withColumn("w", plain_words(F.col("answer"))).select("response_id", "request_id", shingles(F.col("w"), 3).alias("threes"), F.array_join(F.slice("w", 1, OPENING), " ").alias("opening")))
-    seen = requests.select(F.explode(shingles(plain_words(F.col("text")), 3)).alias("s")).join(rows.select(F.explode("threes").alias("s")).distinct(), "s", "left_semi").distinct()
-    openings = rows.groupBy("opening").agg(F.min("response_id").alias("id"), F.approx_count_distinct("request_id").alias("prompts"))
-    parts = openings.select("id", "opening", "prompts", F.split("opening", " ").alias("w"))
+    rows = cut(unrelated.withColumn("w", plain_words(F.col("answer"))).select("response_id", "prompt", "ratio", shingles(F.col("w"), 3).alias("threes"), F.array_join(F.slice("w", 1, OPENING), " ").alias("opening")))
+    asked = requests.select(F.explode(shingles(plain_words(F.col("text")), 3)).alias("s"))
+    seen = asked.join(rows.select(F.explode("threes").alias("s")).distinct(), "s", "left_semi").distinct().withColumn("known", F.lit(1))
+    openings = cut(rows.groupBy("opening").agg(F.min("response_id").alias("id")))
+    parts = openings.withColumn("w", F.split("opening", " "))
     classes = near_classes(parts.select("id", shingles(F.col("w"), SHINGLE).alias("shingles")))
     threes = parts.select("id", F.explode(shingles(F.col("w"), 3)).alias("s"))
-    spoken = threes.join(seen.withColumn("known", F.lit(1)), "s", "left").groupBy("id").agg(F.avg(F.coalesce("known", F.lit(0))).alias("spoken"))
+    spoken = threes.join(seen, "s", "left").groupBy("id").agg(F.avg(F.coalesce("known", F.lit(0))).alias("spoken"))
+    member = cut(openings.join(classes, "id").join(spoken, "id"))
+    prompts = rows.select("opening", "prompt").distinct().join(member.select("opening", "class"), "opening").groupBy("class").agg(F.countDistinct("prompt").alias("prompts"))
+    all_prompts = rows.select("prompt").distinct().agg(F.count("*").alias("all_prompts"))
     recurring = (
-        classes.join(parts.select("id", "prompts"), "id").join(spoken, "id").groupBy("class").agg(F.sum("prompts").alias("prompts"), F.avg("spoken").alias("spoken"))
-        .where((F.col("prompts") >= LEAST_PROMPTS) & (F.col("spoken") <= SPOKEN))
+        member.groupBy("class").agg(F.avg("spoken").alias("spoken")).where(F.col("spoken") <= SPOKEN)
+        .join(prompts, "class").join(F.broadcast(all_prompts)).where((F.col("prompts") >= LEAST_PROMPTS) & (F.col("prompts") >= PROMPT_SHARE * F.col("all_prompts")))
     )
-    learned = threes.join(classes, "id").join(recurring.select("class"), "class", "left_semi").select("s")
-    fixed = spark.createDataFrame([(t,) for t in DECLINED], "t string").select(F.explode(shingles(plain_words(F.col("t")), 3)).alias("s"))
-    known = learned.unionAll(fixed).distinct().withColumn("known", F.lit(1))
-    explained = rows.select("response_id", F.explode("threes").alias("s")).join(known, "s", "left").groupBy("response_id").agg(F.avg(F.coalesce("known", F.lit(0))).alias("part"))
-    return explained.where(F.col("part") >= EXPLAINED).select("response_id")
+    known = threes.join(member.select("id", "class"), "id").join(recurring.select("class"), "class", "left_semi").select("s").distinct().withColumn("template", F.lit(1))
+    part = lambda c: F.avg(F.coalesce(c, F.lit(0)))
+    explained = rows.select("response_id", "ratio", F.explode("threes").alias("s")).join(known, "s", "left").join(seen, "s", "left").groupBy("response_id", "ratio").agg(part("template").alias("part"), part("known").alias("spoken"))
+    return explained.where((F.col("part") >= EXPLAINED) | (F.col("ratio") < WHOLE) & (F.col("spoken") <= SPOKEN)).select("response_id")
 
 
 def defects(requests: DataFrame, responses: DataFrame, models: charlm.LanguageModels) -> DataFrame:
@@ -220,7 +245,8 @@ def defects(requests: DataFrame, responses: DataFrame, models: charlm.LanguageMo
     given = responses.select("response_id", "request_id", F.col("text").alias("answer")).dropDuplicates(["response_id"])
     pairs = given.join(asked, "request_id")
     seen = cut(examine(pairs, models))
-    alone = seen.where(~F.col("empty") & (F.col("related") < RELATED)).select("response_id").join(given, "response_id")
+    unrelated = seen.where(~F.col("empty") & (F.col("related") < RELATED)).select("response_id", "ratio")
+    alone = unrelated.join(pairs.select("response_id", "answer", F.xxhash64(plain_words(F.col("request"))).alias("prompt")), "response_id")
     declined = refusals(alone, asked.select(F.col("request").alias("text"))).withColumn("declined", F.lit(True))
     kind = (
         F.when(F.col("empty"), "empty").when(F.col("declined"), "refusal").when(F.col("foreign") > 0.5, "other_language")
