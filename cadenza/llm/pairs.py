@@ -217,7 +217,7 @@ def refusals(unrelated: DataFrame, requests: DataFrame) -> DataFrame:
     """
     rows = cut(unrelated.withColumn("w", plain_words(F.col("answer"))).select("response_id", "prompt", "ratio", shingles(F.col("w"), 3).alias("threes"), F.array_join(F.slice("w", 1, OPENING), " ").alias("opening")))
     asked = requests.select(F.explode(shingles(plain_words(F.col("text")), 3)).alias("s"))
-    seen = asked.join(rows.select(F.explode("threes").alias("s")).distinct(), "s", "left_semi").distinct().withColumn("known", F.lit(1))
+    seen = cut(asked.join(rows.select(F.explode("threes").alias("s")).distinct(), "s", "left_semi").distinct().withColumn("known", F.lit(1)))
     openings = cut(rows.groupBy("opening").agg(F.min("response_id").alias("id")))
     parts = openings.withColumn("w", F.split("opening", " "))
     classes = near_classes(parts.select("id", shingles(F.col("w"), SHINGLE).alias("shingles")))
@@ -225,10 +225,10 @@ def refusals(unrelated: DataFrame, requests: DataFrame) -> DataFrame:
     spoken = threes.join(seen, "s", "left").groupBy("id").agg(F.avg(F.coalesce("known", F.lit(0))).alias("spoken"))
     member = cut(openings.join(classes, "id").join(spoken, "id"))
     prompts = rows.select("opening", "prompt").distinct().join(member.select("opening", "class"), "opening").groupBy("class").agg(F.countDistinct("prompt").alias("prompts"))
-    all_prompts = rows.select("prompt").distinct().agg(F.count("*").alias("all_prompts"))
+    least = max(LEAST_PROMPTS, PROMPT_SHARE * rows.select("prompt").distinct().count())
     recurring = (
         member.groupBy("class").agg(F.avg("spoken").alias("spoken")).where(F.col("spoken") <= SPOKEN)
-        .join(prompts, "class").join(F.broadcast(all_prompts)).where((F.col("prompts") >= LEAST_PROMPTS) & (F.col("prompts") >= PROMPT_SHARE * F.col("all_prompts")))
+        .join(prompts, "class").where(F.col("prompts") >= least)
     )
     known = threes.join(member.select("id", "class"), "id").join(recurring.select("class"), "class", "left_semi").select("s").distinct().withColumn("template", F.lit(1))
     part = lambda c: F.avg(F.coalesce(c, F.lit(0)))
