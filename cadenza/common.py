@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; set one only where none is named.
+    """Use the folder the cluster names in ``spark.checkpoint.dir``.
 
-    The fallback is a folder of this machine and therefore only meant for local runs and tests.
+    Where none is named, a session of one machine gets a folder of that machine; on a cluster such a
+    folder would be another one on each host, so there the setting is required.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all hosts share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cadenza-checkpoints"))
 
 
@@ -55,3 +59,25 @@ def bounded_sample(df: DataFrame, key: str, size: int) -> DataFrame:
     if total <= size:
         return df
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(size / total * (1 << 30))).limit(2 * size)
+
+
+#: Keys with more than this part of all rows are joined by broadcast; there are fewer than its inverse of them.
+HEAVY = 1 / 1000
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, *, n: str = "n") -> DataFrame:
+    """Left join with a table of one row a key, in which no key's rows meet in one task.
+
+    ``counts`` tells how many rows of ``left`` each key has. Keys that hold over ``HEAVY`` of them are
+    fewer than ``1 / HEAVY``, whatever the data, and are joined by broadcast; the rows of all others
+    are shuffled. Rows with a NULL key are joined with nothing and not moved.
+    """
+    spark = left.sparkSession
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot_keys = counts.where(F.col(n) > total * HEAVY).select(*keys)
+    hot = spark.createDataFrame(hot_keys.collect(), hot_keys.schema).withColumn("_hot", F.lit(True))
+    some_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    flagged = left.where(~some_null).join(F.broadcast(hot), keys, "left")
+    few = right.join(F.broadcast(hot.drop("_hot")), keys, "left_semi")
+    out = flagged.where("_hot").drop("_hot").join(F.broadcast(few), keys, "left").unionByName(flagged.where("_hot IS NULL").drop("_hot").join(right, keys, "left"))
+    return out.unionByName(left.where(some_null), allowMissingColumns=True)
