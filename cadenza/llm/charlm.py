@@ -7,6 +7,7 @@ distinct words is scored with a few binary searches a character position.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Mapping
 
@@ -14,8 +15,8 @@ import numpy as np
 
 #: Longest n-gram in characters, the leading word boundary included.
 ORDER = 5
-#: Characters taken into account of one word; longer ones are no words of a language.
-WIDTH = 40
+#: Characters that are scored at once; a longer word is scored alone.
+CELLS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -29,9 +30,9 @@ def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def encode(words: list[str]) -> np.ndarray:
     """Code points of ' word ' in rows of equal width, 0 behind the end."""
-    out = np.zeros((len(words), WIDTH + 2), dtype=np.uint64)
+    out = np.zeros((len(words), max(map(len, words), default=0) + 2), dtype=np.uint64)
     for i, w in enumerate(words):
-        codes = np.frombuffer((" " + w[:WIDTH] + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = np.frombuffer((" " + w + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         out[i, : len(codes)] = codes
     return out
 
@@ -52,7 +53,7 @@ class CharModel:
         self.alphabet = alphabet
         grams = [Counter() for _ in range(ORDER + 1)]
         for w, count in words.items():
-            s = " " + w[:WIDTH] + " "
+            s = " " + w + " "
             for i in range(1, len(s)):
                 grams[min(ORDER, i + 1)][s[max(0, i + 1 - ORDER) : i + 1]] += count
         # Below the top order a count is the number of different characters seen before the n-gram;
@@ -128,7 +129,12 @@ class CharModel:
 
 
 class LanguageModels:
-    """Models of several languages with a calibrated rejection of words that belong to none."""
+    """Models of several languages with a calibrated rejection of words that belong to none.
+
+    ``slope`` and ``offset`` turn the margin of the best language over the others into a probability.
+    """
+
+    slope, offset = 1.0, 0.0
 
     def __init__(self, models: dict[str, CharModel], reject_at: float) -> None:
         self.names = sorted(models)
@@ -139,22 +145,31 @@ class LanguageModels:
         """Log probabilities, one row a word, one column a language in the order of ``names``."""
         if not words:
             return np.zeros((0, len(self.names)))
-        codes = encode(words)
-        used = max(ORDER + 1, int((codes > 0).sum(axis=1).max()))
-        return np.stack([self.models[n].score(codes[:, :used]) for n in self.names], axis=1)
+        out = np.zeros((len(words), len(self.names)))
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order:  # words of about the same length together
+            longest = bisect_right(order, CELLS, key=lambda i: (len(words[i]) + 2) * len(order))
+            part = order[: max(1, min(longest, len(order)))]
+            order = order[len(part) :]
+            codes = encode([words[i] for i in part])
+            if codes.shape[1] <= ORDER:
+                codes = np.pad(codes, ((0, 0), (0, ORDER + 1 - codes.shape[1])))
+            out[part] = np.stack([self.models[n].score(codes) for n in self.names], axis=1)
+        return out
 
     def rejected(self, words: list[str], scores: np.ndarray) -> np.ndarray:
         """Whether even the best language is less likely a character than the calibrated bound."""
-        length = np.array([min(len(w), WIDTH) + 1 for w in words], float)
+        length = np.array([len(w) + 1 for w in words], float)
         return -scores.max(axis=1, initial=-1e9) / np.maximum(length, 1) > self.reject_at
 
 
-def train(samples: Iterable[tuple[str, list[str]]], *, rounds: int = 2, keep: float = 0.998) -> LanguageModels:
+def train(samples: Iterable[tuple[str, list[str]]], *, rounds: int = 2, keep: float = 0.998, cap: float = 4.0) -> LanguageModels:
     """Fit on ``(language, words of one text)``; labels may be wrong here and there.
 
     After each round every text goes to the language of its lowest cross-entropy, so that wrongly
     labelled texts train the right model in the next one. The rejection bound is the ``keep``
-    quantile of the held-out words' cross-entropy (every tenth text).
+    quantile of the held-out words' cross-entropy (every tenth text); the same texts calibrate the
+    confidence, a word speaking for a language with at most ``cap``.
     """
     data = [(lang, Counter(words)) for lang, words in samples if words]
     labels = [lang for lang, _ in data]
@@ -175,11 +190,41 @@ def train(samples: Iterable[tuple[str, list[str]]], *, rounds: int = 2, keep: fl
             for lang, (_, words) in zip(labels, data)
         ]
     held = [row[w] for k, (_, words) in enumerate(data) if k % 10 == 9 for w in words] or list(row.values())
-    entropy = -table[held].max(axis=1) / np.array([min(len(vocabulary[i]), WIDTH) + 1 for i in held], float)
+    entropy = -table[held].max(axis=1) / np.array([len(vocabulary[i]) + 1 for i in held], float)
     fit.reject_at = float(np.quantile(entropy, keep))
+    emit = np.maximum(table - table.max(axis=1, keepdims=True), -cap)
+    held_out = [(lab, [row[w] for w in words.elements()]) for k, (lab, (_, words)) in enumerate(zip(labels, data)) if k % 10 == 9 or len(data) < 50]
+    fit.slope, fit.offset = calibrated([(fit.names.index(lab), emit[w[a : a + n]]) for lab, w in held_out if lab in fit.names for n in (1, 2, 3, 5, 8) for a in range(0, len(w) - n + 1, n)])
     return fit
 
 
+def margin(emit: np.ndarray, label: int) -> float:
+    """How much the words together speak for ``label`` rather than for any other language."""
+    rest = np.delete(emit, label, axis=1)
+    return float((emit[:, label] - rest.max(axis=1)).sum()) if rest.shape[1] else 0.0
+
+
+def calibrated(spans: list[tuple[int, np.ndarray]], *, rounds: int = 30) -> tuple[float, float]:
+    """(slope, offset) of the logistic function that gives the chance that a span's best language is the right one.
+
+    ``spans``: language and the words' likelihoods. Fitted by Newton's method with a weak pull to (1, 0).
+    """
+    x, y = [], []
+    for lab, emit in spans:
+        best = int(emit.sum(axis=0).argmax())
+        x.append(margin(emit, best))
+        y.append(best == lab)
+    m, hit = np.array(x), np.array(y, float)
+    w = np.array([1.0, 0.0])
+    a = np.stack([m, np.ones(len(m))], axis=1) if len(m) else np.zeros((0, 2))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        gradient = a.T @ (p - hit) + (w - [1.0, 0.0])
+        curve = (a * (p * (1 - p))[:, None]).T @ a + np.eye(2)
+        w = w - np.linalg.solve(curve, gradient)
+    return float(w[0]), float(w[1])
+
+
 def spans(emit: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
     """Best language of each word of many word sequences at once (Viterbi over languages).
 

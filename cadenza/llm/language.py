@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.common import bounded_sample, cut, table
+from cadenza.common import bounded_sample, cut, join_spread, table
 from cadenza.llm import charlm, speech
 
 #: Most labelled texts that the models are fitted on; they are drawn by a hash of their id.
@@ -65,7 +65,7 @@ def fit(spark: SparkSession, sf_dir: str, *, sample: int = SAMPLE) -> charlm.Lan
         .select(F.col("doc_id").alias("id"), "text", "lang")
     )
     rows = items.unionAll(bounded_sample(docs, "id", sample)).select(normal_code(F.col("lang")).alias("code"), "text").where("code IS NOT NULL AND text IS NOT NULL").collect()
-    return charlm.train([(r["code"], _WORD.findall(r["text"].lower())) for r in sorted(rows)] or [(NO_LANGUAGE, ["-"] * 20)])
+    return charlm.train([(r["code"], _WORD.findall(r["text"].lower())) for r in sorted(rows)] or [(NO_LANGUAGE, ["-"] * 20)], cap=CAP)
 
 
 class WordScores:
@@ -116,9 +116,11 @@ def label_words(words: pa.Array, scores: WordScores, switch: float) -> tuple[np.
 def count_words(df: DataFrame, text: Column, keys: list[str], models: charlm.LanguageModels, *, switch: float = SWITCH) -> DataFrame:
     """``keys`` and, for each language, ``n_xx`` words and ``m_xx``, how clearly they speak for it.
 
-    The words of a text are split among languages by a Viterbi path over the models' likelihoods, in
-    which one word alone can't change the language: loan words and names stay with their neighbours.
-    Words of no language count for none. A NULL or empty text has zeros.
+    The words of a text are cut into spans by a Viterbi path over the models' likelihoods, in which
+    one word alone can't change the language: loan words and names stay with their neighbours. On
+    that path each span has the language of its lowest cross-entropy a character, every word's excess
+    over its best language being bounded by ``CAP``: were another one's lower, the path with it would
+    be better. Words of no language count for none. A NULL or empty text has zeros.
     """
     names = models.names
     cost, cap = switch, CAP
@@ -154,6 +156,11 @@ def _top(names: list[str], prefix: str = "n") -> Column:
     return _greatest([F.struct(F.col(f"{prefix}_{n}").alias("words"), F.col(f"m_{n}").alias("margin"), F.lit(n).alias("language")) for n in names])
 
 
+def _sure(margin: Column, models: charlm.LanguageModels) -> Column:
+    """Calibrated probability that the language with this margin is the right one."""
+    return 1.0 / (1.0 + F.exp(-(margin * models.slope + models.offset)))
+
+
 def segment_languages(segments: DataFrame, models: charlm.LanguageModels) -> DataFrame:
     """Word counts by language of each segment's speech: job_id, segment_id, n_xx, m_xx. Re-delivered rows count once."""
     said = F.when(speech.marked(F.col("text")), speech.let(speech.without_times(F.col("text")), speech.speech_of)).otherwise(F.col("text"))
@@ -164,8 +171,8 @@ def segment_languages(segments: DataFrame, models: charlm.LanguageModels) -> Dat
 def transcript_languages(segments: DataFrame, models: charlm.LanguageModels) -> tuple[DataFrame, DataFrame]:
     """(main language of each job with its confidence, word counts of each segment).
 
-    The main language is that of most words. Its confidence is the logistic function of the mean
-    margin a word times the share of the words that are in it.
+    The main language is that of most words. Its confidence is the calibrated probability of its words'
+    margin times the share of the words that are in it.
     """
     counts = cut(segment_languages(segments, models))
     names = models.names
@@ -174,21 +181,22 @@ def transcript_languages(segments: DataFrame, models: charlm.LanguageModels) ->
     if not known:
         return total.select("job_id", F.lit(None).cast("string").alias("main"), F.lit(0).cast("bigint").alias("words"), F.lit(0.0).alias("confidence")).limit(0), counts
     best = total.select("job_id", _top(names).alias("best"), sum(F.col(f"n_{n}") for n in names).alias("all_words")).where(F.col("best.words") > 0)
-    sure = 1.0 / (1.0 + F.exp(-F.col("best.margin") / F.col("best.words")))
+    sure = _sure(F.col("best.margin"), models)
     main = best.select("job_id", F.col("best.language").alias("main"), F.col("best.words").alias("words"), (sure * F.col("best.words") / F.col("all_words")).alias("confidence"))
     return main, counts
 
 
-def mixed_segments(counts: DataFrame, main: DataFrame, names: list[str], *, least: int = LEAST_WORDS) -> DataFrame:
+def mixed_segments(counts: DataFrame, main: DataFrame, models: charlm.LanguageModels, *, least: int = LEAST_WORDS) -> DataFrame:
     """job_id, segment_id, language, words, confidence of segments with ``least`` words in another language than the job's.
 
     Of several other languages the one with most words is named.
     """
+    names = models.names
     maybe = counts.where(sum((F.col(f"n_{n}") >= least).cast("int") for n in names) >= 1)
     other = _greatest([F.when(F.col("main") != n, F.struct(F.col(f"n_{n}").alias("words"), F.col(f"m_{n}").alias("margin"), F.lit(n).alias("language"))) for n in names])
-    rows = maybe.join(main.select("job_id", "main"), "job_id").select("job_id", "segment_id", other.alias("x")).select("job_id", "segment_id", "x.*")
-    sure = 1.0 / (1.0 + F.exp(-F.col("margin") / F.col("words")))
-    return rows.where(F.col("words") >= least).select("job_id", "segment_id", "language", "words", sure.alias("confidence"))
+    both = join_spread(maybe, main.select("job_id", "main"), ["job_id"], maybe.groupBy("job_id").agg(F.count("*").alias("n"))).where("main IS NOT NULL")
+    rows = both.select("job_id", "segment_id", other.alias("x")).select("job_id", "segment_id", "x.*")
+    return rows.where(F.col("words") >= least).select("job_id", "segment_id", "language", "words", _sure(F.col("margin"), models).alias("confidence"))
 
 
 def wrong_labels(transcripts: DataFrame, main: DataFrame) -> DataFrame:

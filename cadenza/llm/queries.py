@@ -45,7 +45,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = language.fit(spark, sf_dir)
     main, counts = language.transcript_languages(table(spark, sf_dir, "segments"), models)
     wrong = language.wrong_labels(table(spark, sf_dir, "transcripts"), main)
-    other = language.mixed_segments(counts, main, models.names)
+    other = language.mixed_segments(counts, main, models)
     return wrong.select("job_id", F.lit(-1).cast("bigint").alias("segment_id"), F.col("main").alias("language")).unionByName(other.select("job_id", "segment_id", "language")).distinct()
 
 
@@ -55,7 +55,7 @@ def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     main, counts = language.transcript_languages(table(spark, sf_dir, "segments"), models)
     labels = table(spark, sf_dir, "transcripts").select("job_id").distinct()
     whole = labels.join(main, "job_id", "left").select("job_id", F.lit(-1).cast("bigint").alias("segment_id"), F.col("main").alias("language"), F.round("confidence", 4).alias("confidence"))
-    other = language.mixed_segments(counts, main, models.names)
+    other = language.mixed_segments(counts, main, models)
     return whole.unionByName(other.select("job_id", "segment_id", "language", F.round("confidence", 4).alias("confidence")))
 
 

@@ -74,3 +74,25 @@ def test_label_spellings(spark):
     rows = [("pt_BR", "pt"), ("Português", "pt"), ("ENG", "en"), ("inglês", "en"), ("es-419", "es"), ("français", "fr"), ("Deutsch", "de"), ("und", None), ("", None), (None, None), ("n/a", None), ("xx", None)]
     got = spark.createDataFrame(rows, "t string, c string").select(language.normal_code(F.col("t")), "c").collect()
     assert all(r[0] == r[1] for r in got)
+
+
+def test_whole_words_count():
+    m = models()
+    long = "gravação" * 30
+    one, other = long + "previsão", long + "forecast"  # differ far behind any fixed width
+    assert not np.allclose(m.scores([one])[0], m.scores([other])[0])
+    alone = np.concatenate([m.scores([w]) for w in [one, "rio", "", "x" * 5_000]])
+    assert np.allclose(m.scores([one, "rio", "", "x" * 5_000]), alone)
+
+
+def test_confidence_is_calibrated():
+    rng = np.random.default_rng(7)
+    spans = []
+    for gap in rng.uniform(0, 6, 20_000):
+        best = int(rng.integers(2))
+        emit = np.zeros((1, 2))
+        emit[0, 1 - best] = -gap
+        spans.append((best if rng.random() < 1 / (1 + np.exp(0.2 - 0.5 * gap)) else 1 - best, emit))
+    slope, offset = charlm.calibrated(spans)
+    assert abs(slope - 0.5) < 0.05 and abs(offset + 0.2) < 0.1
+    assert charlm.calibrated([]) == (1.0, 0.0)
