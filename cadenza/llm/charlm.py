@@ -217,11 +217,15 @@ def calibrated(spans: list[tuple[int, np.ndarray]], *, rounds: int = 30) -> tupl
     m, hit = np.array(x), np.array(y, float)
     w = np.array([1.0, 0.0])
     a = np.stack([m, np.ones(len(m))], axis=1) if len(m) else np.zeros((0, 2))
+    loss = lambda v: np.logaddexp(0, np.where(hit > 0, -1, 1) * (a @ v)).sum() + ((v - [1.0, 0.0]) ** 2).sum() / 2
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         gradient = a.T @ (p - hit) + (w - [1.0, 0.0])
         curve = (a * (p * (1 - p))[:, None]).T @ a + np.eye(2)
-        w = w - np.linalg.solve(curve, gradient)
+        step = np.linalg.solve(curve, gradient)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
     return float(w[0]), float(w[1])
 
 
