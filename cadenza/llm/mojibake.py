@@ -1,16 +1,17 @@
 """Text decoded with the wrong encoding: found and restored by noisy-channel decoding.
 
 Every distinct token with a character beyond ASCII is decoded once. For each pair of a wrong and a
-right encoding its bytes form a lattice, with a wildcard where a replacement character stands for
-lost bytes; the best path is found by Viterbi search over character transitions of the corpus's
-distinct words, and corpus word frequencies decide between the token as it is and its decodings.
+right encoding its bytes form a lattice: an edge is a character whose bytes stand there, where a
+replacement character is a wildcard for a lost byte (or for a lost character). The best path is found
+by Viterbi search over character transitions of the corpus's distinct words, and corpus word
+frequencies decide between the token as it is, its decodings and the words that the lattice admits.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,8 +33,10 @@ STRUCTURE = 4.0
 MOST_AS_IS = 10
 #: Most that one token weighs among the transitions.
 HEAVIEST = 50
-#: Most character pairs of the transition model, far above what alphabets of a few scripts have.
-MOST_PAIRS = 400_000
+#: Nats that a character beyond ASCII costs if it stands for itself beside lost bytes.
+SELF = 3.0
+#: Characters from here on, but for those of the code pages, share a symbol with the others of their block of 128, which bounds the transition model.
+WIDE = 0x800
 
 # Encodings in which multi-byte text is wrongly read, and single-byte mix-ups (read as, is).
 READ_AS = ["cp1252", "latin_1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251"]
@@ -61,29 +64,39 @@ def _table(codec: str) -> dict[str, int]:
 _INSIDE = re.compile(r"[^\W\d_][^\x00-\x7f\w’‘·\xad][^\W\d_]|[^\W\d_][¹²³¼½¾ªº][^\W\d_]")
 
 
+_TABLES = {c: _table(c) for c in READ_AS}
+_PAGES = frozenset(c for t in _TABLES.values() for c in t)
+
+
+def symbol(c: str) -> str:
+    """What the transition model takes a character for."""
+    return c if ord(c) < WIDE or c in _PAGES else chr(0xF0000 + ord(c) // 128)
+
+
 class Channel:
     """Candidate decodings of tokens under a character transition model."""
 
     def __init__(self, pairs: dict[str, int], seen: dict[str, int] | None = None) -> None:
-        self.pairs = pairs
         self.total: Counter = Counter()
         self.seen = seen or self.total  # by documents, copies and all
         for p, n in pairs.items():
             self.total[p[0]] += n
         self.kinds = max(2, len({p[1] for p in pairs}))
-        follow: Counter = Counter()
-        for p, n in pairs.items():
-            if ord(p[1]) > 127 and (p[1].isalpha() or p[1] in "…“”"):
-                follow[p[1]] += n
-        self.letters = [c for c, _ in follow.most_common(60)]
-        self.bytes_of = {c: _table(c) for c in READ_AS}
+        self.pairs = pairs
+        self.next: dict[str, dict[str, float]] = defaultdict(dict)
+        for p in pairs:
+            self.next[p[0]][p[1]] = self.step(*p)
+        beyond = sorted({p[1] for p in pairs if 127 < ord(p[1]) < 0xF0000 and p[1] != LOST})
+        self.letters = [c for c in beyond if c.isalpha() or c in "…“”"]
+        self.encoded = [(c, c.encode("utf-8")) for c in beyond]
+        self.fitting: dict[tuple, list[str]] = {}
         self.swap = {}
         for read, real in MIXED_UP:
             back = {b: c for c, b in _table(real).items()}
             self.swap[(read, real)] = {c: back[b] for c, b in _table(read).items()}
 
     def step(self, a: str, b: str) -> float:
-        """Log probability that ``b`` follows ``a``."""
+        """Log probability that symbol ``b`` follows ``a``."""
         return math.log((self.pairs.get(a + b, 0) + 0.02) / (self.total.get(a, 0) + 0.02 * self.kinds))
 
     def gain(self, old: str, new: str) -> float:
@@ -91,19 +104,18 @@ class Channel:
         return self._score(new) - self._score(old)
 
     def _score(self, token: str) -> float:
-        s = " " + token + " "
-        return sum(self.step(s[i], s[i + 1]) for i in range(len(s) - 1))
+        s = [" ", *map(symbol, token), " "]
+        return sum(map(self.step, s, s[1:]))
 
     def _multibyte(self, token: str, codec: str) -> str | None:
-        """All runs beyond ASCII as UTF-8 that was read as ``codec``, lost bytes kept as wildcards; None if one isn't."""
-        table = self.bytes_of[codec]
+        """All runs beyond ASCII as UTF-8 that was read as ``codec``; None if one isn't."""
+        table = _TABLES[codec]
 
         def run(m: re.Match) -> str:
             s = m.group()
             if m.end() == len(token) and table.get(s[-1], 0) in (0xC2, 0xC3) and not token[m.start() - 1 : m.start()].isupper():
                 s += "\xa0" if "\xa0" in table else ""  # the second byte, a no-break space, became a space
-            parts = s.split(LOST)
-            return LOST.join(bytes(table[c] for c in p).decode("utf-8") for p in parts)
+            return bytes(table[c] for c in s).decode("utf-8")
 
         try:
             return re.sub(r"[^\x00-\x7f]+", run, token)
@@ -114,65 +126,120 @@ class Channel:
         """Whether all of a token beyond ASCII has the structure of UTF-8 in some single-byte encoding."""
         return any(self._multibyte(token, c) is not None for c in READ_AS)
 
-    def fill(self, token: str) -> str:
-        """Viterbi search for the letters that were lost: a run of wildcards is one letter for each, or for each two."""
-        if LOST not in token:
-            return token
-        best, score = token, -math.inf
-        for double in (False, True):
-            s = re.sub(LOST + LOST, LOST, token) if double else token
-            if double and s == token:
+    def _matching(self, code: tuple[int | None, ...]) -> list[str]:
+        """Characters whose UTF-8 bytes are these, None being any byte; the corpus's if bytes are missing."""
+        if code not in self.fitting:
+            if None in code:
+                found = [c for c, b in self.encoded if len(b) == len(code) and all(x is None or x == y for x, y in zip(code, b))]
+            else:
+                try:
+                    found = [bytes(code).decode("utf-8")]
+                except UnicodeDecodeError:
+                    found = []
+            self.fitting[code] = [c for c in found if len(c) == 1]
+        return self.fitting[code]
+
+    def _edges(self, token: str, codec: str | None) -> list[list[tuple[int, float, list[str]]]]:
+        """For each position of a token the edges that begin there: (end, cost, characters)."""
+        table = _TABLES.get(codec, {})
+        code = [ord(c) if ord(c) < 128 else table.get(c) for c in token]
+        out: list[list[tuple[int, float, list[str]]]] = []
+        for i, c in enumerate(token):
+            if ord(c) < 128:
+                out.append([(i + 1, 0.0, [c])])
                 continue
-            paths = {" ": (0.0, "")}
-            for c in [*s, " "]:
-                options = self.letters if c == LOST else [c]
-                paths = {o: max((v + self.step(a, o), text + o) for a, (v, text) in paths.items()) for o in options} if options else paths
-            value, text = max(paths.values())
-            if value > score:
-                best, score = text[:-1], value
-        return best
+            here = [(i + 1, 0.0, self.letters)] if c == LOST else [(i + 1, SELF, [c])]
+            for k in (2, 3, 4):
+                part = token[i : i + k]
+                if len(part) == k and all(x == LOST or ord(x) > 127 and x in table for x in part):
+                    here.append((i + k, 0.0, self._matching(tuple(None if x == LOST else table[x] for x in part))))
+            if i == len(token) - 1 and code[i] in (0xC2, 0xC3):  # the second byte, a no-break space, became a space
+                here.append((i + 1, 0.0, self._matching((code[i], 0xA0))))
+            out.append([e for e in here if e[2]])
+        return out
+
+    def _move(self, paths: dict[str, tuple[float, str]], chars: list[str], cost: float, into: dict[str, tuple[float, str]]) -> None:
+        """Prolong every path by every character; of those that end alike the best stays."""
+        floor = max((v + math.log(0.02 / (self.total.get(a, 0) + 0.02 * self.kinds)), t) for a, (v, t) in paths.items())
+        of: dict[str, str] = {symbol(c): c for c in reversed(chars)}
+        best = {o: floor for o in of}
+        for a, (v, t) in paths.items():
+            known = self.next.get(a, {})
+            for o in known if len(known) < len(of) else of:
+                if o in of and o in known and v + known[o] > best[o][0]:
+                    best[o] = (v + known[o], t)
+        for o, (v, t) in best.items():
+            if o not in into or v - cost > into[o][0]:
+                into[o] = (v - cost, t + of[o])
+
+    def path(self, token: str, codec: str | None) -> tuple[float, str] | None:
+        """(log probability, text) of the best path through a token's lattice; None if there is none."""
+        edges = self._edges(token, codec)
+        at: list[dict[str, tuple[float, str]]] = [{" ": (0.0, "")}] + [{} for _ in token]
+        for i, here in enumerate(edges):
+            if at[i]:
+                for end, cost, chars in here:
+                    self._move(at[i], chars, cost, at[end])
+        last = {}
+        if at[-1]:
+            self._move(at[-1], [" "], 0.0, last)
+        return (last[" "][0], last[" "][1][:-1]) if last else None
 
     def candidates(self, token: str) -> list[tuple[str, str, float]]:
         """(decoding, kind, evidence) with some evidence; kind is utf8, single or lost."""
-        out: dict[str, tuple[str, float]] = {}
-        inner = token.replace(LOST, "")
-        beyond = {c for c in inner if ord(c) > 127}
-        if beyond:
-            frontier = [token]
-            for depth in range(3):  # wrongly decoded up to three times
-                found = []
-                for t in frontier:
-                    for codec in READ_AS:
-                        if all(ord(c) < 128 or c == LOST or c in self.bytes_of[codec] for c in t):
-                            c = self._multibyte(t, codec)
-                            if c and c != t and c not in out and any(ord(x) > 127 for x in c):
-                                found.append(c)
-                                if all(self.seen.get(x, 0) >= LEAST_DOCS for x in c if ord(x) > 127):
-                                    out[c] = ("utf8", STRUCTURE + self.gain(token, c))
-                frontier = found
-                if not found:
-                    break
-            for table in self.swap.values():
-                if beyond <= table.keys():
-                    c = "".join(table.get(x, x) for x in token)
-                    if c != token and c not in out and not any(x.isalpha() and not (y.isalpha() or y in PUNCTUATION and len(c) > 1) for x, y in zip(token, c) if x != y):
-                        gain = self.gain(token, c) + (STRUCTURE if _INSIDE.search(token) else 0.0)
-                        if gain > 1.0:
-                            out[c] = ("single", gain)
         if LOST in token:
-            for c in [token, *[c for c, (kind, _) in out.items() if LOST in c]]:
-                out[self.fill(c)] = ("lost", 99.0)
-        return [(c, kind, gain) for c, (kind, gain) in out.items() if gain > 0.0]
+            found = [p for codec in (None, *READ_AS) if (p := self.path(token, codec))]
+            return [(max(found)[1], "lost", 99.0)] if found else [(token, "lost", 99.0)]
+        out: dict[str, tuple[str, float]] = {}
+        beyond = {c for c in token if ord(c) > 127}
+        frontier = [token]
+        while frontier:  # every round makes the text shorter
+            found = []
+            for t in frontier:
+                for codec in READ_AS:
+                    c = self._multibyte(t, codec) if all(ord(x) < 128 or x in _TABLES[codec] for x in t) else None
+                    if c and c != t and c not in out and c not in found and any(ord(x) > 127 for x in c):
+                        found.append(c)
+                        if all(self.seen.get(symbol(x), 0) >= LEAST_DOCS for x in c if ord(x) > 127):
+                            out[c] = ("utf8", STRUCTURE + self.gain(token, c))
+            frontier = [c for c in found if len(c) < max(map(len, frontier))]
+        for table in self.swap.values():
+            if beyond <= table.keys():
+                c = "".join(table.get(x, x) for x in token)
+                if c != token and c not in out and not any(x.isalpha() and not (y.isalpha() or y in PUNCTUATION and len(c) > 1) for x, y in zip(token, c) if x != y):
+                    out[c] = ("single", self.gain(token, c) + (STRUCTURE if _INSIDE.search(token) else 0.0))
+        return [(c, kind, gain) for c, (kind, gain) in out.items() if gain > 0.0 or kind == "single"]
+
+
+def explains(token: str, word: str) -> bool:
+    """Whether a token with lost bytes may be what is left of ``word``: read in one of the wrong encodings, bytes or characters lost."""
+    gap = re.escape(LOST)
+    for codec in (None, *READ_AS):
+        back = {b: c for c, b in _TABLES[codec].items()} if codec else {}
+        form = ""
+        for c in word:
+            if ord(c) < 128:
+                form += re.escape(c)
+                continue
+            code = c.encode("utf-8")
+            read = "".join(f"(?:{re.escape(back[b])}|{gap})" if b in back else gap for b in code)
+            form += f"(?:{re.escape(c)}|{gap}|{read})"
+        if re.fullmatch(form, token):
+            return True
+    return False
+
+
+_EDGE = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’«»…—¿¡"
 
 
 def core(word: Column) -> Column:
     """A token without the punctuation at its edges."""
-    return F.regexp_replace(word, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’«»…—¿¡]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’«»…—]+$", "")
+    return F.regexp_replace(word, f"^[{_EDGE}]+|[{_EDGE}]+$", "")
 
 
 def pattern(word: Column) -> Column:
     """A token's core with every run beyond ASCII as one wildcard."""
-    return F.regexp_replace(F.regexp_replace(word, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’…—]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’…—]+$", ""), r"[^\x00-\x7F]+", "*")
+    return F.regexp_replace(core(word), r"[^\x00-\x7F]+", "*")
 
 
 def tokens_of(documents: DataFrame) -> DataFrame:
@@ -186,12 +253,14 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
 
     A multi-byte decoding counts by its transitions; a single-byte one must also be a word of the
     corpus (in ``LEAST_DOCS`` documents); a token with a replacement character is always damaged, and
-    the most frequent word that fits its wildcards is preferred to the letters of the Viterbi path.
+    the most frequent word of its pattern, if its bytes may be what is left of it (:func:`explains`),
+    is preferred to the letters of the Viterbi path. Punctuation at a token's edges is kept.
     Transitions are counted over distinct tokens that are not structured like a multi-byte encoding,
     each weighing as much as distinct texts have it, at most ``HEAVIEST``, so that neither damaged
     texts nor many copies of one look sound. A single-byte decoding that only copies of fewer distinct
     texts hold needs a gain of ``THRESHOLD``, and one in far fewer distinct texts than the token
-    (``MOST_AS_IS``) a gain beyond that by the logarithm of the ratio.
+    (``MOST_AS_IS``) a gain beyond that by the logarithm of the ratio; one in far more distinct texts
+    counts with that logarithm, since many damaged texts make their own transitions likely.
     """
     counts = cut(tokens.groupBy("token", "copy").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("texts")))
     spark = tokens.sparkSession
@@ -203,13 +272,14 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
             for t, n, texts in zip(pdf["token"], pdf["n"], pdf["texts"]):
                 if LOST in t or channel.structured(t):
                     continue
-                s = " " + t + " "
-                for i in range(len(s) - 1):
-                    c[s[i : i + 2]] += min(texts, HEAVIEST)
-                    seen[s[i : i + 2]] += min(n, HEAVIEST)
+                s = [" ", *map(symbol, t), " "]
+                for x, y in zip(s, s[1:]):
+                    c[x + y] += min(texts, HEAVIEST)
+                    seen[x + y] += min(n, HEAVIEST)
         yield pd.DataFrame({"pair": list(c), "n": list(c.values()), "seen": list(seen.values())})
 
-    model = counts.mapInPandas(pairs, "pair string, n bigint, seen bigint").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")).orderBy(F.desc("n"), "pair").limit(MOST_PAIRS).collect()
+    spread = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")  # few bytes, much work
+    model = spread.select("token", "n", "texts").mapInPandas(pairs, "pair string, n bigint, seen bigint").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")).collect()  # of some thousand symbols
     seen: Counter = Counter()
     for r in model:
         seen[r["pair"][0]] += r["seen"]
@@ -221,16 +291,18 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
             rows = [(t, c, kind, gain) for t in pdf["token"] for c, kind, gain in channel.candidates(t)]
             yield pd.DataFrame(rows, columns=["token", "candidate", "kind", "gain"])
 
-    found = counts.select("token").mapInPandas(decode, "token string, candidate string, kind string, gain double")
+    found = spread.select("token").mapInPandas(decode, "token string, candidate string, kind string, gain double")
     words = counts.groupBy(core(F.col("token")).alias("word")).agg(F.sum("n").alias("docs"), F.sum("texts").alias("known"))
     best = F.struct(F.col("score"), F.col("known"), F.col("candidate"))
     odds = F.log(F.col("as_is")) - F.log(MOST_AS_IS * F.greatest("known", F.lit(1)))
     needed = F.greatest(F.when(F.col("known") < LEAST_DOCS, THRESHOLD).otherwise(0.0), F.when(odds > 0.0, odds + THRESHOLD).otherwise(0.0))
+    ratio = F.log(F.greatest("known", F.lit(1))) - F.log(F.greatest("as_is", F.lit(1)))
+    sure = (F.col("gain") > 1.0) & (F.col("gain") >= needed) | (F.col("gain") + ratio >= THRESHOLD) & (ratio >= THRESHOLD / 2)
     decoded = cut(
         found.withColumn("word", core(F.col("candidate"))).join(words, "word", "left")
         .withColumn("plain", core(F.col("token"))).join(words.select(F.col("word").alias("plain"), F.col("known").alias("as_is")), "plain", "left")
         .withColumn("known", F.coalesce("known", F.lit(0)))
-        .where((F.col("kind") != "single") | (F.col("docs") >= LEAST_DOCS) & (F.col("gain") >= needed))
+        .where((F.col("kind") != "single") | (F.col("docs") >= LEAST_DOCS) & sure)
         .withColumn("score", F.col("gain") + F.log1p(F.col("known").cast("double")))
         .groupBy("token").agg(F.max(best).alias("x")).where(F.col("x.score") >= THRESHOLD)
         .select("token", F.col("x.candidate").alias("restored"))
@@ -243,7 +315,19 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
         .groupBy("p").agg(F.max(F.struct("n", "word")).alias("w"))
     )
     filled = lost.join(fits, "p").select("token", F.col("w.word").alias("fit"))
-    return decoded.join(filled, "token", "left").select("token", F.coalesce("fit", "restored").alias("restored"))
+
+    @F.pandas_udf("string")
+    def settled(token: pd.Series, restored: pd.Series, fit: pd.Series) -> pd.Series:
+        def one(t: str, r: str, f: str | None) -> str:
+            if f is None:
+                return r
+            inner = edges.sub("", t)
+            return t.replace(inner, f, 1) if explains(inner, f) else r
+
+        return pd.Series([one(*x) for x in zip(token, restored, fit)])
+
+    edges = re.compile(f"^[{_EDGE}]+|[{_EDGE}]+$")
+    return decoded.join(filled, "token", "left").select("token", F.when(F.col("token").contains(LOST), settled("token", "restored", "fit")).otherwise(F.col("restored")).alias("restored"))
 
 
 def find(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -57,3 +57,67 @@ def test_damaged_text_in_a_third_of_all_documents(spark):
     df = spark.createDataFrame(list(enumerate(texts + [bad] * 100)), "doc_id bigint, text string")
     assert {r["doc_id"] for r in mojibake.find(df)[0].collect()} == set(range(200, 300))
     assert {tuple(r["restored"].split()[:-1]) for r in mojibake.restore(df).collect()} == {tuple(rare.split()[:-1])}
+
+
+def trained(words):
+    pairs = {}
+    for w in words:
+        for x, y in zip(f" {w}", f"{w} "):
+            pairs[x + y] = pairs.get(x + y, 0) + 5
+    return mojibake.Channel(pairs)
+
+
+def test_lattice_restores_lost_bytes_without_a_fitting_word():
+    channel = trained(["razão", "lições", "maçã", "ração", "fé", "pé", "São", "ção", "irmã", "só"])
+    damaged = {"informaÃ§Ã�o": "informação", "cafÃ�": "café", "estaÃ��£o": "estação", "“situa��o”": "“situação”", "grava����o": "gravação", "Ã�": "é"}
+    for token, right in damaged.items():
+        (got, kind, _), = channel.candidates(token)
+        assert kind == "lost" and (got == right or token == "Ã�" and len(got) == 1), (token, got)
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    channel = trained(["maçã", "pão", "avó", "pé", "já"])
+    for token in ("ma��", "p�o", "x�y�z"):
+        score, text = channel.path(token, None)
+        def expand(i):
+            if i == len(token):
+                yield ""
+            elif i < len(token):
+                for end, cost, chars in channel._edges(token, None)[i]:
+                    for c, rest in itertools.product(chars, expand(end)):
+                        yield c + rest
+        assert abs(max(channel._score(t) for t in expand(0)) - score) < 1e-9 and abs(channel._score(text) - score) < 1e-9
+
+
+def test_no_limit_on_letters():
+    alphabet = [chr(c) for c in range(0x391, 0x3CA) if chr(c).isalpha()] + [chr(c) for c in range(0x410, 0x450)]
+    channel = trained([f"a{c}b" for c in alphabet] + ["qжw"] * 3)
+    assert len(channel.letters) > 100 and channel.candidates("q�w")[0][0] == "qжw"
+    deep = "ação"
+    for _ in range(5):
+        deep = deep.encode().decode("latin-1")
+    assert "ação" in {c for c, _, _ in trained(["ação", "maçã"] * 9).candidates(deep)}
+
+
+def test_lost_words_must_agree_with_what_is_left():
+    assert mojibake.explains("informaÃ§Ã�o", "informação") and mojibake.explains("situa��o", "situação") and mojibake.explains("a����o", "ação")
+    assert not mojibake.explains("cafÃ�", "cafônã") and not mojibake.explains("Ã§�", "çabc")
+
+
+def test_lost_word_between_quotes(spark):
+    rng = random.Random(5)
+    docs = list(enumerate(corpus(rng, 120))) + [(900, "a “grava��o” e (m�sica)"), (901, "«manh�» já")]
+    restored = {r["doc_id"]: r["restored"] for r in mojibake.restore(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert restored == {900: "a “gravação” e (música)", 901: "«manhã» já"}
+
+
+def test_mix_up_in_one_of_a_hundred_texts(spark):
+    rng = random.Random(8)
+    texts = corpus(rng, 3_000)
+    bad = {i for i in range(0, 3_000, 60)}
+    docs = [(i, " ".join(w for w in t.split() if w in WORDS or w.isascii()).encode("cp1252").decode("cp1250") if i in bad else t) for i, t in enumerate(texts)]
+    changed = {i for i in bad if any(c in docs[i][1] for c in "ăőŕęůń")}
+    found = {r["doc_id"] for r in mojibake.find(spark.createDataFrame(docs, "doc_id bigint, text string"))[0].collect()}
+    assert found == changed
