@@ -59,9 +59,9 @@ def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.unionByName(other.select("job_id", "segment_id", "language", F.round("confidence", 4).alias("confidence")))
 
 
-def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p8_mix(spark: SparkSession, sf_dir: str, *, tokenizers: str = mixing.TOKENIZERS) -> DataFrame:
     """Documents of every mix with their copies."""
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), folder=tokenizers)
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
 
 
+def p8_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target of a mix whether every document is listed once and used no more often than allowed."""
+    targets = table(spark, sf_dir, "mix_targets").select("mix_id", mixing.domain(F.col("source")).alias("source"), "max_repeats").where("source IS NOT NULL")
+    used = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).groupBy("mix_id", "source", "doc_id").agg(F.count("*").alias("rows"), F.sum("copies").alias("copies"))
+    top = used.groupBy("mix_id", "source").agg(F.max("rows").alias("rows"), F.max("copies").alias("copies"))
+    both = targets.join(top, ["mix_id", "source"], "full")
+    return both.select("mix_id", "source", "max_repeats", (F.coalesce("rows", F.lit(0)) > 1).alias("twice"), (F.coalesce("copies", F.lit(0)) > F.coalesce("max_repeats", F.lit(0))).alias("over"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with text that was decoded with the wrong encoding."""
     return mojibake.find(table(spark, sf_dir, "documents"))[0]
@@ -104,5 +113,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_containers, p2_coverage, p3_found, p4_found, p4_turns, p5_found, p5_pieces, p6_found, p6_languages, p7_found, p7_alignments, p8_mix, p8_shares, p9_found, p9_restored)
+    for f in (p2_containers, p2_coverage, p3_found, p4_found, p4_turns, p5_found, p5_pieces, p6_found, p6_languages, p7_found, p7_alignments, p8_mix, p8_shares, p8_caps, p9_found, p9_restored)
 }

@@ -5,6 +5,9 @@ SQL: dict[str, str] = {
 WITH b AS (SELECT DISTINCT block_id, job_id, block_index, planner_id, length(text) AS n FROM editorial_blocks WHERE text IS NOT NULL)
 SELECT job_id, block_index, max_chars AS capacity, CAST(sum(n) AS BIGINT) AS chars, CAST(sum(greatest(1, ceil(n / max_chars))) AS BIGINT) AS parts, false AS over
 FROM b JOIN planners USING (planner_id) GROUP BY job_id, block_index, max_chars
+""",
+    "p8_caps": """
+SELECT mix_id, lower(trim(source)) AS source, max_repeats, false AS twice, false AS over FROM mix_targets WHERE trim(source) <> ''
 """,
     "p5_found": """
 SELECT DISTINCT block_id FROM editorial_blocks JOIN planners USING (planner_id)

@@ -53,6 +53,31 @@ def test_documents_without_source_serve_a_short_domain(spark):
         assert abs(got[k].sum() - min(ratio * base, 220 * a + 100 * c if k == 3 else np.inf)) <= 2 * max(a, c)
     assert abs(got[1]["a"] - 0.25 * base) <= a and abs(got[2]["a"] - min(0.72 * base, 220 * a)) <= a
     assert abs(got[3]["c"] - min(0.6 * base - min(0.48 * base, 220 * a), 100 * c)) <= c and got[3]["c"] > n["c"]
-    # A short domain's own documents are all taken, to their cap, before those without a source.
-    assert set(mixed[(mixed.mix_id == 1) & (mixed.source == "a")].doc_id) > set(range(20))
-    assert mixed[mixed.mix_id != 2].copies.max() == 1
+    # Documents with and without a source serve their domain alike, and only together can they.
+    one = set(mixed[(mixed.mix_id == 1) & (mixed.source == "a")].doc_id)
+    assert one & set(range(20)) and len(one & set(range(1_000, 1_200))) > 20 and mixed[mixed.mix_id != 2].copies.max() == 1
+
+
+def test_posteriors_count_in_part(spark):
+    """Texts that are as likely of one source as of the other count half for each; own documents make up the rest."""
+    docs = [(i, "gato rio", "pt", "a", "txt") for i in range(200)] + [(300 + i, "carro motor", "pt", "b", "txt") for i in range(200)]
+    docs += [(600 + i, "gato carro", "pt", s, "txt") for i, s in enumerate(["a", "b"] * 50)] + [(1_000 + i, "gato carro", "pt", None, "txt") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, file_format string")
+    targets = spark.createDataFrame([(1, "a", 1.0, 1, 0.8), (1, "b", 3.0, 1, 0.8)], "mix_id int, source string, target_share double, max_repeats int, budget_ratio double")
+    mixed = mixing.mix(df, targets).toPandas()
+    assert len(mixed[mixed.doc_id >= 1_000]) > 0  # documents without a source are taken in every mix they fit
+    names, measured = mixing.measured(df)
+    p = {r["doc_id"]: r["p"] for r in measured.where("domain IS NULL").collect()}
+    assert 0.3 < p[1_000][0] < 0.7
+    own = mixed[mixed.doc_id < 1_000].groupby("source").n_tokens.sum()
+    soft = mixed[mixed.doc_id >= 1_000].n_tokens.sum()
+    b = own["b"] + soft * p[1_000][names.index("b")]
+    assert abs(b / mixed.n_tokens.sum() - 0.75) < 0.01
+
+
+def test_tokens_are_counted_without_running_the_folder(tmp_path):
+    import shutil
+
+    shutil.copy(f"{mixing.TOKENIZERS}/{mixing.VOCABULARY}", tmp_path)
+    (tmp_path / "__init__.py").write_text("PATTERN = r'x+'\nraise SystemExit\n")
+    assert mixing.vocabulary(str(tmp_path))[0] == "x+"
