@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -14,7 +15,12 @@ def phonetic(token: str) -> str:
     """First letter and consonant classes of a folded token, repeats and vowels left out."""
     coded = token.translate(_SOUND)
     out = [c for i, c in enumerate(coded) if c not in "aeiouyhw" and (i == 0 or coded[i - 1] != c)]
-    return (coded[:1] + "".join(out))[:6]
+    return coded[:1] + "".join(out)
+
+
+def block(name: str) -> str:
+    """What names that sound alike have in common."""
+    return " ".join(phonetic(t) for t in name.split())
 
 
 def distance(a: str, b: str) -> int:
@@ -106,53 +112,93 @@ def _cost(key: str, name: str) -> float:
     return best
 
 
-def resolve(counts: dict[str, int], known: dict[str, list[str]] | None = None) -> dict[str, str]:
-    """Speaker of each label of one transcript.
+def spellings(counts: dict[str, int]) -> dict[str, str]:
+    """For each full name the most frequent of its spellings.
 
-    ``counts``: label keys with how often each stands there. ``known``: for a label that no name of
-    this transcript explains, names from other transcripts. Labels of one form are assigned to the
-    transcript's names one-to-one at the least total distance; within a form two labels never mean
-    one person unless they are spellings of each other.
+    Within a phonetic block the names that no more frequent one is a spelling of stand for persons;
+    the others are assigned to them at the least total distance, one to each person a round.
     """
+    blocks: dict[str, list[str]] = defaultdict(list)
+    for key in sorted(counts, key=lambda k: (-counts[k], k)):
+        blocks[block(key)].append(key)
     out: dict[str, str] = {}
-    roster: list[str] = []
-    blocks: dict[tuple, list[str]] = defaultdict(list)
+    for names in blocks.values():
+        people: list[str] = []
+        others: list[str] = []
+        for key in names:
+            (others if any(_cost(key, p) < _FAR for p in people) else people).append(key)
+        out.update({p: p for p in people})
+        while others:
+            cost = np.array([[_cost(k, p) for p in people] for k in others])
+            pairs = [(k, people[j]) for i, (k, j) in enumerate(zip(others, assign(cost))) if j >= 0 and cost[i, j] < _FAR]
+            out.update(pairs)
+            others = [k for k in others if k not in out]
+    return out
+
+
+def orphans(counts: dict[str, int]) -> list[str]:
+    """Labels of one transcript that none of its full names explains."""
+    names = set(spellings({k: n for k, n in counts.items() if _form(k) == "full"}).values())
+    return sorted(k for k in counts if _form(k) != "full" and all(_cost(k, n) >= _FAR for n in names))
+
+
+def compositions(labels: list[str]) -> list[tuple[str, str, str]]:
+    """(label, other label, full name that both would mean) for labels of one transcript without a full name."""
+    out = []
+    singles = [k for k in labels if _form(k) == "single"]
+    for k in labels:
+        if _form(k) == "initial":
+            tokens = k.split()
+            gaps = [i for i, t in enumerate(tokens) if t.endswith(".") or len(t) == 1]
+            if len(gaps) == 1:
+                out += [(k, x, " ".join(x if i == gaps[0] else t for i, t in enumerate(tokens))) for x in singles if x.startswith(tokens[gaps[0]].rstrip("."))]
+        elif _form(k) == "single":
+            out += [(k, x, f"{k} {x}") for x in singles if x != k]
+    return out
+
+
+def resolve(counts: dict[str, int], known: Iterable[str] = ()) -> dict[str, str]:
+    """Speaker of each label of one transcript.
+
+    ``counts``: label keys with how often each stands there. ``known``: names of the roster of all
+    transcripts that may be meant by two or more labels that no name of this transcript explains. The
+    one that explains most of them takes them; an initial and the same surname mean one person even
+    if no roster tells who. Labels of one form are assigned to the transcript's names one-to-one at
+    the least total distance; within a form two labels never mean one person unless they are
+    spellings of each other.
+    """
     rank = sorted(counts, key=lambda k: (-counts[k], k))
-    for key in rank:
-        if _form(key) == "full":
-            block = blocks[tuple(phonetic(t) for t in key.split())]
-            near = [n for n in block if _cost(key, n) < _FAR]
-            if near:
-                out[key] = min(near, key=lambda n: _cost(key, n))
-            else:
-                block.append(key)
-                roster.append(key)
-                out[key] = key
+    out = spellings({k: n for k, n in counts.items() if _form(k) == "full"})
+    roster = [k for k in rank if out.get(k) == k]
+    open_ = orphans(counts)
+    while True:
+        of = {n: [k for k in open_ if _cost(k, n) < _FAR] for n in known}
+        best = max(of, key=lambda n: (len(of[n]), [-ord(c) for c in n]), default=None)
+        if best is None or len(of[best]) < 2:
+            break
+        roster.append(best)
+        out.update({k: best for k in of[best]})
+        open_ = [k for k in open_ if k not in out]
+    for key in [k for k in open_ if _form(k) == "initial"]:
+        same = [k for k in open_ if _form(k) == "single" and k not in out and key.split()[-1] == k]
+        if same and key not in out:
+            roster.append(key)
+            out.update({k: key for k in (key, *same)})
     for key in rank:  # single words that are no part of a full name are names of their own (roles, given names)
-        if _form(key) == "single" and all(_cost(key, n) >= _FAR for n in roster):
+        if key not in out and _form(key) == "single" and all(_cost(key, n) >= _FAR for n in roster):
             twin = next((n for n in roster if _form(n) == "single" and phonetic(n) == phonetic(key) and distance(n, key) <= 1 and len(key) > 4), None)
             if twin is None:
                 roster.append(key)
             out[key] = twin or key
     for form in ("single", "initial", "short"):
-        open_ = [k for k in rank if k not in out and _form(k) == form]
-        if not open_ or not roster:
+        left = [k for k in rank if k not in out and _form(k) == form]
+        if not left or not roster:
             continue
-        cost = np.array([[_cost(k, n) for n in roster] for k in open_])
-        for k, j in zip(open_, assign(cost)):
-            if j >= 0 and cost[open_.index(k), j] < _FAR:
+        cost = np.array([[_cost(k, n) for n in roster] for k in left])
+        for i, (k, j) in enumerate(zip(left, assign(cost))):
+            if j >= 0 and cost[i, j] < _FAR:
                 out[k] = roster[j]
-        for k in open_:  # more labels than names: the nearest name
-            if k not in out and cost[open_.index(k)].min() < _FAR:
-                out[k] = roster[int(cost[open_.index(k)].argmin())]
-    left = [k for k in rank if k not in out]
-    for k in left:
-        names = [n for n in (known or {}).get(k, []) if _cost(k, n) < _FAR]
-        out[k] = names[0] if len(names) == 1 else k
-    # Labels without a full name beside them may still mean one another ('A. Silva', 'Silva').
-    for k in left:
-        if out[k] == k and _form(k) == "initial":
-            for other in left:
-                if other != k and _form(other) == "single" and _cost(other, k.replace(".", "")) < _FAR:
-                    out[other] = k
-    return out
+        for i, k in enumerate(left):  # more labels than names: the nearest name
+            if k not in out and cost[i].min() < _FAR:
+                out[k] = roster[int(cost[i].argmin())]
+    return out | {k: k for k in rank if k not in out}

@@ -12,13 +12,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cadenza.common import cut
 from cadenza.llm import rosters, speech
 
 BUCKET_MS = 3_600_000
-#: Ways a job's rows are spread while names are looked up.
-SALTS = 8
+KEY = ["job_id", "b"]
+ORDER = ["s", "chunk_index", "seg_index", "segment_id"]
 
 
 def spoken(segments: DataFrame, *, keep_text: bool = False) -> DataFrame:
@@ -47,68 +48,83 @@ def spoken(segments: DataFrame, *, keep_text: bool = False) -> DataFrame:
     )
 
 
+def _composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = [(job, rosters.block(name)) for job, labels in zip(pdf["job_id"], pdf["labels"]) for _, _, name in rosters.compositions(rosters.orphans({x["key"]: int(x["n"]) for x in labels}))]
+        yield pd.DataFrame(out, columns=["job_id", "block"])
+
+
 def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for job, labels in zip(pdf["job_id"], pdf["labels"]):
-            others = {x["key"]: [x["name"]] for x in labels if x["name"]}
-            for key, who in rosters.resolve({x["key"]: int(x["n"]) for x in labels}, others).items():
-                if who != key:
-                    out.append((job, key, who))
+        for job, labels, known in zip(pdf["job_id"], pdf["labels"], pdf["known"]):
+            out += [(job, key, who) for key, who in rosters.resolve({x["key"]: int(x["n"]) for x in labels}, list(known) if known is not None else ()).items()]
         yield pd.DataFrame(out, columns=["job_id", "key", "who"])
 
 
-def name_table(rows: DataFrame) -> DataFrame:
-    """job_id, key, who: for each label that is another spelling, the name it stands for.
+def _spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(block, key, name) for block, x in zip(pdf["block"], pdf["x"]) for key, name in rosters.spellings({e["key"]: int(e["n"]) for e in x}).items()]
+        yield pd.DataFrame(rows, columns=["block", "key", "name"])
 
-    The roster of a transcript is what its own labels give; a label that no name of its transcript
-    explains is looked up in the roster of all transcripts and taken if only one person there bears
-    that name. Only labels and their counts are gathered, never segments.
-    """
-    labels = rows.where(F.col("key").isNotNull() & ~F.col("key").startswith("#")).groupBy("job_id", "key").agg(F.count("*").alias("n"))
-    tokens = F.split("key", " ")
-    full = (F.size(tokens) > 1) & ~F.col("key").rlike(r"\.|(^| )\S( |$)")
-    people = (
-        labels.where(full).select("key").distinct()
-        .select(F.col("key").alias("name"), F.explode(F.array_distinct(tokens)).alias("token"))
-        .groupBy("token").agg(F.count("*").alias("bearers"), F.min("name").alias("name"))
-        .where(F.col("bearers") == 1).drop("bearers")
-    )
-    part = labels.withColumn("token", F.when(~full, F.element_at(tokens, -1)))
-    grouped = (
-        part.join(people, "token", "left")
-        .groupBy("job_id").agg(F.collect_list(F.struct("key", "n", "name")).alias("labels"))
-    )
-    return grouped.mapInPandas(_resolved, "job_id string, key string, who string")
 
+@F.pandas_udf(StringType())
+def _block(name: pd.Series) -> pd.Series:
+    return name.map(rosters.block)
 
-def speakers(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``who``: one value for all spellings of a speaker within a job, NULL if unnamed."""
-    names = name_table(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod("b", F.lit(SALTS)).cast("int"))
-    joined = salted.join(names, ["job_id", "key", "salt"], "left")
-    return joined.select(*[c for c in rows.columns if c != "key"], F.coalesce("who", "key").alias("who"))
 
+def roster(labels: DataFrame) -> DataFrame:
+    """block, key, name: every full name of any transcript with the spelling that most transcripts use; ``labels``: job_id, key, n.
 
-def _order() -> Column:
-    return F.struct("s", "chunk_index", "seg_index", "segment_id")
+    Only names that sound alike are compared. A person is whoever bears a name: however many people
+    share a surname, and however their names are misspelt elsewhere, each full name is one entry.
+    """
+    full = (F.size(F.split("key", " ")) > 1) & ~F.col("key").rlike(r"\.|(^| )\S( |$)")
+    names = labels.where(full).groupBy("key").agg(F.count("*").alias("n")).withColumn("block", _block("key"))
+    return names.groupBy("block").agg(F.collect_list(F.struct("key", "n")).alias("x")).mapInPandas(_spelled, "block string, key string, name string")
 
 
-def runs(rows: DataFrame) -> DataFrame:
-    """Runs of one speaker within each hour, and for each the run of the job that it belongs to.
+def name_table(rows: DataFrame) -> DataFrame:
+    """job_id, key, who: for each label that is another spelling, the name it stands for.
 
-    Returns job_id, b, who, head, tail (ordering keys of its first and last segment) and ``turn``,
-    the ordering key of the first segment of the whole turn.
+    A label is resolved among the names of its own transcript first. Labels that none of them
+    explains are put together in pairs ('A. Silva' and 'Ana' would be 'Ana Silva'); pairs whose name
+    the roster of all transcripts holds, in whatever spelling, mean that person. Names are then given
+    in the roster's spelling. Only labels and their counts are gathered, never segments.
     """
-    key = ["job_id", "b"]
-    one = rows.repartition(*[F.col(k) for k in key]).dropDuplicates([*key, "s", "chunk_index", "seg_index", "segment_id"])
-    w = Window.partitionBy(*key).orderBy("s", "chunk_index", "seg_index", "segment_id")
-    filled = one.withColumn("heard", F.last("who", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    labels = cut(rows.where(F.col("key").isNotNull() & ~F.col("key").startswith("#")).groupBy("job_id", "key").agg(F.count("*").alias("n")))
+    people = cut(roster(labels))
+    grouped = labels.groupBy("job_id").agg(F.collect_list(F.struct("key", "n")).alias("labels"))
+    found = grouped.mapInPandas(_composed, "job_id string, block string").distinct().join(people.select("block", "name").distinct(), "block")
+    known = found.groupBy("job_id").agg(F.array_sort(F.collect_set("name")).alias("known"))
+    resolved = grouped.join(known, "job_id", "left").mapInPandas(_resolved, "job_id string, key string, who string")
+    spelled = people.where("key <> name").select(F.col("key").alias("who"), "name")
+    return resolved.join(spelled, "who", "left").select("job_id", "key", F.coalesce("name", "who").alias("who")).where("who <> key")
+
+
+def renamed(rows: DataFrame) -> DataFrame:
+    """job_id, b, names: for each hour a map of its labels to the names they stand for, where these differ."""
+    there = rows.where("key IS NOT NULL").select(*KEY, "key").distinct()
+    return there.join(name_table(rows), ["job_id", "key"]).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("key", "who"))).alias("names"))
+
+
+def _numbered(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows once each, with the speaker ``heard`` in them (NULL if none was named in the hour so far) and the ``run`` of one speaker they belong to."""
+    one = rows.repartition(*KEY).dropDuplicates([*KEY, *ORDER]).join(names, KEY, "left")
+    w = Window.partitionBy(*KEY).orderBy(*ORDER)
+    filled = one.withColumn("heard", F.last(F.coalesce(F.try_element_at("names", F.col("key")), "key"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("names", "key")
     changed = F.lag(F.lit(1)).over(w).isNull() | ~F.col("heard").eqNullSafe(F.lag("heard").over(w))
-    local = (
-        filled.withColumn("new", changed.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*key, "run").agg(F.first("heard").alias("heard"), F.min(_order()).alias("head"), F.max(_order()).alias("tail"))
-    )
+    return filled.withColumn("new", changed.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+
+def runs(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Runs of one speaker within each hour, and for each the run of the job that it belongs to.
+
+    Returns job_id, b, run, who, head, tail (ordering keys of its first and last segment) and
+    ``turn``, the ordering key of the first segment of the whole turn.
+    """
+    key, order = KEY, F.struct(*ORDER)
+    local = _numbered(rows, names).groupBy(*key, "run").agg(F.first("heard").alias("heard"), F.min(order).alias("head"), F.max(order).alias("tail"))
     named = F.col("heard").isNotNull()
     by_hour = local.groupBy(*key).agg(
         F.min_by(F.when(named, F.col("heard")), F.when(named, F.col("run"))).alias("first_who"),
@@ -134,7 +150,7 @@ def runs(rows: DataFrame) -> DataFrame:
     first_named = F.col("heard").isNotNull() & (F.col("run") == F.min(F.when(F.col("heard").isNotNull(), F.col("run"))).over(Window.partitionBy(*key)))
     goes_on = (F.col("heard").isNull() & F.col("begun")) | (first_named & F.col("heard").eqNullSafe(F.col("carry")))
     return both.withColumn("turn", F.when(goes_on, F.col("open")).otherwise(F.col("head"))).select(
-        *key, F.coalesce("heard", "carry").alias("who"), "head", "tail", "turn"
+        *key, "run", F.coalesce("heard", "carry").alias("who"), "head", "tail", "turn"
     )
 
 
@@ -145,33 +161,38 @@ def turn_bounds(segments: DataFrame) -> DataFrame:
     job without labels, have one unnamed speaker (NULL). Neither pauses nor chunk ends break a turn.
     Ties in time are ordered by chunk, segment number and id; re-delivered rows count once.
     """
+    rows = cut(spoken(segments))
     return (
-        runs(speakers(cut(spoken(segments))))
+        runs(rows, renamed(rows))
         .groupBy("job_id", "turn").agg(F.max("tail").alias("tail"), F.first("who").alias("speaker"))
         .select("job_id", "speaker", F.col("turn.segment_id").alias("first_segment_id"), F.col("tail.segment_id").alias("last_segment_id"), F.col("turn.s").alias("start_ms"))
     )
 
 
 def turn_texts(segments: DataFrame) -> DataFrame:
-    """Turns with their cleaned text: job_id, turn_index, speaker, start_ms, segments, text.
+    """Turns with their cleaned text: job_id, turn_index, part, parts, speaker, start_ms, segments, text.
 
-    Texts are first joined within an hour and then across the hours of a turn, so no task gathers
-    more than one turn. Turn numbers count from 0 in order of start, by prefix sums over the hours.
+    A turn that goes on over full hours has a part an hour, in order, so that no task and no cell
+    holds more than an hour's speech; its whole text is that of its parts, joined by spaces. Turn
+    numbers count from 0 in order of start. Turns are found over ids alone; the texts are moved once,
+    to their hour, where they are joined with its turns.
     """
-    rows = cut(speakers(cut(spoken(segments, keep_text=True))).dropDuplicates(["job_id", "b", "s", "chunk_index", "seg_index", "segment_id"]))
-    bounds = runs(rows.drop("said")).select("job_id", "b", "who", "head", "tail", "turn")
-    w = Window.partitionBy("job_id", "b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    marks = bounds.select("job_id", "b", F.col("head").alias("k"), F.struct("turn", "who").alias("mark"), F.lit(None).cast("string").alias("said"))
-    texts = rows.select("job_id", "b", _order().alias("k"), F.lit(None).cast("struct<turn:struct<s:bigint,chunk_index:int,seg_index:int,segment_id:bigint>,who:string>").alias("mark"), "said")
-    joined = (
-        marks.unionByName(texts).withColumn("at", F.last("mark", ignorenulls=True).over(w)).where(F.col("said").isNotNull())
-        .groupBy("job_id", "at", "b").agg(F.sort_array(F.collect_list(F.struct("k", "said"))).alias("parts"))
-        .groupBy("job_id", F.col("at.turn").alias("turn")).agg(F.max("at.who").alias("speaker"), F.sort_array(F.collect_list(F.struct("b", "parts"))).alias("hours"))
-    )
-    said = F.flatten(F.transform("hours", lambda h: h["parts"]["said"]))
-    done = joined.select("job_id", "speaker", F.col("turn.s").alias("start_ms"), F.col("turn").alias("k"), F.floor(F.col("turn.s") / BUCKET_MS).alias("b"), F.size(said).cast("bigint").alias("segments"), F.array_join(said, " ").alias("text"))
-    before = done.groupBy("job_id", "b").agg(F.count("*").alias("n")).select(
+    rows = cut(spoken(segments, keep_text=True))
+    names = cut(renamed(rows))
+    bounds = cut(runs(rows.drop("said"), names))
+    heads = bounds.where(F.col("turn") == F.col("head")).select("job_id", "b", "turn")
+    before = heads.groupBy("job_id", "b").agg(F.count("*").alias("n")).select(
         "job_id", "b", F.coalesce(F.sum("n").over(Window.partitionBy("job_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
     )
-    number = F.row_number().over(Window.partitionBy("job_id", "b").orderBy("k")) - 1 + F.col("base")
-    return done.join(before, ["job_id", "b"]).select("job_id", number.cast("bigint").alias("turn_index"), "speaker", "start_ms", "segments", "text")
+    number = (F.row_number().over(Window.partitionBy(*KEY).orderBy("turn")) - 1 + F.col("base")).cast("bigint")
+    numbers = heads.join(before, KEY).select("job_id", "turn", number.alias("turn_index"))
+    in_turn = Window.partitionBy("job_id", "turn_index")
+    stretches = (
+        bounds.join(numbers, ["job_id", "turn"]).groupBy(*KEY, "turn_index").agg(F.collect_list("run").alias("runs"), F.max("who").alias("who"), F.first("turn.s").alias("start_ms"))
+        .withColumn("part", F.row_number().over(in_turn.orderBy("b")) - 1).withColumn("parts", F.count("*").over(in_turn).cast("int"))
+    )
+    at = F.struct("run", "turn_index", "part", "parts", F.col("who").alias("speaker"), "start_ms")
+    turns = stretches.withColumn("run", F.explode("runs")).groupBy(*KEY).agg(F.sort_array(F.collect_list(at)).alias("turns"))  # the k-th is that of run k
+    placed = _numbered(rows, names).join(turns, KEY).select(*KEY, F.element_at("turns", F.col("run").cast("int")).alias("at"), F.struct(*ORDER, "said").alias("x"))
+    said = placed.groupBy(*KEY, F.col("at.turn_index").alias("turn_index")).agg(F.first("at").alias("at"), F.sort_array(F.collect_list("x")).alias("x"))
+    return said.select("job_id", "turn_index", "at.part", "at.parts", "at.speaker", "at.start_ms", F.size("x").cast("bigint").alias("segments"), F.array_join("x.said", " ").alias("text"))

@@ -34,7 +34,31 @@ def test_hesitations(spark):
 def test_rosters():
     got = rosters.resolve({"ana silva": 9, "a. silva": 2, "ana": 1, "bruno reis": 4, "reis": 1, "moderadora": 3, "mod.": 1, "ana sylva": 1})
     assert got["a. silva"] == got["ana"] == got["ana sylva"] == "ana silva" and got["reis"] == "bruno reis" and got["mod."] == "moderadora"
-    assert rosters.resolve({"j. costa": 1}, {"j. costa": ["joana costa"]}) == {"j. costa": "joana costa"}
+    assert rosters.resolve({"j. costa": 1, "joana": 2}, ["joana costa", "joel costa"]) == {"j. costa": "joana costa", "joana": "joana costa"}
+    assert rosters.resolve({"j. costa": 1, "joana": 2}) == {"j. costa": "j. costa", "joana": "joana"} and rosters.resolve({"j. costa": 1, "costa": 1}) == {"j. costa": "j. costa", "costa": "j. costa"}
+    assert rosters.phonetic("bartholomaeusdottirson") != rosters.phonetic("bartholomaeusdottir")
+
+
+def test_spellings_are_assigned_one_to_one():
+    got = rosters.spellings({"marta lopes": 9, "marta lopez": 2, "marta loppes": 1, "bruno reis": 3, "ana reis": 3})
+    assert got["marta lopez"] == got["marta loppes"] == got["marta lopes"] == "marta lopes" and got["bruno reis"] == "bruno reis" and got["ana reis"] == "ana reis"
+
+
+def test_names_across_transcripts(spark):
+    """Given name and initialled surname stand in one job, the full name only in others, misspelt in some, beside many people of the same surname."""
+    given = "ana bruno carla diego elisa fabio gilda hugo irene jonas".split()
+    family = "silva moreira teixeira cardoso fagundes".split()
+    rows, n = [], 0
+    for k, (g, f) in enumerate((g, f) for g in given for f in family):
+        for j in range(3):
+            rows.append((n := n + 1, f"other{k % 7}", 0, n, float(n), 1.0, "fala", f"{g.title()} {f.title()}" if j else f"{g.title()} {f.title().replace('ss', 's').replace('i', 'y', 1)}"))
+    planted = [(g, f) for i, g in enumerate(given) for j, f in enumerate(family) if (i + j) % 3 == 0]
+    for k, (g, f) in enumerate(planted):
+        for who in (f"{g[0].upper()}. {f.title()}", g.title(), "Moderadora"):
+            rows.append((n := n + 1, f"job{k}", 0, n, float(n), 1.0, "fala", who))
+    table = {(r["job_id"], r["key"]): r["who"] for r in turns.name_table(turns.spoken(spark.createDataFrame(rows, SCHEMA))).collect()}
+    hits = sum(table.get((f"job{k}", f"{g[0]}. {f}")) == table.get((f"job{k}", g)) == f"{g} {f}" for k, (g, f) in enumerate(planted))
+    assert hits >= 0.9 * len(planted) and not any(k == "moderadora" for _, k in table)
 
 
 def test_assignment_is_optimal():
@@ -72,4 +96,9 @@ def test_turns_against_one_pass(spark):
     got = {(r["job_id"], r["first_segment_id"], r["last_segment_id"]) for r in turns.turn_bounds(df).collect()}
     assert got == {(j, *x) for j, t in want.items() for x in t}
     texts = turns.turn_texts(df).collect()
-    assert sorted((r["job_id"], r["turn_index"]) for r in texts) == sorted((j, k) for j, t in want.items() for k in range(len(t)))
+    assert sorted({(r["job_id"], r["turn_index"]) for r in texts}) == sorted((j, k) for j, t in want.items() for k in range(len(t)))
+    starts = {(r["job_id"], r["turn_index"], r["part"]): r for r in texts}
+    assert len(starts) == len(texts) and any(r["parts"] > 1 for r in texts)
+    for r in texts:
+        assert r["text"] and len(r["text"].split()) >= r["segments"] and (r["job_id"], r["turn_index"], r["parts"] - 1) in starts and (r["part"] == 0 or starts[r["job_id"], r["turn_index"], 0]["speaker"] == r["speaker"])
+    assert sum(r["segments"] for r in texts) == len({r for r in rows if r[4] is not None and r[6] not in (None, "[música]", "hum...")})
