@@ -124,7 +124,7 @@ def runs(rows: DataFrame, names: DataFrame) -> DataFrame:
     ``turn``, the ordering key of the first segment of the whole turn.
     """
     key, order = KEY, F.struct(*ORDER)
-    local = _numbered(rows, names).groupBy(*key, "run").agg(F.first("heard").alias("heard"), F.min(order).alias("head"), F.max(order).alias("tail"))
+    local = cut(_numbered(rows, names).groupBy(*key, "run").agg(F.first("heard").alias("heard"), F.min(order).alias("head"), F.max(order).alias("tail")))
     named = F.col("heard").isNotNull()
     by_hour = local.groupBy(*key).agg(
         F.min_by(F.when(named, F.col("heard")), F.when(named, F.col("run"))).alias("first_who"),
