@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,23 +51,31 @@ def _sentences(text: str, node: Node) -> None:
         node.children = node.children[0].children if node.children else []
 
 
+def _items(text: str, node: Node, items: list[tuple[int, int]]) -> None:
+    """List items (start, depth) of a node as its children, deeper ones below the item before them, at any depth."""
+    level = min(depth for _, depth in items)
+    node.children = _by(text, node.start, node.end, [s for s, depth in items if depth == level])
+    for child in node.children:
+        inner = [(s, depth) for s, depth in items if child.start <= s < child.end and depth > level]
+        if not inner:
+            _sentences(text, child)
+        elif inner[0][0] == child.start:  # deeper items before the first of this level
+            _items(text, child, inner)
+        else:
+            head, rest = Node(child.start, inner[0][0]), Node(inner[0][0], child.end)
+            _sentences(text, head)
+            _items(text, rest, inner)
+            child.children = [head, rest]
+
+
 def _lines(text: str, node: Node) -> None:
     """Lines of a paragraph: list items (nested by their indent) or, in plain prose, sentences."""
     starts = [node.start, *[m.end() for m in re.compile("\n").finditer(text, node.start, node.end) if m.end() < node.end]]
     items = [(s, len(m.group(1).expandtabs(4))) for s in starts if (m := _ITEM.match(text, s, node.end))]
     if len(items) < 2:
         _sentences(text, node)
-        return
-    level = min(depth for _, depth in items)
-    node.children = _by(text, node.start, node.end, [s for s, depth in items if depth == level])
-    for child in node.children:
-        inner = [s for s, depth in items if child.start < s < child.end]
-        if inner:
-            child.children = _by(text, child.start, child.end, inner)
-            for grandchild in child.children:
-                _sentences(text, grandchild)
-        else:
-            _sentences(text, child)
+    else:
+        _items(text, node, items)
 
 
 def parse(text: str) -> Node:
@@ -99,20 +108,25 @@ def _stretch(node: Node) -> None:
         node.end = max(node.end, node.children[-1].end) if node.start != node.end else node.children[-1].end
 
 
-def pack(text: str, node: Node, limit: int) -> list[tuple[int, int]]:
-    """Stretches of at most ``limit`` characters that cover the node.
+def pack(text: str, node: Node, limit: int, first: int | None = None) -> list[tuple[int, int]]:
+    """Stretches of at most ``limit`` characters (``first`` at the start of the text) that cover the node.
 
     Subtrees that fit are whole; neighbours are merged as long as they fit together; only a subtree
     over the limit is entered, and its parts join what stands beside it. A word over the limit is cut.
     """
-    if node.end - node.start <= limit:
+    room = lambda start: first if first and start == 0 else limit
+    if node.end - node.start <= room(node.start):
         return [(node.start, node.end)]
-    if not node.children:
-        return [(a, min(a + limit, node.end)) for a in range(node.start, node.end, limit)]
     out: list[tuple[int, int]] = []
+    if not node.children:
+        at = node.start
+        while at < node.end:
+            out.append((at, min(at + room(at), node.end)))
+            at = out[-1][1]
+        return out
     for child in node.children:
-        for start, end in pack(text, child, limit):
-            if out and end - out[-1][0] <= limit:
+        for start, end in pack(text, child, limit, first):
+            if out and end - out[-1][0] <= room(out[-1][0]):
                 out[-1] = (out[-1][0], end)
             else:
                 out.append((start, end))
@@ -120,21 +134,23 @@ def pack(text: str, node: Node, limit: int) -> list[tuple[int, int]]:
 
 
 def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end, overlap) of the pieces of a text; each begins ``overlap`` characters inside the piece before it.
+    """(start, end, overlap) of the pieces of a text; each repeats the whole words that end the piece before it, at most ``overlap`` characters of them.
 
     Pieces with their overlap stay within ``limit``; white space at the cut belongs to the piece
-    before. A text within the limit is one piece. The overlap is at most half the limit.
+    before. A text within the limit is one piece. The overlap is at most half the limit and no more
+    than the piece before with its own overlap; only if a word is longer does it begin within it.
     """
     if len(text) <= limit or limit <= 0:
         return [(0, len(text), 0)]
     overlap = max(0, min(overlap, limit // 2))
-    tree = parse(text)
-    parts = pack(text, tree, limit - overlap)
-    # The first piece has no overlap before it and may take what fits of the following one.
-    out = []
-    for k, (start, end) in enumerate(parts):
-        before = 0 if k == 0 else min(overlap, start - parts[k - 1][0])
-        out.append((start - before, end, before))
+    begins = [0, *[m.end() for m in _SPACE.finditer(text)]]
+    parts = pack(text, parse(text), limit - overlap, limit)  # the first piece repeats nothing and has more room
+    out: list[tuple[int, int, int]] = []
+    for start, end in parts:
+        back = max(start - overlap, out[-1][0]) if out else start
+        k = bisect_left(begins, back)
+        at = begins[k] if k < len(begins) and begins[k] < start else back
+        out.append((at, end, start - at))
     return out
 
 
@@ -145,13 +161,12 @@ def pieces(blocks: DataFrame, limits: DataFrame, *, keys: tuple[str, ...] = ("bl
     non-positive limit, and blocks within the limit, stay whole. NULL texts have no pieces. Blocks
     that are delivered again count once. Only oversized texts leave the JVM.
     """
-    text = tidy(F.col("text"))
     rows = (
-        blocks.where(F.col("text").isNotNull()).select(*keys, "planner_id", text.alias("body")).dropDuplicates(list(keys))
+        blocks.where(F.col("text").isNotNull()).select(*keys, "planner_id", tidy(F.col("text")).alias("body"))
         .join(limits.select("planner_id", F.col("char_limit").alias("most"), F.col("char_overlap").alias("shared")), "planner_id", "left")
     )
-    over = (F.col("most") > 0) & (F.length("body") > F.col("most"))
-    whole = rows.where(~F.coalesce(over, F.lit(False)) & (F.length("body") > 0)).select(
+    over = F.coalesce((F.col("most") > 0) & (F.length("body") > F.col("most")), F.lit(False))
+    whole = rows.where(~over & (F.length("body") > 0)).dropDuplicates(list(keys)).select(
         *keys, F.lit(0).alias("piece"), F.lit(1).alias("pieces"), F.lit(0).alias("start_char"), F.length("body").alias("end_char"), F.lit(0).alias("overlap"), F.col("body").alias("text")
     )
     names = [*keys, "piece", "pieces", "start_char", "end_char", "overlap", "text"]
@@ -167,7 +182,7 @@ def pieces(blocks: DataFrame, limits: DataFrame, *, keys: tuple[str, ...] = ("bl
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "piece int, pieces int, start_char int, end_char int, overlap int, text string"])
-    return rows.where(over).mapInPandas(run, schema).unionByName(whole)
+    return rows.where(over).dropDuplicates(list(keys)).mapInPandas(run, schema).unionByName(whole)
 
 
 def limits_of(planners: DataFrame) -> DataFrame:

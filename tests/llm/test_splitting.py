@@ -33,7 +33,37 @@ def test_words_whole_where_they_fit():
     assert [b - a for a, b, _ in splitting.split("x" * 95, 40, 0)] == [40, 40, 15]
 
 
-def test_overlap_is_kept_whole():
+def test_overlap_is_of_whole_words():
     text = " ".join(["palavra"] * 200)
     got = splitting.split(text, 100, 20)
-    assert all(before == 20 for _, _, before in got[1:])
+    assert all(before == 16 and text[a : a + 8] == "palavra " for a, _, before in got[1:])
+    assert all(before == 20 for _, _, before in splitting.split("x" * 500, 100, 20)[1:])
+    # A short piece is repeated with what it repeats itself, as far as the overlap goes.
+    text = "# A\n\n" + "um dois tres quatro " * 3 + "\n\n# B\n\n" + "cinco " * 30
+    for (a, b, _), (c, _, before) in zip(got := splitting.split(text, 60, 25), got[1:]):
+        assert a <= c < b and (before >= 25 - 7 or c == a)
+
+
+def test_first_piece_uses_its_room():
+    text = " ".join(f"w{i:02}" for i in range(60))
+    first, second = splitting.split(text, 48, 20)[:2]
+    assert first[1] - first[0] > 48 - 20 and second[1] - second[0] <= 48
+
+
+def test_lists_are_trees_of_any_depth():
+    text = "\n".join(f"- um {i}\n" + "\n".join(f"  - dois {i}.{j}\n" + "\n".join(f"    - tres {i}.{j}.{k}" for k in range(2)) for j in range(2)) for i in range(3))
+
+    def depth(node):
+        return 1 + max((depth(c) for c in node.children), default=0)
+
+    node = splitting.Node(0, len(text))
+    splitting._lines(text, node)
+    assert len(node.children) == 3
+    for one in node.children:
+        assert text[one.start :].startswith("- um") and len(one.children) == 2  # its own line, and the list below it
+        two = one.children[1].children
+        assert len(two) == 2 and all(text[x.start :].lstrip().startswith("- dois") for x in two)
+        for x in two:
+            three = x.children[1].children
+            assert len(three) == 2 and all(text[y.start :].lstrip().startswith("- tres") for y in three)
+    assert "".join(text[a:b] for a, b, _ in splitting.split(text, 70, 0)) == text and all(text[a:].startswith("- um") for a, _, _ in splitting.split(text, 110, 0))
