@@ -380,18 +380,54 @@ def asm03_overlap_trim(spark: SparkSession, d: str) -> DataFrame:
     return both.select("segment_id", n.cast("int").alias("repeated"))
 
 
-@query()
+FOLDED_SQL = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+(?:[’''\\-][\\p{{L}}\\p{{N}}_]+)*'), lambda w: replace(lower(strip_accents(w)), 'ß', 'ss'))"
+
+
+@query(f"""
+WITH RECURSIVE {SPEECH_SQL}, {CHUNK_SQL},
+w AS (SELECT segment_id, words FROM segments GROUP BY ALL),
+a AS (SELECT s.job_id, s.chunk_index, s.seg_index, s.segment_id, s.speaker, s.text, overlap_ms, chunk_s, chunk_s + least(greatest(s - chunk_s, 0), chunk_e - chunk_s) AS s, chunk_s + least(greatest(e - chunk_s, 0), chunk_e - chunk_s) AS e, w.words
+  FROM speech s JOIN c USING (job_id, chunk_index) JOIN w USING (segment_id)),
+b AS (SELECT *, list_filter(list_transform(list_filter(words, lambda x: x.start_sec IS NOT NULL AND x.end_sec IS NOT NULL), lambda x: least(greatest(greatest(CAST(round(x.end_sec * 1000) AS BIGINT), 0), least(greatest(greatest(CAST(round(x.start_sec * 1000) AS BIGINT), 0), s), e)), e)
+   * CASE WHEN least(greatest(greatest(CAST(round(x.end_sec * 1000) AS BIGINT), 0), least(greatest(greatest(CAST(round(x.start_sec * 1000) AS BIGINT), 0), s), e)), e) > least(greatest(greatest(CAST(round(x.start_sec * 1000) AS BIGINT), 0), s), e) THEN 1 ELSE NULL END), lambda x: x IS NOT NULL) AS word_ends FROM a WHERE e > s),
+n AS (SELECT *, {FOLDED_SQL.format('text')} AS own, row_number() OVER (PARTITION BY job_id ORDER BY chunk_index, seg_index, segment_id) AS k FROM b),
+f AS (
+  SELECT job_id, CAST(0 AS BIGINT) AS k, '' AS said, CAST(NULL AS INTEGER) AS chunk_index, CAST(NULL AS INTEGER) AS seg_index, CAST(NULL AS BIGINT) AS segment_id, CAST(NULL AS DOUBLE) AS start_ms, CAST(NULL AS DOUBLE) AS end_ms, CAST(NULL AS VARCHAR) AS speaker, CAST(NULL AS VARCHAR) AS text, 0 AS removed, false AS kept FROM n GROUP BY job_id
+  UNION ALL
+  SELECT job_id, k, CASE WHEN kept THEN right(trim(said || ' ' || rest), 2000) ELSE said END, chunk_index, seg_index, segment_id, start_ms, e, speaker, rest, removed, kept FROM (
+    SELECT *, removed = 0 OR (rest <> '' AND e > start_ms) AS kept FROM (
+      SELECT *, CASE WHEN removed = 0 THEN CAST(s AS DOUBLE) WHEN removed < len(word_ends) THEN greatest(CAST(s AS DOUBLE), CAST(word_ends[removed] AS DOUBLE)) ELSE s + (e - s) * least(CAST(1 AS DOUBLE), CAST(removed AS DOUBLE) / greatest(1, len(own))) END AS start_ms,
+        CASE WHEN removed = 0 THEN text WHEN removed >= len(own) THEN '' ELSE regexp_replace(regexp_replace(text, '^(?:[^\p{{L}}\p{{N}}_]*[\p{{L}}\p{{N}}_]+(?:[’''\-][\p{{L}}\p{{N}}_]+)*){{' || removed || '}}', ''), '^[ \t\r\n,.;:!?—–-]+', '') END AS rest FROM (
+        SELECT *, CASE WHEN m < 2 AND m <> len(own) THEN 0 ELSE m END AS removed FROM (
+          SELECT n.*, f.said, CASE WHEN f.said <> '' AND n.overlap_ms > 0 AND n.s <= n.chunk_s + n.overlap_ms + 1000
+            THEN coalesce(list_max(list_filter(range(1, least(len(own), 80) + 1), lambda i: list_slice(list_slice({FOLDED_SQL.format('f.said')}, -80, -1), -i, -1) = list_slice(own, 1, i))), 0) ELSE 0 END AS m
+          FROM f JOIN n ON n.job_id = f.job_id AND n.k = f.k + 1))))
+)
+SELECT job_id, chunk_index, seg_index, segment_id, start_ms, end_ms, speaker, text, CAST(removed AS INT) AS removed FROM f WHERE kept
+""")
 def asm05_assemble(spark: SparkSession, d: str) -> DataFrame:
     """Every job's chunks on one time line, repeated starts trimmed in the overlaps."""
     rows = chunks.clipped(_chunked(spark, d))
-    ends = once(table(spark, d, "segments").select("segment_id", "words"), "segment_id").select("segment_id", F.transform("words", lambda w: w["end_sec"]).alias("word_ends"))
-    base = rows.join(ends, "segment_id", "left").join(assembly.context_before(rows), ["job_id", "chunk_index"], "left")
-    seconds = lambda c: (c / 1000.0)
-    ready = base.select(
-        "job_id", "chunk_index", "seg_index", seconds(F.col("clip_s") + F.col("chunk_s")).alias("start_sec"), seconds(F.col("clip_e") + F.col("chunk_s")).alias("end_sec"),
-        "text", "speaker", "word_ends", seconds(F.col("chunk_s")).alias("chunk_start"), seconds(F.col("overlap_ms")).alias("overlap_before"), "before",
-    )
-    return assembly.assemble(ready)
+    words = once(table(spark, d, "segments").select("segment_id", "words"), "segment_id")
+    ends = F.transform(chunks.clipped_words(F.col("words"), F.col("chunk_s"), F.col("clip_s"), F.col("clip_e")), lambda w: w["clip_e"] + F.col("chunk_s"))
+    base = rows.join(words, "segment_id", "left")
+    return assembly.assemble(base.select(
+        "job_id", "chunk_index", "seg_index", "segment_id", (F.col("clip_s") + F.col("chunk_s")).alias("s"), (F.col("clip_e") + F.col("chunk_s")).alias("e"), "speaker", "text", ends.alias("word_ends"), "chunk_s", "overlap_ms",
+    ))
+
+
+@query(f"""
+WITH {SPEECH_SQL}, {CHUNK_SQL}, t AS (SELECT job_id, min(language) AS language FROM transcripts WHERE language <> '' GROUP BY job_id),
+k AS (SELECT job_id, chunk_index, max(chunk_e) AS chunk_e FROM c GROUP BY ALL), g AS (SELECT DISTINCT s.job_id, s.chunk_index, 1 AS there FROM speech s JOIN c USING (job_id, chunk_index) WHERE least(greatest(e - chunk_s, 0), chunk_e - chunk_s) > least(greatest(s - chunk_s, 0), chunk_e - chunk_s))
+SELECT job_id, count(*) AS n_chunks, min(chunk_index) = 0 AND max(chunk_index) = count(*) - 1 AS contiguous, count(*) - count(there) AS missing, any_value(language) AS language, max(chunk_e) AS duration_ms
+FROM k LEFT JOIN g USING (job_id, chunk_index) LEFT JOIN t USING (job_id) GROUP BY job_id
+""")
+def asm05_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Completeness, language and duration of every assembled transcript."""
+    c = table(spark, d, "chunks").select("job_id", "chunk_index", F.round(F.col("end_sec") * 1000).cast("bigint").alias("chunk_e")).groupBy("job_id", "chunk_index").agg(F.max("chunk_e").alias("chunk_e"))
+    # The tables name a language a job, not a chunk: it stands for that of the first chunk.
+    named = table(spark, d, "transcripts").where("language <> ''").groupBy("job_id").agg(F.min("language").alias("language")).withColumn("chunk_index", F.lit(0))
+    return assembly.transcripts(c, chunks.clipped(_chunked(spark, d)), named).drop("n_segments")
 
 
 KEYS_SQL = "list_transform(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', '', 'g'))"

@@ -130,19 +130,58 @@ def test_pack_and_overlap(spark):
 
 
 def test_repeated_starts():
-    assert assembly.trim_repeated("Terminamos em SÃO TOMÉ", "são tomé e seguimos adiante") == ("e seguimos adiante", 2)
-    assert assembly.trim_repeated("a b", "b c") == ("b c", 0) and assembly.trim_repeated("a b", "b") == ("", 1)
+    assert assembly.unrepeated("Terminamos em SÃO TOMÉ", "são tomé e seguimos adiante") == ("e seguimos adiante", 2, 5)
+    assert assembly.unrepeated("a b", "b c") == ("b c", 0, 2) and assembly.unrepeated("a b", "b") == ("", 1, 1) and assembly.unrepeated("", " x ") == ("x", 0, 1)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=9), st.lists(st.sampled_from("ab"), max_size=9))
+def test_border_against_brute_force(left, right):
+    assert assembly.border(left, right) == max((n for n in range(min(len(left), len(right)) + 1) if n == 0 or left[-n:] == right[:n]), default=0)
+
+
+ASSEMBLY = "job_id string, chunk_index int, seg_index int, segment_id bigint, s bigint, e bigint, text string, speaker string, word_ends array<bigint>, chunk_s bigint, overlap_ms bigint"
 
 
 def test_assembly(spark):
     rows = [
-        ("j", 0, 0, 50.0, 60.0, "fim em comum", None, None, 0.0, 0.0, None),
-        ("j", 1, 0, 58.0, 62.0, "fim em comum e continua", None, None, 58.0, 2.0, "fim em comum"),
-        ("j", 1, 1, 62.0, 70.0, "novo trecho", None, None, 58.0, 2.0, "fim em comum"),
+        ("j", 0, 0, 1, 50_000, 60_000, "fim em comum", None, None, 0, 0),
+        ("j", 1, 0, 2, 58_000, 62_000, "fim em comum e continua", None, None, 58_000, 2_000),
+        ("j", 1, 1, 3, 62_000, 70_000, "novo trecho", None, None, 58_000, 2_000),
+        # A short chunk, and one without text in between: the context reaches back over both.
+        ("j", 2, 0, 4, 70_000, 71_000, "sim", None, None, 70_000, 0),
+        ("j", 4, 0, 5, 80_000, 84_000, "novo trecho sim e mais", None, [80_500, 81_000, 82_000, 83_000, 84_000], 80_000, 2_000),
+        ("j", 4, 1, 6, 81_000, 82_000, "e mais", None, None, 80_000, 2_000),
     ]
-    df = spark.createDataFrame(rows, "job_id string, chunk_index int, seg_index int, start_sec double, end_sec double, text string, speaker string, word_ends array<double>, chunk_start double, overlap_before double, before string")
-    got = sorted(assembly.assemble(df).collect(), key=lambda r: r["start_sec"])
-    assert " ".join(r["text"] for r in got) == "fim em comum e continua novo trecho" and got[1]["start_sec"] > 58 and got[2]["start_sec"] == 62
+    got = assembly.assemble(spark.createDataFrame(rows, ASSEMBLY)).orderBy("segment_id").collect()
+    assert [(r["segment_id"], r["text"], r["removed"]) for r in got] == [(1, "fim em comum", 0), (2, "e continua", 3), (3, "novo trecho", 0), (4, "sim", 0), (5, "e mais", 3)]
+    assert got[1]["start_ms"] == 58_000 + 4_000 * 3 / 5 and got[4]["start_ms"] == 82_000
+
+
+def test_assembly_against_one_pass(spark):
+    import random
+
+    rng = random.Random(12)
+    rows, n = [], 0
+    for job in ("a", "b"):
+        for c in range(60):
+            words = [rng.choice(["rio", "mapa", "ponte", "casa", "chuva"]) for _ in range(rng.choice([2, 5, 30, 500]))]
+            for k in range(3):
+                part = words[k * len(words) // 3 : (k + 1) * len(words) // 3] or ["ah"]
+                rows.append((job, c, k, n := n + 1, c * 1_000 + k * 900, c * 1_000 + k * 900 + 800, " ".join(part), None, None, c * 1_000, rng.choice([0, 100])))
+    rows = [r[:-1] + (rows[[q[:2] for q in rows].index(r[:2])][-1],) for r in rows]
+    want = []
+    for job in ("a", "b"):
+        said = ""
+        for r in sorted(r for r in rows if r[0] == job):
+            text, removed = r[6], 0
+            if r[10] > 0 and r[4] <= r[9] + r[10] + 1_000 and said:
+                text, removed, _ = assembly.unrepeated(said[-2_000:], r[6])
+            if text:
+                want.append((r[3], text, removed))
+                said = f"{said} {text}".strip()
+    got = assembly.assemble(spark.createDataFrame(rows, ASSEMBLY)).collect()
+    assert sorted((r["segment_id"], r["text"], r["removed"]) for r in got) == sorted(want)
 
 
 def test_rolling_captions(spark):
