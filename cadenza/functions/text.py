@@ -11,8 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Entities that timed text uses; the full table needs :func:`unescape`.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 #: White space at which words and texts are cut.
 SPACE = r"[\s\x1c-\x1f\x85\xA0]"
 
@@ -93,10 +91,8 @@ def cue_speaker(raw: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """The entities of timed text, '&amp;' last."""
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character entities resolved; only text with an ampersand leaves the JVM."""
+    return F.coalesce(unescape(F.when(text.contains("&"), text)), text)
 
 
 def cue_text(raw: Column) -> Column:

@@ -50,7 +50,7 @@ def plan(duration: float, silences: list[tuple[float, float]], *, target: float
     middles = [(s + e) / 2 for s, e in silences]
     out: list[tuple[int, float, float, float, str]] = []
     start, before = 0.0, 0.0
-    while duration - start > target:
+    while duration - start > target + TOLERANCE:
         ideal = start + target
         if duration - ideal < least:
             break

@@ -49,9 +49,24 @@ def markdown(rows: DataFrame, keys: list[str], bucket: str, order: list[str]) ->
     return lines.select(*keys, "line", F.rtrim(F.concat(F.lit("- `"), T.timestamp(_seconds("s"), millis=False), F.lit("`"), who, F.lit(" "), F.col("text"))).alias("text"))
 
 
-def free_names(wanted: DataFrame, *, stem: str, order: str) -> DataFrame:
-    """``wanted`` with ``name``: the first free of 'stem', 'stem (2)', 'stem (3)' .. in the given order."""
+def free_names(wanted: DataFrame, *, stem: str, order: str, existing: DataFrame | None = None) -> DataFrame:
+    """``wanted`` with ``name``: the first free of 'stem', 'stem (2)', 'stem (3)' .. in the given order.
+
+    Not free are the names in ``existing`` (column name) and, but for its own first row, every stem that
+    is wanted, so that no name is given twice. A NULL stem has no name.
+    """
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy(stem).orderBy(order))
-    return wanted.withColumn("name", F.when(n == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit(" ("), n.cast("string"), F.lit(")"))))
+    stems = wanted.where(F.col(stem).isNotNull()).select(F.col(stem).alias("name")).distinct()
+    taken = stems.select("name", F.lit(False).alias("there"))
+    if existing is not None:
+        taken = taken.unionByName(existing.select("name", F.lit(True).alias("there"))).groupBy("name").agg(F.max("there").alias("there"))
+    form = r"(?s)^(.*) \(([1-9]\d{0,8})\)$"
+    suffixed = taken.where(F.col("name").rlike(form)).select(F.regexp_extract("name", form, 1).alias("_stem"), F.regexp_extract("name", form, 2).cast("int").alias("k")).where("k >= 2")
+    blocked = suffixed.groupBy("_stem").agg(F.sort_array(F.collect_set("k")).alias("_blocked"))
+    gone = taken.where("there").select(F.col("name").alias("_stem"), F.lit(1).alias("_gone"))
+    info = stems.withColumnRenamed("name", "_stem").join(blocked, "_stem", "left").join(gone, "_stem", "left")
+    n = F.row_number().over(Window.partitionBy(stem).orderBy(order)) + F.coalesce("_gone", F.lit(0))
+    number = F.aggregate(F.coalesce("_blocked", F.array().cast("array<int>")), F.col("_n"), lambda k, b: F.when(b <= k, k + 1).otherwise(k))
+    name = F.when(F.col("_n") == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit(" ("), number.cast("string"), F.lit(")")))
+    return wanted.join(info, F.col(stem) == F.col("_stem"), "left").withColumn("_n", n).withColumn("name", name).drop("_n", "_stem", "_blocked", "_gone")

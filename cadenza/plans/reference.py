@@ -36,21 +36,41 @@ def query(sql: str | None = None):
 # Intervals and chunks ------------------------------------------------------------------------
 
 
-@query("""
-WITH x AS (SELECT media_id, greatest(CAST(round(start_sec * 1000) AS BIGINT), 0) AS s, greatest(CAST(round(end_sec * 1000) AS BIGINT), 0) AS e FROM silences
+MERGED_SQL = f"""
+{JOBS_SQL}, m AS (SELECT media_id, CAST(round(max(duration) * 1000) AS BIGINT) AS most FROM latest WHERE duration > 0 GROUP BY media_id),
+x AS (SELECT media_id, least(greatest(CAST(round(start_sec * 1000) AS BIGINT), 0), coalesce(most, 9e15)) AS s, least(greatest(CAST(round(end_sec * 1000) AS BIGINT), 0), coalesce(most, 9e15)) AS e FROM silences LEFT JOIN m USING (media_id)
   WHERE start_sec IS NOT NULL AND end_sec IS NOT NULL AND media_id IS NOT NULL),
 y AS (SELECT *, max(e) OVER (PARTITION BY media_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM x WHERE e > s),
-z AS (SELECT *, sum(CASE WHEN seen IS NULL OR s > seen THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM y)
-SELECT media_id, min(s) AS start_ms, max(e) AS end_ms, max(e) - min(s) AS length_ms, min(s) + max(e) AS twice_midpoint FROM z GROUP BY media_id, island
-""")
+z AS (SELECT *, sum(CASE WHEN seen IS NULL OR s > seen THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM y),
+merged AS (SELECT media_id, CAST(min(s) AS BIGINT) AS start_ms, CAST(max(e) AS BIGINT) AS end_ms FROM z GROUP BY media_id, island)
+"""
+
+
+@query(f"WITH {MERGED_SQL} SELECT *, end_ms - start_ms AS length_ms, start_ms + end_ms AS twice_midpoint FROM merged")
 def ivl01_merge_silences(spark: SparkSession, d: str) -> DataFrame:
-    """Merged silences of each medium with length and midpoint."""
-    t = table(spark, d, "silences")
-    p = intervals.merge_periods(intervals.interval_rows(t, [t["media_id"]], t["start_sec"], t["end_sec"]))
+    """Merged silences of each medium, within its duration where that is known, with length and midpoint."""
+    most = views.jobs(spark, d).where("duration > 0").groupBy("media_id").agg(F.max("duration").alias("most"))
+    t = table(spark, d, "silences").select("media_id", "start_sec", "end_sec").join(most, "media_id", "left")
+    inside = lambda c: F.least(c, F.coalesce("most", c))
+    timed = t.where("start_sec IS NOT NULL AND end_sec IS NOT NULL")
+    p = intervals.merge_periods(intervals.interval_rows(timed, [F.col("media_id")], inside(F.col("start_sec")), inside(F.col("end_sec"))))
     return p.select(F.col("e0").alias("media_id"), "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("length_ms"), (F.col("end_ms") + F.col("start_ms")).alias("twice_midpoint"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {MERGED_SQL},
+p AS (SELECT media_id, duration, target_duration AS target, search_window AS win, overlap, min_duration AS least_ FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY duration DESC, planner_id DESC) AS r FROM latest WHERE duration > 0) JOIN planners USING (planner_id) WHERE r = 1),
+q AS (SELECT media_id, list(struct_pack(m := (start_ms / 1000.0 + end_ms / 1000.0) / 2, a := start_ms / 1000.0, z := end_ms / 1000.0)) AS silences FROM merged GROUP BY media_id),
+f AS (
+  SELECT media_id, -1 AS chunk_index, CAST(0 AS DOUBLE) AS start_sec, CAST(0 AS DOUBLE) AS end_sec, CAST(0 AS DOUBLE) AS overlap_before, '' AS boundary, CAST(0 AS DOUBLE) AS here, CAST(0 AS DOUBLE) AS carry FROM p
+  UNION ALL
+  SELECT media_id, chunk_index + 1, here, CASE WHEN last THEN duration WHEN hit IS NOT NULL THEN hit.m ELSE here + target END, carry, CASE WHEN last THEN 'end' WHEN hit IS NOT NULL THEN 'silence' ELSE 'hard' END,
+    CASE WHEN hit IS NOT NULL THEN hit.m ELSE here + target - overlap END, CASE WHEN hit IS NOT NULL THEN 0 ELSE here + target - (here + target - overlap) END FROM (
+    SELECT f.media_id, f.chunk_index, f.here, f.carry, p.*, duration - here <= target + 1e-6 OR duration - (here + target) < least_ AS last,
+      list_sort(list_transform(list_filter(silences, lambda x: x.m >= greatest(here + least_, here + target - win) - 1e-6 AND x.m <= least(duration - least_, here + target + win) + 1e-6), lambda x: struct_pack(far := abs(x.m - (here + target)), short := x.a - x.z, a := x.a, m := x.m)))[1] AS hit
+    FROM f JOIN p USING (media_id) LEFT JOIN q USING (media_id) WHERE f.boundary <> 'end'))
+SELECT media_id, chunk_index, start_sec, end_sec, overlap_before, boundary FROM f WHERE chunk_index >= 0
+""")
 def ivl02_chunk_plan(spark: SparkSession, d: str) -> DataFrame:
     """Chunk plan of every job's medium along its merged silences, by its planner's parameters."""
     silent = ivl01_merge_silences(spark, d).groupBy("media_id").agg(
@@ -444,7 +464,31 @@ def cap01_rolling_overlap(spark: SparkSession, d: str) -> DataFrame:
     return captions.without_rolling(cues, ["job_id"], "h", ORDER).select("segment_id", "repeated")
 
 
-@query()
+FRESH_SQL = f"""
+{SPEECH_SQL}, p AS (SELECT *, lag(struct_pack(t := text, z := e, w := speaker)) OVER ({ORDER_SQL}) AS v FROM speech WHERE e > s),
+o AS (SELECT *, {KEYS_SQL.format('text')} AS x, CASE WHEN v IS NOT NULL AND v.w IS NOT DISTINCT FROM speaker AND s <= v.z + 250 THEN {KEYS_SQL.format('v.t')} ELSE [] END AS y FROM p),
+r AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(x), len(y)) + 1), lambda n: list_slice(y, len(y) - n + 1, len(y)) = list_slice(x, 1, n))), 0) AS n FROM o),
+fresh AS (SELECT *, bool_or(n > 0) OVER (PARTITION BY job_id) AS rolling, CASE WHEN n = 0 THEN text ELSE array_to_string(list_slice(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), n + 1, len(x)), ' ') END AS said FROM r)
+"""
+MERGE_SQL = """
+k AS (SELECT job_id, s, e, speaker, {text} AS text, {merges} AS merges, row_number() OVER ({order}) AS k FROM {rows}),
+f AS (
+  SELECT job_id, k, s, e, speaker, text, 1 AS cues, CAST(1 AS BIGINT) AS g FROM k WHERE k = 1
+  UNION ALL
+  SELECT job_id, k, CASE WHEN fits THEN a ELSE s END, CASE WHEN fits THEN greatest(z, e) ELSE e END, speaker, CASE WHEN fits THEN trim(t || ' ' || text) ELSE text END, CASE WHEN fits THEN c + 1 ELSE 1 END, CASE WHEN fits THEN g ELSE g + 1 END FROM (
+    SELECT k.*, f.s AS a, f.e AS z, f.text AS t, f.cues AS c, f.g, k.merges AND k.speaker IS NOT DISTINCT FROM f.speaker AND k.s <= f.e + 1250 AND length(trim(f.text || ' ' || k.text)) <= 180 AS fits FROM f JOIN k ON k.job_id = f.job_id AND k.k = f.k + 1))
+SELECT job_id, s AS start_ms, e AS end_ms, speaker, text, cues FROM (SELECT *, row_number() OVER (PARTITION BY job_id, g ORDER BY k DESC) AS last FROM f) WHERE last = 1
+"""
+
+
+@query("WITH RECURSIVE " + FRESH_SQL + ", " + MERGE_SQL.format(text="said", merges="rolling", order=ORDER_SQL, rows="fresh WHERE said <> ''"))
+def cap02_normalized(spark: SparkSession, d: str) -> DataFrame:
+    """Cues without the words that the one before already showed, merged where a job's cues roll at all."""
+    cues = render.lasting(views.speech(spark, d)).select("job_id", "h", *ORDER, F.col("s").alias("start_ms"), F.col("e").alias("end_ms"), "speaker", "text")
+    return captions.normalized(cues, ["job_id"], "h", ORDER)
+
+
+@query(f"WITH RECURSIVE {SPEECH_SQL}, " + MERGE_SQL.format(text="text", merges="true", order=ORDER_SQL, rows="speech WHERE e > s"))
 def cap03_merge_cues(spark: SparkSession, d: str) -> DataFrame:
     """Short cues merged into phrases of at most 180 characters."""
     cues = render.lasting(views.speech(spark, d)).select("job_id", "h", *ORDER, F.col("s").alias("start_ms"), F.col("e").alias("end_ms"), "speaker", "text")
@@ -530,8 +574,10 @@ def fn15_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {JOBS_SQL}, s AS (SELECT job_id, regexp_replace(source_name, '^(.+)\\.[^.]*$', '\\1') AS stem FROM latest), r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY job_id) AS n FROM s)
-SELECT job_id, stem, CASE WHEN n = 1 THEN stem ELSE stem || ' (' || n || ')' END AS name FROM r
+WITH {JOBS_SQL}, s AS (SELECT job_id, regexp_replace(source_name, '^(.+)\\.[^.]*$', '\\1') AS stem FROM latest),
+r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY job_id) AS n, count(*) OVER (PARTITION BY stem) AS size FROM s), b AS (SELECT DISTINCT stem FROM s),
+free AS (SELECT stem, k, row_number() OVER (PARTITION BY stem ORDER BY k) + 1 AS n FROM (SELECT DISTINCT stem, unnest(range(2, size + (SELECT count(*) FROM b) + 2)) AS k FROM r) c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.stem = c.stem || ' (' || c.k || ')'))
+SELECT job_id, r.stem, CASE WHEN r.n = 1 THEN r.stem ELSE r.stem || ' (' || k || ')' END AS name FROM r LEFT JOIN free USING (stem, n)
 """)
 def snk09_free_name(spark: SparkSession, d: str) -> DataFrame:
     """The first free result name of every job."""

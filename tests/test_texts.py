@@ -31,11 +31,12 @@ def test_timestamps(spark):
 def test_cues(spark):
     files = spark.createDataFrame([("a", VTT), ("b", None), ("c", ""), ("d", "﻿1\r\n00:00:01,000 --> 00:00:02,000\r\nolá\r\n")], "path string, content string")
     got = sorted((r["path"], r["start_ms"], r["end_ms"], r["speaker"], r["text"]) for r in subtitles.cues(files).collect())
-    assert got == [("a", 500, 1750, "Ana", "Ol&aacute; & bem-vindos"), ("a", 2000, 4000, None, "fim agora"), ("d", 1000, 2000, None, "olá")]
+    assert got == [("a", 500, 1750, "Ana", "Olá & bem-vindos"), ("a", 2000, 4000, None, "fim agora"), ("d", 1000, 2000, None, "olá")]
     assert one(spark, lambda c: subtitles.format_of(c, F.lit("WEBVTT\n")), "") == "vtt"
     assert one(spark, lambda c: subtitles.format_of(c, F.lit("1\n")), None) == "srt"
     assert one(spark, lambda c: subtitles.format_of(c, F.lit("1\n")), "ass") is None
-    assert one(spark, T.unescape, "Ol&aacute;") == "Olá"
+    assert one(spark, T.cue_text, "caf&eacute; &#233; &hellip; <i>x</i> &amp;lt;") == "café é … x &lt;" and one(spark, T.cue_text, None) is None
+    assert one(spark, T.cue_speaker, "<v Andr&eacute;>oi") == "André"
 
 
 def test_files_round_trip(spark, tmp_path):
@@ -273,6 +274,14 @@ def test_cues_are_merged_only_in_rolling_files(spark):
     assert got == [("p", 0, 1000, "um", 1), ("p", 1000, 2000, "dois", 1), ("r", 0, 3000, "hoje vamos falar de rios", 3)]
 
 
+def test_free_names(spark):
+    rows = [(1, "a"), (2, "a"), (3, "a (2)"), (4, "a"), (5, "b"), (6, "c"), (7, None), (8, "a (2)")]
+    df = spark.createDataFrame(rows, "id int, stem string")
+    names = lambda *e: {r["id"]: r["name"] for r in render.free_names(df, stem="stem", order="id", existing=spark.createDataFrame([(x,) for x in e], "name string")).collect()}
+    assert names() == {1: "a", 2: "a (3)", 3: "a (2)", 4: "a (4)", 5: "b", 6: "c", 7: None, 8: "a (2) (2)"}
+    assert names("a", "a (3)", "c", "c (2)", "c (4)") == {1: "a (4)", 2: "a (5)", 3: "a (2)", 4: "a (6)", 5: "b", 6: "c (3)", 7: None, 8: "a (2) (2)"}
+
+
 def test_first_language(spark):
     df = spark.createDataFrame([("a", 2, "en"), ("a", 0, None), ("a", 1, ""), ("a", 3, "pt"), ("b", 0, None)], "job_id string, chunk_index int, language string")
     assert {r["job_id"]: r["language"] for r in assembly.first_language(df).collect()} == {"a": "en", "b": None}
