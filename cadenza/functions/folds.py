@@ -69,6 +69,22 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(clean, r"\n{2,}"), lambda p: F.regexp_replace(p, rf"^{SPACE}+|{SPACE}+$", "")), lambda p: p != "")
 
 
+def paragraph_of(lengths: Column, soft: int, hard: int) -> Column:
+    """For each of a row of sentence lengths the paragraph it falls into, from 0.
+
+    A sentence begins another paragraph if the one before has at least ``soft`` characters and would
+    have more than ``hard`` with it; a space stands between sentences.
+    """
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("of"))
+
+    def add(acc: Column, n: Column) -> Column:
+        fresh = (acc["size"] >= soft) & (acc["size"] + 1 + n > hard)
+        k = acc["k"] + fresh.cast("int")
+        return F.struct(F.when(fresh | (acc["size"] == 0), n).otherwise(acc["size"] + 1 + n).alias("size"), k.alias("k"), F.concat(acc["of"], F.array(k)).alias("of"))
+
+    return F.aggregate(lengths, start, add, lambda acc: acc["of"])
+
+
 def overlap(left: Column, right: Column, most: int | None = None) -> Column:
     """Length of the longest end of ``left`` that is a beginning of ``right``, both arrays of keys."""
     a = F.slice(left, F.greatest(F.lit(1), F.size(left) - most + 1), F.lit(most)) if most else left

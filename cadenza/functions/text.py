@@ -85,8 +85,8 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def cue_speaker(raw: Column) -> Column:
-    """Name in the first voice tag; NULL without one."""
-    name = F.regexp_extract(raw, r"(?i)<v(?:\.[^ >]+)*\s+([^>]+)>", 1)
+    """Name in the first voice tag ('<v Name>', classes behind dots); NULL without one."""
+    name = F.regexp_extract(raw, r"<[vV](?:\.[^\s.<>]+)*[ \t\n]+([^<>]+)>", 1)
     return F.nullif(strip(entities(name)), F.lit(""))
 
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.common import cut
 from cadenza.functions import folds
 from cadenza.functions import text as T
 from cadenza.operators import sequence
@@ -17,67 +14,82 @@ from cadenza.operators import sequence
 PAUSE_MS, SOFT, HARD, SHORT = 2_000, 900, 1_600, 300
 #: Version that goes into a block's digest.
 CONTRACT = "1"
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
 def speaker_runs(rows: DataFrame, keys: list[str], bucket: str, order: list[str]) -> DataFrame:
-    """keys, start (ordering key), speaker, segments, text of runs of one speaker (NULL equals NULL)."""
+    """keys, run (ordering key of its first row), part, speaker, segments, text of runs of one speaker (NULL equals NULL).
+
+    A run has a part for every ``bucket`` it goes through, in the order of ``part``, so that no task and
+    no cell holds more than one bucket of it. The first part begins with the speaker's name, if any;
+    a run's text is that of its parts joined by spaces, and a blank line stands between runs.
+    """
+    ordered = [bucket, *order]
     prev = sequence.with_previous(rows, keys, bucket, order, F.struct("speaker"), name="prev")
-    marked = sequence.islands(prev, keys, bucket, order, F.col("prev").isNull() | ~F.col("prev.speaker").eqNullSafe(F.col("speaker")), name="run")
-    return (
-        marked.groupBy(*keys, "run").agg(F.first("speaker").alias("speaker"), F.count("*").alias("segments"), F.sort_array(F.collect_list(F.struct(*order, "text"))).alias("x"))
-        .select(*keys, "run", "speaker", "segments", F.array_join(F.transform("x", lambda s: s["text"]), " ").alias("text"))
-    )
+    marked = sequence.islands(prev, keys, bucket, ordered, F.col("prev").isNull() | ~F.col("prev.speaker").eqNullSafe(F.col("speaker")), name="run")
+    parts = marked.groupBy(*keys, bucket, "run").agg(F.first("speaker").alias("speaker"), F.count("*").alias("segments"), F.sort_array(F.collect_list(F.struct(*order, "text"))).alias("x"))
+    name = F.when((F.col(bucket) == F.col(f"run.{bucket}")) & F.col("speaker").isNotNull(), F.concat("speaker", F.lit(": "))).otherwise("")
+    return parts.select(*keys, "run", F.col(bucket).alias("part"), "speaker", "segments", F.concat(name, F.array_join(F.transform("x", lambda s: s["text"]), " ")).alias("text"))
 
 
-def pack_sentences(groups: list[str]) -> list[str]:
-    """Paragraphs of one speaker's stretches of speech, which pauses keep apart."""
-    out: list[str] = []
-    for group in groups:
-        packed, size = [], 0
-        for sentence in filter(None, (s.strip() for s in _SENTENCE.split(group))):
-            longer = size + (1 if packed else 0) + len(sentence)
-            if packed and size >= SOFT and longer > HARD:
-                out.append(" ".join(packed))
-                packed, longer = [], len(sentence)
-            packed.append(sentence)
-            size = longer
-        if packed:
-            tail = " ".join(packed)
-            if len(tail) < SHORT and out and len(out[-1]) + 1 + len(tail) <= HARD + SHORT:
-                out[-1] += f" {tail}"
-            else:
-                out.append(tail)
-    return out
+def _of_stretch(text: Column) -> Column:
+    """Paragraphs of one stretch of speech; a short last one goes back if there is room."""
 
+    def packed(s: Column) -> Column:
+        return T.let(folds.paragraph_of(F.transform(s, F.length), SOFT, HARD), lambda of: F.transform(
+            F.sequence(F.lit(0), F.element_at(of, -1)), lambda k: F.array_join(F.filter(s, lambda _, i: F.get(of, i) == k), " ")
+        ))
+
+    def settled(p: Column) -> Column:
+        last, before = F.element_at(p, -1), F.try_element_at(p, F.lit(-2))
+        back = (F.size(p) > 1) & (F.length(last) < SHORT) & (F.length(before) + 1 + F.length(last) <= HARD + SHORT)
+        return F.when(back, F.concat(F.slice(p, F.lit(1), F.size(p) - 2), F.array(F.concat_ws(" ", before, last)))).otherwise(p)
+
+    return T.let(T.sentences(text), lambda s: F.when(F.size(s) > 0, T.let(packed(s), settled)).otherwise(F.array().cast("array<string>")))
 
-def natural_paragraphs(rows: DataFrame, keys: list[str], bucket: str, order: list[str]) -> DataFrame:
-    """keys, run, part, speaker, text: paragraphs broken at speaker changes, pauses and lengths.
 
-    ``rows``: segments that last and have text, with s, e, speaker, text. The pause is measured from
-    the end of the row before. A task holds one run of one speaker.
+def _heads(lengths: Column) -> Column:
+    """For a row of stretches (at, n, size) that begins with one that stays: the stretch at whose last paragraph each one ends up, and that paragraph's number.
+
+    ``size`` is the length of a stretch's last paragraph; those behind the first have only one, a short one.
+    """
+    out = "array<struct<at:bigint,head:bigint,k:int>>"
+    first = F.element_at(lengths, 1)
+    start = F.struct(first["size"].alias("size"), first["at"].alias("head"), (first["n"] - 1).alias("k"), F.array(F.struct(first["at"].alias("at"), first["at"].alias("head"), (first["n"] - 1).alias("k"))).cast(out).alias("done"))
+
+    def add(acc: Column, x: Column) -> Column:
+        joins = acc["size"] + 1 + x["size"] <= HARD + SHORT
+        head, k = F.when(joins, acc["head"]).otherwise(x["at"]), F.when(joins, acc["k"]).otherwise(0)
+        return F.struct(F.when(joins, acc["size"] + 1 + x["size"]).otherwise(x["size"]).alias("size"), head.alias("head"), k.alias("k"), F.concat(acc["done"], F.array(F.struct(x["at"].alias("at"), head.alias("head"), k.alias("k")))).cast(out).alias("done"))
+
+    return F.aggregate(F.slice(lengths, F.lit(2), F.size(lengths)), start, add, lambda acc: acc["done"])
+
+
+def natural_paragraphs(rows: DataFrame, keys: list[str], bucket: str, order: list[str]) -> DataFrame:
+    """keys, head, part, speaker, text: paragraphs broken at speaker changes, pauses and lengths.
+
+    ``rows``: segments that last and have text, with s, e, speaker, text. A pause, measured from the
+    end of the row before, and a change of speaker end a stretch; each stretch is packed by sentences.
+    ``head`` is the number, within its keys, of the stretch that a paragraph begins in, ``part`` its
+    number there. A stretch of one short paragraph joins the one before if that is the same speaker's
+    and has room; which one that is depends on lengths alone. So a task holds one stretch of
+    uninterrupted speech, or the lengths of consecutive short ones, never a whole run.
     """
+    ordered = [bucket, *order]
     prev = sequence.with_previous(rows, keys, bucket, order, F.struct("speaker", "e"), name="prev")
     turn = F.col("prev").isNull() | ~F.col("prev.speaker").eqNullSafe(F.col("speaker"))
-    marked = sequence.islands(prev.withColumn("pause", turn | (F.col("s") - F.col("prev.e") >= PAUSE_MS)), keys, bucket, order, turn, name="run")
-    runs = marked.groupBy(*keys, "run").agg(F.first("speaker").alias("speaker"), F.sort_array(F.collect_list(F.struct(*order, "pause", "text"))).alias("x"))
-    kinds = dict(runs.dtypes)
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"run {kinds['run']}", "part int, speaker string, text string"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                groups: list[list[str]] = []
-                for s in r.x:
-                    if s["pause"] or not groups:
-                        groups.append([])
-                    groups[-1].append(s["text"].strip())
-                for k, p in enumerate(pack_sentences([" ".join(g) for g in groups])):
-                    out.append((*[getattr(r, c) for c in keys], r.run, k, r.speaker, p))
-            yield pd.DataFrame(out, columns=[*keys, "run", "part", "speaker", "text"])
-
-    return runs.mapInPandas(run, schema)
+    tagged = prev.withColumn("turn", turn).withColumn("pause", turn | (F.col("s") - F.col("prev.e") >= PAUSE_MS))
+    marked = sequence.islands(tagged, keys, bucket, ordered, F.col("pause"), name="stretch")
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*ordered, F.trim("text").alias("text")))), lambda x: x["text"]), " ")
+    stretches = marked.groupBy(*keys, "stretch").agg(F.first("speaker").alias("speaker"), F.max("turn").alias("turn"), said.alias("text")).withColumn("p", _of_stretch(F.col("text"))).where(F.size("p") > 0)
+    # The first row of a stretch begins it, so its bucket is the stretch's.
+    packed = cut(sequence.numbered(stretches.select(*keys, F.col(f"stretch.{bucket}").alias("b"), "stretch", "speaker", "turn", "p"), keys, "b", ["stretch"], name="at"))
+    stays = F.col("turn") | (F.size("p") > 1) | (F.length(F.element_at("p", -1)) >= SHORT)
+    chain = sequence.islands(packed.select(*keys, "b", "at", F.size("p").alias("n"), F.length(F.element_at("p", -1)).alias("size"), stays.alias("stays")), keys, "b", ["at"], F.col("stays"), name="chain")
+    heads = chain.groupBy(*keys, "chain").agg(F.sort_array(F.collect_list(F.struct("at", "n", "size"))).alias("x")).select(*keys, F.inline(_heads(F.col("x"))))
+    placed = packed.join(heads, [*keys, "at"]).select(*keys, "at", "head", "k", "speaker", F.posexplode("p").alias("i", "text"))
+    part = F.when(F.col("at") == F.col("head"), F.col("i")).otherwise(F.col("k")).alias("part")
+    whole = placed.groupBy(*keys, "head", part).agg(F.first("speaker").alias("speaker"), F.sort_array(F.collect_list(F.struct("at", "text"))).alias("x"))
+    return whole.select(*keys, "head", "part", "speaker", F.array_join(F.transform("x", lambda x: x["text"]), " ").alias("text"))
 
 
 def blocks(text: Column, limit: int = 12_000) -> Column:

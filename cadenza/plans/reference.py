@@ -321,20 +321,36 @@ def rank02_select_top1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {SPEECH_SQL}, p AS (SELECT *, lag(speaker) OVER w AS ps, row_number() OVER w AS n FROM speech WINDOW w AS ({ORDER_SQL})),
-r AS (SELECT *, sum(CASE WHEN n = 1 OR ps IS DISTINCT FROM speaker THEN 1 ELSE 0 END) OVER ({ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS run FROM p)
-SELECT job_id, arg_min(segment_id, n) AS first_id, any_value(speaker) AS speaker, count(*) AS segments, string_agg(text, ' ' ORDER BY n) AS text FROM r GROUP BY job_id, run
+r AS (SELECT *, sum(CASE WHEN n = 1 OR ps IS DISTINCT FROM speaker THEN 1 ELSE 0 END) OVER ({ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS run FROM p),
+x AS (SELECT *, s // 3600000 AS part, min(n) OVER (PARTITION BY job_id, run) = n AS first, first_value(segment_id) OVER (PARTITION BY job_id, run ORDER BY n) AS first_id FROM r)
+SELECT job_id, first_id, part, any_value(speaker) AS speaker, count(*) AS segments, CASE WHEN bool_or(first) THEN coalesce(any_value(speaker) || ': ', '') ELSE '' END || string_agg(text, ' ' ORDER BY n) AS text FROM x GROUP BY job_id, run, first_id, part
 """)
 def par01_speaker_runs(spark: SparkSession, d: str) -> DataFrame:
     """Consecutive segments of one speaker as one text."""
     out = paragraphs.speaker_runs(views.speech(spark, d), ["job_id"], "h", ORDER)
-    return out.select("job_id", F.col("run.segment_id").alias("first_id"), "speaker", "segments", "text")
+    return out.select("job_id", F.col("run.segment_id").alias("first_id"), "part", "speaker", "segments", "text")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {SPEECH_SQL}, p AS (SELECT *, lag(struct_pack(w := speaker, z := e)) OVER ({ORDER_SQL}) AS v FROM speech WHERE e > s),
+g AS (SELECT *, v IS NULL OR v.w IS DISTINCT FROM speaker AS turn, sum(CASE WHEN v IS NULL OR v.w IS DISTINCT FROM speaker OR s - v.z >= 2000 THEN 1 ELSE 0 END) OVER ({ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS st FROM p),
+t AS (SELECT job_id, st, any_value(speaker) AS speaker, bool_or(turn) AS turn, string_agg(text, ' ' ORDER BY s, chunk_index, seg_index, segment_id) AS text FROM g GROUP BY job_id, st),
+c AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS x FROM t),
+u AS (SELECT job_id, speaker, turn, st, i = 1 AS opens, i = len(x) AS closes, x[i] AS said, row_number() OVER (PARTITION BY job_id ORDER BY st, i) AS k FROM c, unnest(range(1, len(x) + 1)) AS r(i)),
+f AS (
+  SELECT job_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS done, '' AS open, CAST(NULL AS VARCHAR) AS last, CAST(NULL AS VARCHAR) AS speaker, CAST([] AS VARCHAR[]) AS gone FROM u GROUP BY job_id
+  UNION ALL
+  SELECT job_id, k, 0, CASE WHEN closes THEN '' ELSE body END, CASE WHEN NOT closes THEN upto WHEN back THEN upto || ' ' || body ELSE body END, speaker, list_concat(shut, CASE WHEN closes AND NOT back AND upto IS NOT NULL THEN [upto] ELSE [] END) FROM (
+    SELECT *, closes AND length(body) < 300 AND upto IS NOT NULL AND length(upto) + 1 + length(body) <= 1900 AS back FROM (
+      SELECT job_id, k, closes, speaker, CASE WHEN full_ OR open = '' THEN said ELSE open || ' ' || said END AS body, CASE WHEN full_ THEN open WHEN fresh THEN NULL ELSE last END AS upto, list_concat(CASE WHEN fresh AND last IS NOT NULL THEN [last] ELSE [] END, CASE WHEN full_ AND last IS NOT NULL THEN [last] ELSE [] END) AS shut FROM (
+        SELECT u.*, f.open, f.last, u.turn AND u.opens AS fresh, length(f.open) >= 900 AND length(f.open) + 1 + length(u.said) > 1600 AS full_ FROM f JOIN u ON u.job_id = f.job_id AND u.k = f.k + 1)))),
+e AS (SELECT job_id, k, gone FROM f UNION ALL SELECT job_id, k + 1, [last] FROM f WHERE last IS NOT NULL AND k = (SELECT max(k) FROM u WHERE u.job_id = f.job_id))
+SELECT job_id, n AS paragraph, text FROM (SELECT job_id, text, row_number() OVER (PARTITION BY job_id ORDER BY k, j) AS n FROM (SELECT job_id, k, unnest(gone) AS text, generate_subscripts(gone, 1) AS j FROM e))
+""")
 def par02_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Readable paragraphs of every job."""
     out = paragraphs.natural_paragraphs(render.lasting(views.speech(spark, d)), ["job_id"], "h", ORDER)
-    return out.select("job_id", F.col("run.segment_id").alias("first_id"), "part", "speaker", "text")
+    return sequence.numbered(out.withColumn("b", F.floor(F.col("head") / 1000)), ["job_id"], "b", ["head", "part"], name="paragraph").select("job_id", "paragraph", "text")
 
 
 @query()

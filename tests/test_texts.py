@@ -217,16 +217,26 @@ def test_runs_and_paragraphs(spark):
     rows = [("j", 0, 0, 0, 1_000, "Ana", "Bom dia."), ("j", 1, 0, 1_100, 2_000, "Ana", "Vamos começar."), ("j", 2, 1, 2_100, 3_000, "Bruno", "Perfeito."), ("j", 3, 1, 5_000, 6_000, "Bruno", "Fim.")]
     df = spark.createDataFrame(rows, "job_id string, i int, h int, s bigint, e bigint, speaker string, text string")
     runs = sorted((r["run"]["i"], r["speaker"], r["text"]) for r in paragraphs.speaker_runs(df, ["job_id"], "h", ["i"]).collect())
-    assert runs == [(0, "Ana", "Bom dia. Vamos começar."), (2, "Bruno", "Perfeito. Fim.")]
-    parts = sorted((r["run"]["i"], r["part"], r["text"]) for r in paragraphs.natural_paragraphs(df, ["job_id"], "h", ["i"]).collect())
-    assert parts == [(0, 0, "Bom dia. Vamos começar."), (2, 0, "Perfeito. Fim.")]  # a short tail goes back
+    assert runs == [(0, "Ana", "Ana: Bom dia. Vamos começar."), (2, "Bruno", "Bruno: Perfeito. Fim.")]
+    parts = sorted((r["head"], r["part"], r["speaker"], r["text"]) for r in paragraphs.natural_paragraphs(df, ["job_id"], "h", ["i"]).collect())
+    assert parts == [(1, 0, "Ana", "Bom dia. Vamos começar."), (2, 0, "Bruno", "Perfeito. Fim.")]  # a short tail goes back
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab. ", min_size=1, max_size=900), max_size=6))
-def test_paragraph_words_survive(groups):
-    packed = paragraphs.pack_sentences(groups)
-    assert " ".join(packed).split() == " ".join(groups).split()
+def test_a_run_over_several_hours_has_parts(spark):
+    df = spark.createDataFrame([("j", i, i // 2, "Ana", f"t{i}") for i in range(5)], "job_id string, i int, h int, speaker string, text string")
+    got = paragraphs.speaker_runs(df, ["job_id"], "h", ["i"]).orderBy("part").collect()
+    assert [(r["part"], r["segments"], r["text"]) for r in got] == [(0, 2, "Ana: t0 t1"), (1, 2, "t2 t3"), (2, 1, "t4")]
+
+
+def test_paragraph_lengths(spark):
+    """A stretch with soft, hard and short lengths just at and beyond their bounds, and short stretches in a chain."""
+    sentence = lambda n: "x" * (n - 1) + "."
+    texts = [" ".join(map(sentence, (899, 701, 300))), sentence(299), sentence(300), sentence(290), sentence(290), *[sentence(200)] * 9]
+    rows = [("j", i, i // 3, i * 10_000, i * 10_000 + 1, None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "job_id string, i int, h int, s bigint, e bigint, speaker string, text string")
+    got = [len(r["text"]) for r in paragraphs.natural_paragraphs(df, ["job_id"], "h", ["i"]).orderBy("head", "part").collect()]
+    # 899 + 701 + 1 = 1 601: the soft length is not reached; then 300 more are too many. The short ones go back while 1 900 allow.
+    assert got == [1_601, 300 + 1 + 299, 300 + 2 * 291 + 5 * 201, 4 * 201 - 1]
 
 
 def test_render(spark):
