@@ -39,7 +39,7 @@ def safe_label(source: Column) -> Column:
 
 
 def safe_id(value: Column) -> Column:
-    """Whether a value may name a folder."""
+    """Whether a value may name a folder (a fixed rule: 1 to 128 letters, digits, dots, lines and dashes, no mark first)."""
     return F.coalesce(value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"), F.lit(False))
 
 
@@ -52,3 +52,14 @@ def count_of(json: Column, *paths: str) -> Column:
 def flag(text: Column) -> Column:
     """False for NULL, blank, 0, false, no and off, else true."""
     return F.coalesce(~F.lower(F.trim(text)).isin("", "0", "false", "no", "off"), F.lit(False))
+
+
+def date_label(moment: Column) -> Column:
+    """A date and time in ISO form as 'dd/MM/yyyy HH:mm' of the session's time zone; anything else as it is."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(moment), "dd/MM/yyyy HH:mm"), moment)
+
+
+def unchanged(source: Column, size: Column, modified: Column, size_now: Column, modified_now: Column) -> Column:
+    """Whether a source may be gone on with: an address, or a file that is there and of the recorded size and time, where both were recorded."""
+    same = size.isNull() | modified.isNull() | ((size == size_now) & (modified == modified_now))
+    return is_url(source) | F.coalesce(size_now.isNotNull() & same, F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -34,6 +35,22 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
+#: Characters that fold to one character at most, or to marks no search term holds.
+_SINGLE = r"\x00-\x7F\x{A0}-\x{BB}\x{BF}-\x{DE}\x{E0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{300}-\x{36F}\x{2010}-\x{2023}\x{2026}\x{2030}-\x{2032}\x{2039}\x{203A}\x{20AC}"
+
+
+def may_hold(text: Column, term: str) -> Column:
+    """Whether folded text may contain an ASCII term: every text that does passes, few others do.
+
+    A character beyond ASCII may stand for any letter, or be an accent behind one; the rest is compared
+    in lower case. Texts with characters that fold to several, and terms with '.' or spaces, pass.
+    """
+    if not term.isascii() or not term.replace("-", "").isalnum():
+        return F.lit(True)
+    letters = [rf"(?:{re.escape(c)}[^\x00-\x7F]*|[^\x00-\x7F]+)" for c in term]
+    return text.rlike("(?i)" + "".join(letters)) | text.rlike(f"[^{_SINGLE}]")
+
+
 @F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Character entities of the whole HTML table. NULL stays NULL."""

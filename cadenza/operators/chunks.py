@@ -97,6 +97,23 @@ def clipped_words(words: Column, chunk_s: Column, clip_s: Column, clip_e: Column
     return F.filter(F.transform(timed, clip), lambda w: w["clip_e"] > w["clip_s"])
 
 
+def shifted_words(words: Column, offset: Column | float) -> Column:
+    """Words (start_sec, end_sec) moved by ``offset`` seconds; NULL if one would begin before 0."""
+    by = offset if isinstance(offset, Column) else F.lit(offset)
+    moved = F.transform(words, lambda w: w.withField("start_sec", w["start_sec"] + by).withField("end_sec", w["end_sec"] + by))
+    return F.when(~F.exists(moved, lambda w: F.coalesce(w["start_sec"] < 0, F.lit(False))), moved)
+
+
+def shifted(rows: DataFrame, offset: Column, *, start: str = "start_sec", end: str = "end_sec", words: str = "words", duration: str | None = None) -> DataFrame:
+    """Segments moved by ``offset`` seconds with their words and, if given, the transcript's duration; rows that would begin before 0 have NULL times."""
+    good = F.col(start) + offset >= 0
+    out = rows.withColumn("_by", offset).withColumn("_good", good)
+    moved = {c: F.when(F.col("_good"), F.col(c) + F.col("_by")) for c in (start, end)} | {words: F.when(F.col("_good"), shifted_words(F.col(words), F.col("_by")))}
+    if duration:
+        moved[duration] = F.coalesce(duration, F.lit(0.0)) + F.col("_by")
+    return out.withColumns(moved).drop("_by", "_good")
+
+
 def clipped(segments: DataFrame) -> DataFrame:
     """Segments within their chunk, on the chunk's own time line and back on the source's.
 
@@ -119,3 +136,22 @@ def contained_words(segments: DataFrame, words: DataFrame, *, keys: list[str]) -
     hit = left.join(right, [*keys, "tb"]).where((F.col("ws") >= F.col("s")) & (F.col("we") <= F.col("e")))
     counts = hit.groupBy("segment_id").agg(F.count("*").alias("n_words"))
     return segments.select("segment_id").join(counts, "segment_id", "left").select("segment_id", F.coalesce("n_words", F.lit(0)).alias("n_words"))
+
+
+#: Slack of containment on either side in seconds.
+CONTAINS = 1e-4
+
+
+def words_of_segments(segments: DataFrame, words: DataFrame, *, keys: list[str]) -> DataFrame:
+    """segment_id, words: of each segment the words of the same ``keys`` that lie within it, in their order; an empty array if none.
+
+    ``segments``: keys, segment_id, start, end; ``words``: keys, position, start, end, text (seconds).
+    Both sides meet in time buckets, so no segment is compared with words far from it.
+    """
+    at = lambda c: F.floor(c * 1000 / BUCKET_MS)
+    left = segments.withColumn("tb", F.explode(F.sequence(at(F.col("start") - CONTAINS), at(F.greatest("start", "end") + CONTAINS))))
+    right = words.select(*keys, F.struct("position", "start", "end", "text").alias("w"), at(F.col("start")).alias("tb"))
+    hit = left.join(right, [*keys, "tb"]).where((F.col("w.start") >= F.col("start") - CONTAINS) & (F.col("w.end") <= F.col("end") + CONTAINS))
+    found = hit.groupBy("segment_id").agg(F.sort_array(F.collect_list("w")).alias("words"))
+    kind = dict(found.dtypes)["words"]
+    return segments.select("segment_id").distinct().join(found, "segment_id", "left").select("segment_id", F.coalesce("words", F.array().cast(kind)).alias("words"))

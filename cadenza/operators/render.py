@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
-from cadenza.operators import sequence
+from cadenza.operators import paragraphs, sequence
+
+# Words of a Markdown transcript, endings of result names, and formats in the order in which one is the main result.
+TITLE, SOURCE, ORIGINAL, IMPROVED = "Transcrição", "Fonte", " — transcrição", " — texto melhorado"
+PREFERRED = ["docx", "md", "txt", "srt", "vtt"]
 
 
 def lasting(rows: DataFrame) -> DataFrame:
@@ -49,6 +55,69 @@ def markdown(rows: DataFrame, keys: list[str], bucket: str, order: list[str]) ->
     return lines.select(*keys, "line", F.rtrim(F.concat(F.lit("- `"), T.timestamp(_seconds("s"), millis=False), F.lit("`"), who, F.lit(" "), F.col("text"))).alias("text"))
 
 
+def markdown_heads(titles: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line 0, text: what stands before the bullets of :func:`markdown`; ``titles`` has title and source, blank ones count as absent."""
+    title = F.coalesce(F.nullif(T.strip(F.col("title")), F.lit("")), F.lit(TITLE))
+    source = F.when(F.col("source") != "", F.concat(F.lit(f"\n\n{SOURCE}: `"), F.col("source"), F.lit("`"))).otherwise("")
+    return titles.select(*keys, F.lit(0).cast("bigint").alias("line"), F.concat(F.lit("# "), title, source, F.lit(f"\n\n## {TITLE}\n")).alias("text"))
+
+
+def untimed_txt(rows: DataFrame, keys: list[str], bucket: str, order: list[str], *, speakers: bool = True) -> DataFrame:
+    """keys, line, text: readable paragraphs, each with its speaker's name; a blank line stands between them."""
+    found = paragraphs.natural_paragraphs(lasting(rows), keys, bucket, order)
+    lines = sequence.numbered(found.withColumn("_b", F.floor(F.col("head") / 1000)), keys, "_b", ["head", "part"], name="line")
+    who = F.coalesce(F.concat("speaker", F.lit(": ")), F.lit("")) if speakers else F.lit("")
+    return lines.select(*keys, "line", F.concat(who, F.col("text")).alias("text"))
+
+
+def plain_text(rows: DataFrame, keys: list[str], bucket: str, order: list[str]) -> DataFrame:
+    """keys, part, text: all texts joined by spaces, a part a bucket; a transcript without rows is empty."""
+    parts = rows.groupBy(*keys, F.col(bucket).alias("part")).agg(F.sort_array(F.collect_list(F.struct(*order, "text"))).alias("x"))
+    return parts.select(*keys, "part", F.array_join("x.text", " ").alias("text"))
+
+
+def improved_text(text: Column) -> Column:
+    """Revised text as a file holds it: line ends as LF, none outside but one at the end; empty if blank; NULL for NULL."""
+    clean = T.strip(F.regexp_replace(text, "\r\n?", "\n"))
+    return F.when(clean != "", F.concat(clean, F.lit("\n"))).otherwise(clean)
+
+
+#: What renders a format: (rows, keys, bucket, order) -> rows of the file in order.
+WRITERS: dict[str, Callable[..., DataFrame]] = {"txt": untimed_txt, "srt": srt, "vtt": vtt, "md": markdown}
+
+
+def exported(rows: DataFrame, keys: list[str], bucket: str, order: list[str], *, path: str = "", format: str | None = None, timestamps: bool = False) -> DataFrame:
+    """Rows of a file in the given format, or else in that of the path's suffix; ValueError if there is none of that name.
+
+    Word files need a package of their own: their paragraphs are those of 'txt'.
+    """
+    name = (format or path.rpartition(".")[2]).lower().lstrip(".")
+    if name not in WRITERS:
+        raise ValueError(f"no such format: {name!r}")
+    return (timed_txt if name == "txt" and timestamps else WRITERS[name])(rows, keys, bucket, order)
+
+
+def manifest(results: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, position, output_group, format, file of every file that a result has.
+
+    ``results``: keys, stem, formats (array), improve. An improved result has a revised text beside
+    each docx and txt, and the names of these tell which is which; srt and vtt are captions.
+    """
+    f = F.col("format")
+    texts = f.isin("docx", "txt") & F.col("improve")
+    name = lambda ending: F.concat(F.col("stem"), ending, F.lit("."), f)
+    own = F.struct(F.when(f.isin("srt", "vtt"), "captions").otherwise("original").alias("output_group"), name(F.when(texts, ORIGINAL).otherwise("")).alias("file"))
+    more = F.struct(F.lit("improved").alias("output_group"), name(F.lit(IMPROVED)).alias("file"))
+    rows = results.select(*keys, "stem", F.coalesce("improve", F.lit(False)).alias("improve"), F.posexplode(F.array_distinct("formats")).alias("position", "format"))
+    return rows.select(*keys, "position", "format", F.explode(F.when(texts, F.array(own, more)).otherwise(F.array(own))).alias("x")).select(*keys, "position", "x.output_group", "format", "x.file")
+
+
+def primary(files: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, file: the main one of a result's files (see :func:`manifest`), a revised text before any other."""
+    order = F.array_position(F.array(*[F.lit(x) for x in PREFERRED]), F.col("format"))
+    return files.where(order > 0).groupBy(*keys).agg(F.min_by("file", F.struct(F.col("output_group") != "improved", order, "position", "file")).alias("file"))
+
+
 def free_names(wanted: DataFrame, *, stem: str, order: str, existing: DataFrame | None = None) -> DataFrame:
     """``wanted`` with ``name``: the first free of 'stem', 'stem (2)', 'stem (3)' .. in the given order.
 

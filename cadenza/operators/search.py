@@ -29,7 +29,10 @@ def search(sections: DataFrame, query: str, *, text: Column, order: str) -> Data
     terms = [fold_plain(t) for t in query.split()]
     if not terms:
         return sections
-    hit = sections.withColumn("_t", T.fold(text))
+    hit = sections
+    for t in terms:  # most rows are turned away without leaving the JVM
+        hit = hit.where(T.may_hold(text, t))
+    hit = hit.withColumn("_t", T.fold(text))
     for t in terms:
         hit = hit.where(F.col("_t").contains(t))
     return hit.orderBy(order).limit(MOST_HITS).drop("_t")
@@ -50,7 +53,7 @@ def sections(documents: DataFrame, *, key: str, markdown: str) -> DataFrame:
     """key, position, title, body of every '## ' section with a body; what stands before the first is none."""
     parts = F.split(F.concat(F.lit("\n"), F.regexp_replace(F.col(markdown), "\r\n?", "\n")), r"\n(?=## )")
     rows = documents.select(key, F.posexplode(parts).alias("position", "raw")).where(F.col("raw").startswith("## "))
-    return rows.select(key, "position", F.trim(F.substring(F.element_at(F.split("raw", "\n"), 1), 4, 10_000_000)).alias("title"), T.strip(F.col("raw")).alias("body"))
+    return rows.select(key, "position", F.trim(F.regexp_extract("raw", r"^## ([^\n]*)", 1)).alias("title"), T.strip(F.col("raw")).alias("body"))
 
 
 def markdown_blocks(documents: DataFrame, *, key: str, markdown: str) -> DataFrame:
@@ -64,3 +67,34 @@ def markdown_blocks(documents: DataFrame, *, key: str, markdown: str) -> DataFra
     bare = F.regexp_replace(F.regexp_replace(raw, r"(?i)^>\s*\[!(?:WARNING|NOTE)\]\s*", ""), r"(?m)^>\s?", "")
     out = rows.where(raw != "").select(key, "position", F.when(warning | note, bare).otherwise(raw).alias("block"), warning.alias("warning"), note.alias("note"))
     return out.withColumn("heading", F.col("block").rlike(r"^#{1,6}\s")).withColumn("link", F.regexp_extract("block", r"\[[^\]]+\]\(([^)]+)\)", 1))
+
+
+def allowed(rows: DataFrame, anchor: str, anchors: list[str]) -> DataFrame:
+    """Rows whose anchor is one of a fixed set."""
+    return rows.where(F.col(anchor).isin(anchors))
+
+
+def section_or_default(sections: DataFrame, wanted: DataFrame, *, key: str, anchor: str = "anchor", default: str) -> DataFrame:
+    """``wanted`` (key, anchor) with title and body of the section of that anchor, or else of the one named ``default``."""
+    table = sections.select(key, F.col(anchor).alias("_anchor"), "title", "body")
+    first = table.where(F.col("_anchor") == default).select(key, F.struct(F.col("_anchor").alias("anchor"), "title", "body").alias("_d"))
+    own = table.select(key, F.col("_anchor").alias(anchor), F.struct(F.col("_anchor").alias("anchor"), "title", "body").alias("_own"))
+    both = wanted.join(own, [key, anchor], "left").join(first, key, "left").withColumn("_x", F.coalesce("_own", "_d"))
+    return both.select(*[c for c in wanted.columns if c != anchor], F.col(anchor).alias("wanted"), F.col("_x.anchor").alias("anchor"), F.col("_x.title").alias("title"), F.col("_x.body").alias("body"))
+
+
+def help_states(documents: DataFrame, *, key: str, markdown: str) -> DataFrame:
+    """key, title, sections, state of every help document.
+
+    ``state`` is 'empty' without text, 'title' unless exactly one line begins with '# ', 'anchor' if two
+    sections with a body have one anchor, 'none' without any such section, else 'ok'.
+    """
+    lines = F.split(F.regexp_replace(F.coalesce(F.col(markdown), F.lit("")), "\r\n?", "\n"), "\n")
+    titles = F.filter(lines, lambda x: x.startswith("# "))
+    docs = documents.select(key, T.strip(F.coalesce(F.col(markdown), F.lit(""))).alias("_t"), titles.alias("_titles"))
+    found = sections(documents, key=key, markdown=markdown).withColumn("_a", T.fold(F.col("title")))
+    sums = found.groupBy(key).agg(F.count("*").alias("sections"), F.countDistinct(T.slug(F.col("_a"))).alias("_anchors"))
+    n = F.coalesce("sections", F.lit(0))
+    state = F.when(F.col("_t") == "", "empty").when(F.size("_titles") != 1, "title").when(F.col("_anchors") < n, "anchor").when(n == 0, "none").otherwise("ok")
+    title = F.when(F.size("_titles") == 1, T.strip(F.regexp_extract(F.element_at("_titles", 1), "^# (.*)$", 1)))
+    return docs.join(sums, key, "left").select(key, title.alias("title"), n.alias("sections"), state.alias("state"))

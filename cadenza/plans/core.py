@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.common import table
 from cadenza.operators import intervals
-from cadenza.plans import reference
+from cadenza.plans import records, reference  # noqa: F401
 
 #: A longer stretch without speech is a break between sessions, not a gap.
 LONGEST_GAP_MS = 1_800_000
@@ -39,5 +39,5 @@ SELECT kind, entity_id, 'period' AS piece, s AS start_ms, e AS end_ms FROM g
 UNION ALL SELECT kind, entity_id, 'gap', before, s FROM g WHERE s - before <= 1800000
 """
 
-QUERIES = {"p1_found": p1_found} | reference.QUERIES
+QUERIES = {"p1_found": p1_found} | reference.QUERIES  # those of ``records`` are registered there too
 SQL = {"p1_found": P1_SQL} | reference.SQL

@@ -145,24 +145,21 @@ def win03_monotone_start(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("segment_id", "start_ms", F.greatest("start_ms", "e").alias("end_ms"))
 
 
-@query(f"""
-WITH {BLOCKS_SQL},
-u AS (SELECT block_id, planner_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10) || chr(13) || chr(9)) <> '') AS sentences FROM blocks),
-w AS (SELECT block_id, planner_id, flatten(list_transform(sentences, lambda s: list_transform(range(0, CAST(ceil(len(list_filter(string_split_regex(s, '\\s+'), lambda y: y <> '')) / 28.0) AS BIGINT)), lambda k: least(28, len(list_filter(string_split_regex(s, '\\s+'), lambda y: y <> '')) - 28 * k)))) AS weights FROM u),
-x AS (SELECT block_id, planner_id, weights, list_sum(weights) AS total, unnest(range(1, len(weights) + 1)) AS k FROM w),
-y AS (SELECT block_id, k, total, list_sum(list_slice(weights, 1, k)) AS upto, weights[k] AS own, CAST(target_duration * 1000 AS BIGINT) AS length FROM x JOIN planners USING (planner_id))
-SELECT block_id, CAST(k - 1 AS INT) AS unit, CAST(own AS INT) AS weight, CAST(length * (upto - own) // total AS BIGINT) AS start_ms, CAST(length * upto // total AS BIGINT) AS end_ms FROM y
-""")
+UNITS_SQL = """
+u AS (SELECT k, length, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT k, length, string_split(regexp_replace(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)) AS x FROM timed)),
+w AS (SELECT k, length, i, list_filter(string_split_regex(s, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}]+'), lambda y: y <> '') AS w FROM u),
+p AS (SELECT k, length, i, j, list_slice(w, 28 * j + 1, 28 * j + 28) AS x FROM w, unnest(range(0, CAST(ceil(len(w) / 28.0) AS BIGINT))) AS r(j)),
+q AS (SELECT *, len(x) AS weight, row_number() OVER (PARTITION BY k ORDER BY i, j) - 1 AS unit, CAST(sum(len(x)) OVER (PARTITION BY k ORDER BY i, j) AS BIGINT) AS upto, CAST(sum(len(x)) OVER (PARTITION BY k) AS BIGINT) AS total FROM p)
+SELECT {k}, CAST(unit AS INT) AS unit, CAST(weight AS INT) AS weight, length * (upto - weight) / total AS start_sec, CASE WHEN upto = total THEN length ELSE length * upto / total END AS end_sec, array_to_string(x, ' ') AS text FROM q
+"""
+
+
+@query(f"WITH {BLOCKS_SQL}, timed AS (SELECT block_id AS k, CAST(target_duration AS DOUBLE) AS length, text FROM blocks JOIN planners USING (planner_id)), {UNITS_SQL.format(k='k AS block_id')}")
 def win04_estimated_times(spark: SparkSession, d: str) -> DataFrame:
     """Times estimated for text without any: units of at most 28 words share the duration by their words."""
-    parts = F.split("text", rf"(?<=[.!?…])\s+|\n+")
-    units = F.flatten(F.transform(F.transform(parts, T.words), lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: (i % 28 == 0) & (i < F.size(w))), lambda i: F.least(F.lit(28), F.size(w) - i))))
-    rows = views.blocks(spark, d).select("block_id", "planner_id", units.alias("w")).where(F.size("w") > 0)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    upto = F.transform("w", lambda x, i: F.struct(i.alias("unit"), x.alias("weight"), total(F.slice("w", F.lit(1), i + 1)).alias("upto")))
-    length = F.round(F.col("target_duration") * 1000).cast("bigint")
-    out = rows.join(F.broadcast(table(spark, d, "planners").select("planner_id", "target_duration")), "planner_id").select("block_id", length.alias("length"), total("w").alias("total"), F.inline(upto))
-    return out.select("block_id", "unit", "weight", F.expr("length * (upto - weight) div total").alias("start_ms"), F.expr("length * upto div total").alias("end_ms"))
+    rows = views.blocks(spark, d).join(table(spark, d, "planners").select("planner_id", "target_duration"), "planner_id")
+    out = media.estimated(rows, key="block_id", text="text", duration="target_duration")
+    return out.select("block_id", "unit", "weight", F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), "text")
 
 
 @query(f"""
@@ -331,22 +328,25 @@ def par01_speaker_runs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("job_id", F.col("run.segment_id").alias("first_id"), "part", "speaker", "segments", "text")
 
 
-@query(f"""
-WITH RECURSIVE {SPEECH_SQL}, p AS (SELECT *, lag(struct_pack(w := speaker, z := e)) OVER ({ORDER_SQL}) AS v FROM speech WHERE e > s),
-g AS (SELECT *, v IS NULL OR v.w IS DISTINCT FROM speaker AS turn, sum(CASE WHEN v IS NULL OR v.w IS DISTINCT FROM speaker OR s - v.z >= 2000 THEN 1 ELSE 0 END) OVER ({ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS st FROM p),
+PARAGRAPHS_SQL = """
+WITH RECURSIVE {speech}, p AS (SELECT *, lag(struct_pack(w := speaker, z := e)) OVER ({order}) AS v FROM speech WHERE e > s),
+g AS (SELECT *, v IS NULL OR v.w IS DISTINCT FROM speaker AS turn, sum(CASE WHEN v IS NULL OR v.w IS DISTINCT FROM speaker OR s - v.z >= 2000 THEN 1 ELSE 0 END) OVER ({order} ROWS UNBOUNDED PRECEDING) AS st FROM p),
 t AS (SELECT job_id, st, any_value(speaker) AS speaker, bool_or(turn) AS turn, string_agg(text, ' ' ORDER BY s, chunk_index, seg_index, segment_id) AS text FROM g GROUP BY job_id, st),
 c AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS x FROM t),
 u AS (SELECT job_id, speaker, turn, st, i = 1 AS opens, i = len(x) AS closes, x[i] AS said, row_number() OVER (PARTITION BY job_id ORDER BY st, i) AS k FROM c, unnest(range(1, len(x) + 1)) AS r(i)),
 f AS (
   SELECT job_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS done, '' AS open, CAST(NULL AS VARCHAR) AS last, CAST(NULL AS VARCHAR) AS speaker, CAST([] AS VARCHAR[]) AS gone FROM u GROUP BY job_id
   UNION ALL
-  SELECT job_id, k, 0, CASE WHEN closes THEN '' ELSE body END, CASE WHEN NOT closes THEN upto WHEN back THEN upto || ' ' || body ELSE body END, speaker, list_concat(shut, CASE WHEN closes AND NOT back AND upto IS NOT NULL THEN [upto] ELSE [] END) FROM (
+  SELECT job_id, k, 0, CASE WHEN closes THEN '' ELSE body END, CASE WHEN NOT closes THEN upto WHEN back THEN upto || ' ' || body ELSE body END, speaker, list_concat(shut, CASE WHEN closes AND NOT back AND upto IS NOT NULL THEN [{own}upto] ELSE [] END) FROM (
     SELECT *, closes AND length(body) < 300 AND upto IS NOT NULL AND length(upto) + 1 + length(body) <= 1900 AS back FROM (
-      SELECT job_id, k, closes, speaker, CASE WHEN full_ OR open = '' THEN said ELSE open || ' ' || said END AS body, CASE WHEN full_ THEN open WHEN fresh THEN NULL ELSE last END AS upto, list_concat(CASE WHEN fresh AND last IS NOT NULL THEN [last] ELSE [] END, CASE WHEN full_ AND last IS NOT NULL THEN [last] ELSE [] END) AS shut FROM (
-        SELECT u.*, f.open, f.last, u.turn AND u.opens AS fresh, length(f.open) >= 900 AND length(f.open) + 1 + length(u.said) > 1600 AS full_ FROM f JOIN u ON u.job_id = f.job_id AND u.k = f.k + 1)))),
-e AS (SELECT job_id, k, gone FROM f UNION ALL SELECT job_id, k + 1, [last] FROM f WHERE last IS NOT NULL AND k = (SELECT max(k) FROM u WHERE u.job_id = f.job_id))
-SELECT job_id, n AS paragraph, text FROM (SELECT job_id, text, row_number() OVER (PARTITION BY job_id ORDER BY k, j) AS n FROM (SELECT job_id, k, unnest(gone) AS text, generate_subscripts(gone, 1) AS j FROM e))
-""")
+      SELECT job_id, k, closes, speaker, CASE WHEN full_ OR open = '' THEN said ELSE open || ' ' || said END AS body, CASE WHEN full_ THEN open WHEN fresh THEN NULL ELSE last END AS upto, list_concat(CASE WHEN fresh AND last IS NOT NULL THEN [{was}last] ELSE [] END, CASE WHEN full_ AND last IS NOT NULL THEN [{own}last] ELSE [] END) AS shut FROM (
+        SELECT u.*, f.open, f.last, f.speaker AS was, u.turn AND u.opens AS fresh, length(f.open) >= 900 AND length(f.open) + 1 + length(u.said) > 1600 AS full_ FROM f JOIN u ON u.job_id = f.job_id AND u.k = f.k + 1)))),
+e AS (SELECT job_id, k, gone FROM f UNION ALL SELECT job_id, k + 1, [{own}last] FROM f WHERE last IS NOT NULL AND k = (SELECT max(k) FROM u WHERE u.job_id = f.job_id))
+SELECT job_id, n AS {n}, text FROM (SELECT job_id, text, row_number() OVER (PARTITION BY job_id ORDER BY k, j) AS n FROM (SELECT job_id, k, unnest(gone) AS text, generate_subscripts(gone, 1) AS j FROM e))
+"""
+
+
+@query(PARAGRAPHS_SQL.format(speech=SPEECH_SQL, order=ORDER_SQL, own="", was="", n="paragraph"))
 def par02_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Readable paragraphs of every job."""
     out = paragraphs.natural_paragraphs(render.lasting(views.speech(spark, d)), ["job_id"], "h", ORDER)
@@ -419,7 +419,7 @@ def asm03_overlap_trim(spark: SparkSession, d: str) -> DataFrame:
 FOLDED_SQL = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+(?:[’''\\-][\\p{{L}}\\p{{N}}_]+)*'), lambda w: replace(lower(strip_accents(w)), 'ß', 'ss'))"
 
 
-@query(f"""
+@query(rf"""
 WITH RECURSIVE {SPEECH_SQL}, {CHUNK_SQL},
 w AS (SELECT segment_id, words FROM segments GROUP BY ALL),
 a AS (SELECT s.job_id, s.chunk_index, s.seg_index, s.segment_id, s.speaker, s.text, overlap_ms, chunk_s, chunk_s + least(greatest(s - chunk_s, 0), chunk_e - chunk_s) AS s, chunk_s + least(greatest(e - chunk_s, 0), chunk_e - chunk_s) AS e, w.words
@@ -704,11 +704,11 @@ def fn16_source_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT response_id, coalesce(input_tokens, 0) AS input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens FROM (SELECT DISTINCT response_id, input_tokens, output_tokens FROM editorial_responses)
-WHERE input_tokens IS NULL OR input_tokens >= 0
+SELECT DISTINCT response_id, CASE WHEN input_tokens >= 0 THEN input_tokens END AS input_tokens, CASE WHEN output_tokens >= 0 THEN output_tokens END AS output_tokens,
+ CASE WHEN input_tokens >= 0 THEN input_tokens END + CASE WHEN output_tokens >= 0 THEN output_tokens END AS total_tokens FROM editorial_responses
 """)
 def fn10_usage_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Token counts read back from usage records under alternative names."""
-    t = table(spark, d, "editorial_responses").where("input_tokens IS NULL OR input_tokens >= 0").select("response_id", F.to_json(F.struct(F.col("input_tokens").alias("prompt_tokens"), F.col("output_tokens").alias("outputTokens"))).alias("u")).distinct()
+    """Token counts read back from usage records under alternative names; missing and negative ones are NULL."""
+    t = table(spark, d, "editorial_responses").select("response_id", F.to_json(F.struct(F.col("input_tokens").alias("prompt_tokens"), F.col("output_tokens").alias("outputTokens"))).alias("u")).distinct()
     i, o = S.count_of(F.col("u"), "$.input_tokens", "$.prompt_tokens"), S.count_of(F.col("u"), "$.output_tokens", "$.outputTokens")
-    return t.select("response_id", F.coalesce(i, F.lit(0)).alias("input_tokens"), o.alias("output_tokens"), (i + o).alias("total_tokens"))
+    return t.select("response_id", i.alias("input_tokens"), o.alias("output_tokens"), (i + o).alias("total_tokens"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import languages
@@ -66,6 +66,91 @@ def first_usable(candidates: DataFrame, *, key: str, priority: str, keep: list[s
     return usable.groupBy(key).agg(F.min_by(F.struct(*keep), F.struct(priority, *keep)).alias("x")).select(key, "x.*")
 
 
+def select_language(available: Column, requested: Column) -> Column:
+    """The tag of an array that fits a request best (exact, else the same base; then by name), NULL if none does; without a request the first.
+
+    'live_chat' is no language.
+    """
+    tags = F.filter(available, lambda t: F.lower(t) != "live_chat")
+    ranked = F.array_min(F.transform(tags, lambda t: F.struct(languages.rank(t, requested).alias("rank"), t.alias("tag"))))
+    return F.when(F.coalesce(requested, F.lit("")) == "", F.get(tags, F.lit(0))).when(ranked["rank"] <= 1, ranked["tag"])
+
+
+CAPTIONS = "title string, language string, original_language string, audio_language string, subtitles map<string,string>, automatic_captions map<string,string>"
+
+
+def caption_choices(rows: DataFrame, *, key: str, json: str, requested: Column, allow_automatic: bool = True) -> DataFrame:
+    """key, priority, automatic, language: the captions to be tried for each address, best first.
+
+    Manual captions come before automatic ones. Without a request the medium's own language is
+    asked for, and if that isn't there either the first one taken. No row if nothing fits.
+    """
+    m = F.from_json(F.col(json), CAPTIONS)
+    given = F.nullif(requested, F.lit(""))
+    own = F.coalesce(*[F.nullif(F.col(f"m.{c}"), F.lit("")) for c in ("language", "original_language", "audio_language")])
+
+    def chosen(kind: str) -> Column:
+        tags = F.coalesce(F.map_keys(f"m.{kind}"), F.array().cast("array<string>"))
+        hinted = F.when(own.isNotNull(), select_language(tags, own))
+        return F.when(F.col("given").isNotNull(), select_language(tags, F.col("given"))).otherwise(F.coalesce(hinted, select_language(tags, F.lit(None).cast("string"))))
+
+    kinds = [("subtitles", False), ("automatic_captions", True)][: 2 if allow_automatic else 1]
+    found = F.array(*[F.struct(F.lit(k).alias("priority"), F.lit(auto).alias("automatic"), chosen(name).alias("language")) for k, (name, auto) in enumerate(kinds)])
+    return rows.select(key, m.alias("m"), given.alias("given")).select(key, F.inline(found)).where("language IS NOT NULL")
+
+
+def candidates(files: DataFrame, streams: DataFrame, *, key: str) -> DataFrame:
+    """key, priority, origin, name, language, rank_key, kind: subtitle files, then text, picture and unknown streams of every medium.
+
+    ``files``: key, file, language, rank_key; ``streams``: key, index, kind, language, rank_key.
+    Those of one kind are to be taken in the order of ``rank_key``.
+    """
+    place = lambda df: F.row_number().over(Window.partitionBy(key).orderBy("rank_key")) - 1
+    a = files.select(key, F.lit(0).alias("priority"), F.lit("sidecar").alias("origin"), F.col("file").alias("name"), "language", place(files).alias("position"), F.lit("text").alias("kind"))
+    order = F.when(F.col("kind") == "text", 1).when(F.col("kind") == "image", 2).otherwise(3)
+    b = streams.select(key, order.alias("priority"), F.lit("stream").alias("origin"), F.col("index").cast("string").alias("name"), "language", place(streams).alias("position"), "kind")
+    return a.unionByName(b)
+
+
+def outcomes(found: DataFrame, texts: DataFrame, *, key: str) -> DataFrame:
+    """key, outcome, origin, name, language: the first candidate of text kind that says something, 'image' if only pictures are left, else 'none'.
+
+    ``found``: the result of :func:`candidates`; ``texts``: key, origin, name, text, NULL where a
+    candidate can't be read.
+    """
+    read = found.join(texts.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(key, "origin", "name", F.lit(True).alias("says")), [key, "origin", "name"], "left")
+    usable = F.col("says") & (F.col("kind") == "text")
+    best = read.groupBy(key).agg(F.min(F.when(usable, F.struct("priority", "position", "origin", "name", "language"))).alias("x"), F.coalesce(F.max(F.col("kind") == "image"), F.lit(False)).alias("image"))
+    return best.select(key, F.when(F.col("x").isNotNull(), "text").when(F.col("image"), "image").otherwise("none").alias("outcome"), "x.origin", "x.name", "x.language")
+
+
+#: Words of an estimated unit, and its least duration in seconds.
+UNIT_WORDS, LEAST_DURATION = 28, 0.001
+
+
+def estimated(rows: DataFrame, *, key: str, text: str, duration: str) -> DataFrame:
+    """key, unit, weight, start, end, text: units of at most 28 words of text without times, which share its duration by their words.
+
+    Sentences and lines end a unit. A text without words has none.
+    """
+    w = Window.partitionBy(key).orderBy("sentence", "piece")
+    parts = rows.select(key, F.greatest(F.coalesce(F.col(duration).cast("double"), F.lit(0.0)), F.lit(LEAST_DURATION)).alias("_d"), F.posexplode(F.split(T.strip(F.col(text)), rf"(?<=[.!?…])\s+|\n+")).alias("sentence", "s"))
+    cut_ = lambda w_: F.transform(F.sequence(F.lit(0), F.floor((F.size(w_) - 1) / UNIT_WORDS).cast("int")), lambda i: F.slice(w_, i * UNIT_WORDS + 1, F.lit(UNIT_WORDS)))
+    units = parts.withColumn("w", T.words(F.col("s"))).where(F.size("w") > 0).select(key, "_d", "sentence", F.posexplode(cut_(F.col("w"))).alias("piece", "u"))
+    sums = units.select(key, "_d", "u", F.size("u").alias("weight"), (F.row_number().over(w) - 1).alias("unit"), F.sum(F.size("u")).over(w).alias("upto"), F.sum(F.size("u")).over(Window.partitionBy(key)).alias("total"))
+    last = F.col("upto") == F.col("total")
+    return sums.select(key, "unit", "weight", (F.col("_d") * (F.col("upto") - F.col("weight")) / F.col("total")).alias("start"), F.when(last, F.col("_d")).otherwise(F.col("_d") * F.col("upto") / F.col("total")).alias("end"), F.array_join("u", " ").alias("text"))
+
+
+def transcribed(rows: DataFrame, *, key: str, json: str, duration: str) -> DataFrame:
+    """key, seg_index, start, end, speaker, text, kind of model responses: their segments ('provider'), or the units of their text ('estimated') where there are none."""
+    r = F.from_json(F.col(json), RESPONSE)
+    bare = rows.where(F.coalesce(F.size(r["segments"]), F.lit(0)) < 1).select(key, F.col(duration).alias("_d"), r["text"].alias("_t")).where(F.trim("_t") != "")
+    timed = responses(rows.where(F.size(r["segments"]) > 0), key=key, json=json, duration=duration).withColumn("kind", F.lit("provider"))
+    made = estimated(bare, key=key, text="_t", duration="_d").select(key, F.col("unit").alias("seg_index"), "start", "end", F.lit(None).cast("string").alias("speaker"), "text", F.lit("estimated").alias("kind"))
+    return timed.unionByName(made)
+
+
 def responses(rows: DataFrame, *, key: str, json: str, duration: str) -> DataFrame:
     """key, seg_index, start, end, speaker, text of model responses with segments.
 
@@ -74,8 +159,6 @@ def responses(rows: DataFrame, *, key: str, json: str, duration: str) -> DataFra
     """
     r = rows.select(key, F.col(duration).alias("_d"), F.posexplode(F.from_json(F.col(json), RESPONSE)["segments"]).alias("seg_index", "s")).where(F.trim(F.coalesce("s.text", F.lit(""))) != "")
     # A response is one chunk's: its window is bounded by the chunk.
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy("seg_index").rowsBetween(Window.unboundedPreceding, 0)
     start = F.greatest(F.lit(0.0), F.coalesce(F.max("s.start").over(w), F.lit(0.0)))
     return r.withColumn("start", start).select(key, "seg_index", "start", F.greatest("start", F.least(F.coalesce("s.end", "start"), "_d")).alias("end"), F.nullif(F.trim("s.speaker"), F.lit("")).alias("speaker"), F.trim("s.text").alias("text"))
