@@ -1,27 +1,34 @@
-"""Test passages in a training corpus: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Test passages in a training corpus: rare n-gram seeds, then Smith-Waterman alignment of words.
+
+The corpus is read once, however many test items there are: a bit map of fixed size, in which every
+item seed has its bit, keeps the seeds of a document that may be an item's, and these meet the items'
+seeds in a join by their hash.
+"""
 
 from __future__ import annotations
 
 import html
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.common import cut
+from cadenza.common import cut, join_spread
 
 #: Words of a seed, and of the shortest passage that counts as leaked.
 SEED, LEAST = 8, 13
-#: Items whose seeds are sent to the executors at once; more items take more passes over the corpus.
-BLOCK = 5_000
-#: Most words of one block's items; a block with more is cut further.
-BLOCK_WORDS = 1_000_000
+#: Bits of the map of item seeds; more items only let more seeds through that the join then drops.
+BITS = 1 << 25
+#: Documents that a rare seed may stand in, at least and as a share of all that hold any item's seed.
+FEW, RARE = 2, 0.001
+#: Words whose hashes a worker keeps.
+KEPT = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _CUES = re.compile(r"^[ \t]*(?:\d+[ \t]*\r?\n[ \t]*)?\d{1,3}:\d{2}(?::\d{2})?[.,]\d{1,3}[ \t]*-->[^\n]*$", re.M)
@@ -47,63 +54,34 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall(_MARKS.sub("", unicodedata.normalize("NFD", text.casefold())))
 
 
+class Hashes(dict):
+    """64-bit hashes of words, computed once a worker."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > KEPT:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        return np.array([self[w] for w in words(text)], np.uint64)
+
+
 _KEYS = np.random.default_rng(7).integers(1, 2**63, SEED, dtype=np.uint64) | np.uint64(1)
 
 
-def _hashes(ids: np.ndarray) -> np.ndarray:
+def seeds(hashes: np.ndarray) -> np.ndarray:
     """Hash of the ``SEED`` words from each position on."""
-    span = len(ids) - SEED + 1
+    span = len(hashes) - SEED + 1
     if span <= 0:
         return np.zeros(0, np.uint64)
     h = np.zeros(span, np.uint64)
-    up = (ids + 2).astype(np.uint64)
     with np.errstate(over="ignore"):
         for k in range(SEED):
-            h += up[k : k + span] * _KEYS[k]
+            h += (hashes[k : k + span] ^ (hashes[k : k + span] >> np.uint64(32))) * _KEYS[k]
         return h ^ (h >> np.uint64(31))
 
 
-class Items:
-    """A block of test items: vocabulary, word numbers of each item, and their seeds."""
-
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = [i for i, _ in rows]
-        self.texts = [np.array([self.number.setdefault(w, len(self.number)) for w in words(t)], np.int64) for _, t in rows]
-        places = defaultdict(list)
-        for k, text in enumerate(self.texts):
-            for pos, h in enumerate(_hashes(text).tolist()):
-                places[h].append((k, pos))
-        self.keys = np.array(sorted(places), np.uint64)
-        self.places = [places[int(h)] for h in self.keys]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, seed numbers) of the seeds in a sequence of word numbers."""
-        h = _hashes(ids)
-        at = np.flatnonzero(self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        hit = self.keys[k] == h[at]
-        return at[hit], k[hit]
-
-    def rare(self, frequency: dict[int, int]) -> np.ndarray:
-        """Of each window of ``LEAST`` words of an item the seed in fewest documents.
-
-        Every passage of ``LEAST`` words of an item holds such a seed, so none is lost however often
-        its other seeds occur.
-        """
-        chosen = np.zeros(len(self.keys), bool)
-        for text in self.texts:
-            k = np.searchsorted(self.keys, _hashes(text))
-            for w in range(len(text) - LEAST + 1):
-                window = k[w : w + LEAST - SEED + 1]
-                chosen[min(window, key=lambda x: (frequency.get(int(x), 0), int(x)))] = True
-        return chosen
-
-
 def align(doc: np.ndarray, item: np.ndarray) -> int:
     """Smith-Waterman score of two word sequences."""
     index = np.arange(len(doc) + 1) * -GAP
@@ -144,73 +122,96 @@ def _score(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]]) -> tu
     return best, longest
 
 
-def _block(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
-    """doc_id, item_id, score, run for one block of items."""
-    shared = documents.sparkSession.sparkContext.broadcast(Items(rows))
+def _hashed(rows: DataFrame, key: str) -> DataFrame:
+    """``key``, words (hashes) of texts with ``SEED`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            out = [hashes.of(t).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({key: batch.column(key), "words": pa.array(out, pa.list_(pa.int64())), "seeds": pa.array([seeds(x.view(np.uint64)).view(np.int64) for x in out], pa.list_(pa.int64()))})
+
+    return rows.select(key, "text").mapInArrow(run, f"{key} bigint, words array<bigint>, seeds array<bigint>").where(F.size("words") >= SEED)
+
+
+def _bitmap(item_seeds: DataFrame) -> np.ndarray:
+    """One bit for each seed, packed; at most ``BITS`` / 64 numbers come to the driver."""
+    slot = F.pmod("seed", F.lit(BITS))
+    rows = item_seeds.select(F.floor(slot / 64).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(seed, {BITS}) % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(BITS // 64, np.int64)
+    out[[r["at"] for r in rows]] = [r["bits"] for r in rows]
+    return out.view(np.uint8)
+
 
-    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        get = items.number.get
+def _seeded(documents: DataFrame, bits: np.ndarray) -> DataFrame:
+    """doc_id, words, at, seed: documents with seeds whose bit is set, and where these stand."""
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bits = Hashes(), shared.value
+        gap = np.zeros(SEED, np.uint64)
         for batch in batches:
-            docs = batch.column("doc_id")
-            texts = [np.array([get(w, -1) for w in words(t)], np.int64) for t in batch.column("text").to_pylist()]
-            gap = np.array([-1], np.int64)
-            at, k = items.seeds(np.concatenate([x for t in texts for x in (t, gap)]))
-            start = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+            texts = [hashes.of(t) for t in batch.column("text").to_pylist()]
+            h = seeds(np.concatenate([x for t in texts for x in (t, gap)] or [gap]))
+            slot = h & np.uint64(BITS - 1)
+            at = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            start = np.concatenate([[0], np.cumsum([len(t) + SEED for t in texts])])
             owner = np.searchsorted(start, at, side="right") - 1
-            out = [(d, at[owner == d] - start[d], k[owner == d]) for d in np.unique(owner)]
+            at, owner = (x[at - start[owner] <= np.array([len(t) for t in texts])[owner] - SEED] for x in (at, owner)) if len(at) else (at, owner)
+            docs, first = np.unique(owner, return_index=True)
+            parts = list(zip(docs, np.split(at, first[1:]))) if len(docs) else []
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pa.array([docs[int(d)].as_py() for d, _, _ in out], pa.int64()),
-                    "words": pa.array([texts[d].astype(np.int32) for d, _, _ in out], pa.list_(pa.int32())),
-                    "at": pa.array([a.astype(np.int32) for _, a, _ in out], pa.list_(pa.int32())),
-                    "seed": pa.array([s.astype(np.int32) for _, _, s in out], pa.list_(pa.int32())),
+                    "doc_id": batch.column("doc_id").take(pa.array(docs, pa.int64())),
+                    "words": pa.array([texts[d].view(np.int64) for d, _ in parts], pa.list_(pa.int64())),
+                    "at": pa.array([(a - start[d]).astype(np.int32) for d, a in parts], pa.list_(pa.int32())),
+                    "seed": pa.array([h[a].view(np.int64) for _, a in parts], pa.list_(pa.int64())),
                 }
             )
 
     source = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    hits = cut(source.mapInArrow(seeded, "doc_id bigint, words array<int>, at array<int>, seed array<int>"))
-    counted = hits.select(F.explode(F.array_distinct("seed")).alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).collect()  # a row a seed at most
-    chosen = documents.sparkSession.sparkContext.broadcast(shared.value.rare({r["seed"]: r["n"] for r in counted}))
+    return source.mapInArrow(run, "doc_id bigint, words array<bigint>, at array<int>, seed array<bigint>")
 
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = shared.value
-        for pdf in batches:
-            out = []
-            for doc, ids, at, seed in zip(pdf["doc_id"], pdf["words"], pdf["at"], pdf["seed"]):
-                pairs = defaultdict(list)
-                for a, s in zip(at, seed):
-                    if chosen.value[s]:
-                        for k, pos in items.places[s]:
-                            pairs[k].append((int(a), pos))
-                ids = np.asarray(ids, np.int64)
-                for k, places in pairs.items():
-                    score, run = _score(ids, items.texts[k], places)
-                    out.append((doc, items.ids[k], score / (MATCH * len(items.texts[k])), run))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "run"])
 
-    return hits.mapInPandas(aligned, "doc_id bigint, item_id bigint, score double, run int")
+def rare_seeds(item_seeds: DataFrame, frequency: DataFrame, most: float) -> DataFrame:
+    """seed, places (array of item_id, pos): of each window of ``LEAST`` words of an item the seed in fewest documents, of those in any.
+
+    A passage of ``LEAST`` words of an item can stand in a document only if all its seeds do; then the
+    rarest is taken however often it occurs, so none is lost. Windows with a seed that no document
+    has can only stand in edited copies; of these a seed is taken if at most ``most`` documents hold
+    it. ``frequency``: seed, n.
+    """
+    counted = item_seeds.join(frequency, "seed", "left").select("item_id", "pos", "seed", "n")
+    inside = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, LEAST - SEED)
+    windows = counted.select(F.min(F.when(F.col("n").isNotNull(), F.struct("n", "seed", "pos"))).over(inside).alias("x"), "item_id", F.count("*").over(inside).alias("size"), F.count("n").over(inside).alias("there"))
+    full = windows.where((F.col("size") == LEAST - SEED + 1) & ((F.col("there") == F.col("size")) | (F.col("x.n") <= most)))
+    return full.select("item_id", "x.seed", "x.pos").distinct().groupBy("seed").agg(F.collect_list(F.struct("item_id", "pos")).alias("places"))
 
 
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score, run of every document and test item that share a rare seed.
 
     ``score`` is the Smith-Waterman score as a part of the item's own; ``run`` the longest exact run
-    of words. Items come in blocks of bounded size, each against all documents; items and documents
-    with NULL or very short text share nothing. An item's text must have ``SEED`` words.
+    of words. Items and documents with NULL text or too few words share nothing.
     """
-    rows = items.where(F.col("text").isNotNull()).select("item_id", "text")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in rows.orderBy("item_id").toLocalIterator():
-        n = len(r["text"].split())
-        if blocks[-1] and (len(blocks[-1]) >= BLOCK or size + n > BLOCK_WORDS):
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        size += n
-    out = None
-    for block in blocks:
-        part = _block(documents, block)
-        out = part if out is None else out.unionAll(part)
-    return out
+    hashed = cut(_hashed(items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text"), "item_id"))
+    item_seeds = hashed.select("item_id", F.posexplode("seeds").alias("pos", "seed"))
+    hits = cut(_seeded(documents, _bitmap(item_seeds)))
+    spread = hits.select("doc_id", F.inline(F.arrays_zip("at", "seed")))
+    known = spread.join(item_seeds.select("seed").distinct(), "seed", "left_semi")
+    frequency = cut(known.groupBy("seed", "doc_id").agg(F.count("*").alias("m")).groupBy("seed").agg(F.count("*").alias("n"), F.sum("m").alias("m")))
+    chosen = cut(rare_seeds(item_seeds, frequency, max(FEW, RARE * hits.count())))
+    met = join_spread(spread.join(chosen.select("seed"), "seed", "left_semi"), chosen, ["seed"], frequency.join(chosen.select("seed"), "seed", "left_semi").select("seed", "m"), n="m")
+    pairs = cut(met.select("doc_id", F.inline("places"), "at").groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("at", "pos")).alias("places")))
+    with_doc = pairs.join(hits.select("doc_id", F.col("words").alias("doc")), "doc_id")
+    both = join_spread(with_doc, hashed.select("item_id", F.col("words").alias("item")), ["item_id"], pairs.groupBy("item_id").agg(F.count("*").alias("n")))
+
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, item, places, d, x in zip(pdf["doc_id"], pdf["item_id"], pdf["places"], pdf["doc"], pdf["item"]):
+                score, run = _score(np.asarray(d, np.int64), np.asarray(x, np.int64), [(p["at"], p["pos"]) for p in places])
+                out.append((doc, item, score / (MATCH * len(x)), run))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "run"])
+
+    return both.select("doc_id", "item_id", "places", "doc", "item").mapInPandas(aligned, "doc_id bigint, item_id bigint, score double, run int")
