@@ -174,7 +174,7 @@ def val03_manifests(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "segments").groupBy("job_id").agg(F.collect_set("chunk_index").alias("done"))
     done = F.coalesce("done", F.array().cast("array<int>"))
     ok = store.consistent(F.col("chunks"), done, F.create_map().cast("map<int,string>"))
-    return c.join(r, "job_id", "left").select("job_id", ((F.element_at("chunks", 1) == 0) & (F.element_at("chunks", -1) == F.size("chunks") - 1)).alias("contiguous"), ok.alias("within"), (F.size(F.array_except("chunks", done)) == 0).alias("complete"))
+    return c.join(r, "job_id", "left").select("job_id", F.coalesce((F.get("chunks", F.lit(0)) == 0) & (F.try_element_at("chunks", F.lit(-1)) == F.size("chunks") - 1), F.lit(False)).alias("contiguous"), ok.alias("within"), (F.size(F.array_except("chunks", done)) == 0).alias("complete"))
 
 
 @query(f"WITH {JOBS_SQL} SELECT DISTINCT model FROM latest WHERE provider = 'aurora'")

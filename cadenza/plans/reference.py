@@ -353,7 +353,30 @@ def par02_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return sequence.numbered(out.withColumn("b", F.floor(F.col("head") / 1000)), ["job_id"], "b", ["head", "part"], name="paragraph").select("job_id", "paragraph", "text")
 
 
-@query()
+def _packed_sql(units: str, cut: str, most: int, a: str, x: str) -> str:
+    """SQL of greedy packing: units joined by spaces within ``most`` characters, one beyond it cut by itself; parts with chr(1) between them."""
+    open_ = f"string_split({a}, chr(1))[-1]"
+    return (
+        f"list_reduce(list_prepend('', {units}), lambda {a}, {x}: CASE WHEN length({x}) > {most} THEN {a} || CASE WHEN {open_} = '' THEN '' ELSE chr(1) END || {cut} || chr(1)"
+        f" WHEN {open_} = '' THEN {a} || {x} WHEN length({open_}) + 1 + length({x}) <= {most} THEN {a} || ' ' || {x} ELSE {a} || chr(1) || {x} END)"
+    )
+
+
+_SPACE_SQL = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}]"
+_SLICES_SQL = "array_to_string(list_transform(range(0, CAST(ceil(length(w) / 600.0) AS BIGINT)), lambda i: substr(w, i * 600 + 1, 600)), chr(1))"
+_WORDS_SQL = lambda x: _packed_sql(f"list_filter(string_split_regex({x}, '{_SPACE_SQL}+'), lambda v: v <> '')", _SLICES_SQL, 600, "aw", "w")
+_SENTENCES_SQL = f"list_filter(list_transform(string_split(regexp_replace(p, '([.!?…]){_SPACE_SQL}+', '\\1' || chr(2), 'g'), chr(2)), lambda q: regexp_replace(q, '^{_SPACE_SQL}+|{_SPACE_SQL}+$', '', 'g')), lambda q: q <> '')"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n{{2,}}'), lambda p: regexp_replace(p, '^{_SPACE_SQL}+|{_SPACE_SQL}+$', '', 'g')), lambda p: p <> '') AS ps FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, i, ps[i] AS p FROM d, unnest(range(1, len(ps) + 1)) AS r(i)),
+s AS (SELECT doc_id, i, p, CASE WHEN length(p) > 600 THEN {_SENTENCES_SQL} END AS ss FROM p),
+u AS (SELECT doc_id, i, CASE WHEN ss IS NULL THEN p WHEN len(ss) <= 1 THEN {_WORDS_SQL('p')} ELSE {_packed_sql('ss', _WORDS_SQL('x'), 600, 'asn', 'x')} END AS t FROM s),
+l AS (SELECT doc_id, flatten(list(list_filter(string_split(t, chr(1)), lambda y: y <> '') ORDER BY i)) AS units FROM u GROUP BY doc_id),
+b AS (SELECT doc_id, string_split(list_reduce(units, lambda a, y: CASE WHEN length(string_split(a, chr(1))[-1]) + 2 + length(y) <= 600 THEN a || chr(10) || chr(10) || y ELSE a || chr(1) || y END), chr(1)) AS bs FROM l)
+SELECT doc_id, CAST(k - 1 AS INT) AS block_index, left(sha256('1' || chr(0) || CAST(k - 1 AS VARCHAR) || chr(0) || bs[k]), 20) AS block_id, CAST(length(bs[k]) AS INT) AS chars FROM b, unnest(range(1, len(bs) + 1)) AS r(k)
+""")
 def pck01_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of at most 600 characters of every document, with their digest."""
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(paragraphs.blocks(F.col("text"), 600)).alias("block_index", "text"))
