@@ -276,7 +276,8 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
                 for x, y in zip(s, s[1:]):
                     c[x + y] += min(texts, HEAVIEST)
                     seen[x + y] += min(n, HEAVIEST)
-        yield pd.DataFrame({"pair": list(c), "n": list(c.values()), "seen": list(seen.values())})
+        if c:
+            yield pd.DataFrame({"pair": list(c), "n": list(c.values()), "seen": list(seen.values())})
 
     spread = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")  # few bytes, much work
     model = spread.select("token", "n", "texts").mapInPandas(pairs, "pair string, n bigint, seen bigint").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")).collect()  # of some thousand symbols
