@@ -75,14 +75,16 @@ def natural_paragraphs(rows: DataFrame, keys: list[str], bucket: str, order: lis
     uninterrupted speech, or the lengths of consecutive short ones, never a whole run.
     """
     ordered = [bucket, *order]
-    prev = sequence.with_previous(rows, keys, bucket, order, F.struct("speaker", "e"), name="prev")
+    said_rows = rows.where(T.strip(F.col("text")) != "")
+    prev = sequence.with_previous(said_rows, keys, bucket, order, F.struct("speaker", "e"), name="prev")
     turn = F.col("prev").isNull() | ~F.col("prev.speaker").eqNullSafe(F.col("speaker"))
     tagged = prev.withColumn("turn", turn).withColumn("pause", turn | (F.col("s") - F.col("prev.e") >= PAUSE_MS))
     marked = sequence.islands(tagged, keys, bucket, ordered, F.col("pause"), name="stretch")
     said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*ordered, F.trim("text").alias("text")))), lambda x: x["text"]), " ")
-    stretches = marked.groupBy(*keys, "stretch").agg(F.first("speaker").alias("speaker"), F.max("turn").alias("turn"), said.alias("text")).withColumn("p", _of_stretch(F.col("text"))).where(F.size("p") > 0)
+    stretches = marked.groupBy(*keys, "stretch").agg(F.first("speaker").alias("speaker"), F.max("turn").alias("turn"), said.alias("text"))
     # The first row of a stretch begins it, so its bucket is the stretch's.
-    packed = cut(sequence.numbered(stretches.select(*keys, F.col(f"stretch.{bucket}").alias("b"), "stretch", "speaker", "turn", "p"), keys, "b", ["stretch"], name="at"))
+    written = cut(stretches.select(*keys, F.col(f"stretch.{bucket}").alias("b"), "stretch", "speaker", "turn", _of_stretch(F.col("text")).alias("p")))
+    packed = sequence.numbered(written, keys, "b", ["stretch"], name="at")
     stays = F.col("turn") | (F.size("p") > 1) | (F.length(F.element_at("p", -1)) >= SHORT)
     chain = sequence.islands(packed.select(*keys, "b", "at", F.size("p").alias("n"), F.length(F.element_at("p", -1)).alias("size"), stays.alias("stays")), keys, "b", ["at"], F.col("stays"), name="chain")
     heads = chain.groupBy(*keys, "chain").agg(F.sort_array(F.collect_list(F.struct("at", "n", "size"))).alias("x")).select(*keys, F.inline(_heads(F.col("x"))))
