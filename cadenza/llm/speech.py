@@ -95,8 +95,8 @@ def without_hesitations(speech: Column) -> Column:
 
     A sound that is also a word somewhere ('um', 'er', 'eh') goes only before a mark or at the end.
     """
-    t = F.regexp_replace(speech, rf"(?iu)(?<![\p{{L}}\p{{N}}'’])(?:{_HESITATION})(?:\s*(?:\.{{2,}}|…|,)|\s*[.!?]?\s*$)", " ")
-    t = F.regexp_replace(t, r"(?iu)(?<![\p{L}\p{N}'’])(?:h+u+m+|h*m{2,}|hm+|h+ã+|a+h+n+|é{2,}|e{2,}h+m*|e+hm+|u+hm+|u+h|e+u+h+|h+e+u+|ä+h+m*|ö+h+m*)(?![\p{L}\p{N}'’])", " ")
+    t = F.regexp_replace(speech, rf"(?iu)(?=[hHuUaAeEéÉmMäÄöÖ])(?<![\p{{L}}\p{{N}}'’])(?:{_HESITATION})(?:\s*(?:\.{{2,}}|…|,)|\s*[.!?]?\s*$)", " ")
+    t = F.regexp_replace(t, r"(?iu)(?=[hHuUaAeEéÉmMäÄöÖ])(?<![\p{L}\p{N}'’])(?:h+u+m+|h*m{2,}|hm+|h+ã+|a+h+n+|é{2,}|e{2,}h+m*|e+hm+|u+hm+|u+h|e+u+h+|h+e+u+|ä+h+m*|ö+h+m*)(?![\p{L}\p{N}'’])", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[\s,.;…–-]+(?=\p{L})", ""))
 
 

@@ -42,9 +42,10 @@ def spoken(segments: DataFrame, *, keep_text: bool = False) -> DataFrame:
     at = F.col("start_sec")
     return (
         segments.where(F.col("job_id").isNotNull() & at.isNotNull() & ~F.isnan(at) & (F.abs(at) < 9e12) & F.col("text").isNotNull())
-        .select("job_id", F.round(at * 1000).cast("bigint").alias("s"), "chunk_index", "seg_index", "segment_id", body.alias("x"))
-        .where(F.col("x").isNotNull())
-        .select("job_id", F.floor(F.col("s") / BUCKET_MS).alias("b"), "s", "chunk_index", "seg_index", "segment_id", "x.*")
+        # An array of one or none, so that its parts are computed once; a filter behind them would compute them twice.
+        .select("job_id", F.round(at * 1000).cast("bigint").alias("s"), "chunk_index", "seg_index", "segment_id", F.inline(F.array_compact(F.array(body))))
+        .withColumn("b", F.floor(F.col("s") / BUCKET_MS))
+        .select("job_id", "b", "s", "chunk_index", "seg_index", "segment_id", "key", *(["said"] if keep_text else []))
     )
 
 
