@@ -14,6 +14,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,7 @@ class Channel:
         self.letters = [c for c in beyond if c.isalpha() or c in "…“”"]
         self.encoded = [(c, c.encode("utf-8")) for c in beyond]
         self.fitting: dict[tuple, list[str]] = {}
+        self.kept: dict[tuple, np.ndarray] = {}
         self.swap = {}
         for read, real in MIXED_UP:
             back = {b: c for c, b in _table(real).items()}
@@ -158,37 +160,54 @@ class Channel:
             out.append([e for e in here if e[2]])
         return out
 
-    def _move(self, paths: dict[str, tuple[float, str]], chars: list[str], cost: float, into: dict[str, tuple[float, str]]) -> None:
-        """Prolong every path by every character; of those that end alike the best stays."""
-        floor = max((v + math.log(0.02 / (self.total.get(a, 0) + 0.02 * self.kinds)), t) for a, (v, t) in paths.items())
-        of: dict[str, str] = {symbol(c): c for c in reversed(chars)}
-        best = {o: floor for o in of}
-        for a, (v, t) in paths.items():
-            known = self.next.get(a, {})
-            for o in known if len(known) < len(of) else of:
-                if o in of and o in known and v + known[o] > best[o][0]:
-                    best[o] = (v + known[o], t)
-        for o, (v, t) in best.items():
-            if o not in into or v - cost > into[o][0]:
-                into[o] = (v - cost, t + of[o])
+    def _steps(self, a: list[str], b: list[str]) -> np.ndarray:
+        """Log probabilities of every character of ``b`` after every one of ``a``; those of two long lists are kept."""
+        key = (id(a), id(b)) if len(a) > 1 and len(b) > 1 else None
+        if key in self.kept:
+            return self.kept[key]
+        first = [symbol(c) for c in a]
+        out = np.repeat(np.array([[math.log(0.02 / (self.total.get(x, 0) + 0.02 * self.kinds))] for x in first]), len(b), axis=1)
+        column: dict[str, list[int]] = defaultdict(list)
+        for j, c in enumerate(b):
+            column[symbol(c)].append(j)
+        for i, x in enumerate(first):
+            known = self.next.get(x, {})
+            for y in known if len(known) < len(column) else column:
+                if y in known and y in column:
+                    out[i, column[y]] = known[y]
+        if key:
+            self.kept[key] = out
+        return out
 
     def path(self, token: str, codec: str | None) -> tuple[float, str] | None:
         """(log probability, text) of the best path through a token's lattice; None if there is none."""
-        edges = self._edges(token, codec)
-        at: list[dict[str, tuple[float, str]]] = [{" ": (0.0, "")}] + [{} for _ in token]
+        edges = [*self._edges(token, codec), [(len(token) + 1, 0.0, [" "])]]
+        # What ends at each position, an edge each: characters, their best scores, and where these come from.
+        ends: list[list[tuple[list[str], np.ndarray, tuple]]] = [[([" "], np.zeros(1), ())]] + [[] for _ in edges]
         for i, here in enumerate(edges):
-            if at[i]:
-                for end, cost, chars in here:
-                    self._move(at[i], chars, cost, at[end])
-        last = {}
-        if at[-1]:
-            self._move(at[-1], [" "], 0.0, last)
-        return (last[" "][0], last[" "][1][:-1]) if last else None
+            for end, cost, chars in here if ends[i] else []:
+                best, edge, row = np.full(len(chars), -np.inf), np.zeros(len(chars), np.int64), np.zeros(len(chars), np.int64)
+                for g, (before, score, _) in enumerate(ends[i]):
+                    value = score[:, None] + self._steps(before, chars)
+                    top = value.argmax(axis=0)
+                    value = value[top, np.arange(len(chars))]
+                    better = value > best
+                    best, edge, row = np.where(better, value, best), np.where(better, g, edge), np.where(better, top, row)
+                ends[end].append((chars, best - cost, (i, edge, row)))
+        if not ends[-1]:
+            return None
+        at, g, r, text = len(edges), 0, 0, []
+        while at:
+            chars, _, (start, edge, row) = ends[at][g]
+            text.append(chars[r])
+            at, g, r = start, int(edge[r]), int(row[r])
+        return float(ends[-1][0][1][0]), "".join(reversed(text[1:]))
 
     def candidates(self, token: str) -> list[tuple[str, str, float]]:
         """(decoding, kind, evidence) with some evidence; kind is utf8, single or lost."""
         if LOST in token:
-            found = [p for codec in (None, *READ_AS) if (p := self.path(token, codec))]
+            read = READ_AS if any(ord(c) > 127 and c != LOST for c in token) else []
+            found = [p for codec in (None, *read) if (p := self.path(token, codec))]
             return [(max(found)[1], "lost", 99.0)] if found else [(token, "lost", 99.0)]
         out: dict[str, tuple[str, float]] = {}
         beyond = {c for c in token if ord(c) > 127}

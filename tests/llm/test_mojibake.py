@@ -81,6 +81,7 @@ def test_viterbi_against_all_paths():
     channel = trained(["maçã", "pão", "avó", "pé", "já"])
     for token in ("ma��", "p�o", "x�y�z"):
         score, text = channel.path(token, None)
+
         def expand(i):
             if i == len(token):
                 yield ""
@@ -91,6 +92,15 @@ def test_viterbi_against_all_paths():
         assert abs(max(channel._score(t) for t in expand(0)) - score) < 1e-9 and abs(channel._score(text) - score) < 1e-9
 
 
+def test_long_runs_of_lost_bytes():
+    import time
+
+    channel = trained([f"a{chr(c)}b" for c in range(0xC0, 0x250) if chr(c).isalpha()])
+    began = time.time()
+    (got, kind, _), = channel.candidates("a" + "�" * 3_000)
+    assert kind == "lost" and mojibake.LOST not in got and time.time() - began < 20
+
+
 def test_no_limit_on_letters():
     alphabet = [chr(c) for c in range(0x391, 0x3CA) if chr(c).isalpha()] + [chr(c) for c in range(0x410, 0x450)]
     channel = trained([f"a{c}b" for c in alphabet] + ["qжw"] * 3)
