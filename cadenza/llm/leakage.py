@@ -174,18 +174,18 @@ def _seeded(documents: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def rare_seeds(item_seeds: DataFrame, frequency: DataFrame, most: float) -> DataFrame:
-    """seed, places (array of item_id, pos): of each window of ``LEAST`` words of an item the seed in fewest documents, of those in any.
+    """seed, places (array of item_id, pos): every seed in at most ``most`` documents, and of each window of ``LEAST`` words of an item the one in fewest.
 
     A passage of ``LEAST`` words of an item can stand in a document only if all its seeds do; then the
-    rarest is taken however often it occurs, so none is lost. Windows with a seed that no document
-    has can only stand in edited copies; of these a seed is taken if at most ``most`` documents hold
-    it. ``frequency``: seed, n.
+    rarest is taken however often it occurs, so none is lost. ``frequency``: seed, n.
     """
     counted = item_seeds.join(frequency, "seed", "left").select("item_id", "pos", "seed", "n")
     inside = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, LEAST - SEED)
-    windows = counted.select(F.min(F.when(F.col("n").isNotNull(), F.struct("n", "seed", "pos"))).over(inside).alias("x"), "item_id", F.count("*").over(inside).alias("size"), F.count("n").over(inside).alias("there"))
-    full = windows.where((F.col("size") == LEAST - SEED + 1) & ((F.col("there") == F.col("size")) | (F.col("x.n") <= most)))
-    return full.select("item_id", "x.seed", "x.pos").distinct().groupBy("seed").agg(F.collect_list(F.struct("item_id", "pos")).alias("places"))
+    windows = counted.select("item_id", "pos", "seed", "n", F.min(F.struct("n", "seed", "pos")).over(inside).alias("x"), F.count("n").over(inside).alias("there"))
+    own = F.when(F.col("n") <= most, F.struct("seed", "pos"))
+    rarest = F.when(F.col("there") == LEAST - SEED + 1, F.struct("x.seed", "x.pos"))
+    chosen = windows.select("item_id", F.inline(F.array_compact(F.array(own, rarest)))).distinct()
+    return chosen.groupBy("seed").agg(F.collect_list(F.struct("item_id", "pos")).alias("places"))
 
 
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
