@@ -110,8 +110,13 @@ def label_key(label: Column) -> Column:
 
     'Surname, Given' is turned round. What is left of a name is resolved against the rosters.
     """
-    t = fold(label)
-    t = F.regexp_replace(t, r"(?<=\S)\s*\([^()]*\)", " ")
+    # Most labels are names of letters and dots, of which the rest would leave everything as it is.
+    return let(fold(label), lambda t: F.when(t.rlike(r"^[\p{L}.]+(?: [\p{L}.]+)*+$"), t).otherwise(_bare_label(t)))
+
+
+def _bare_label(folded: Column) -> Column:
+    """:func:`label_key` of a folded label with anything but letters, dots and single spaces."""
+    t = F.regexp_replace(folded, r"(?<=\S)\s*\([^()]*\)", " ")
     t = F.regexp_replace(t, r"[\[\]<>{}():\"“”*]|^[\s>–-]+", " ")
     t = F.trim(F.regexp_replace(t, r"[\s_ ]+", " "))
     number = rf"^(?:{'|'.join(NUMBERED)}) ?(?:n ?[º°o]?\.? ?)?0*(\d+)$"
